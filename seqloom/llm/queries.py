@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, decontam, quality, urls
+from seqloom.llm import chat, decontam, packing, quality, simhash, tokens, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,9 @@ QUERIES = {
     "op1_url_filters": lambda s, d: urls.url_report(_read(s, d, "pages")),
     "op2_chat_formatting": lambda s, d: chat.chat_report(_read(s, d, "conversations")),
     "op3_decontamination": lambda s, d: decontam.decontamination_report(_read(s, d, "documents"), _read(s, d, "benchmark")),
+    "op4_best_fit_packing": lambda s, d: packing.pack(_read(s, d, "documents")),
+    "op5_token_counts": lambda s, d: tokens.count_tokens(_read(s, d, "documents")),
+    "op9_simhash": lambda s, d: simhash.near_duplicates(_read(s, d, "documents")),
     "op10_quality_rules": lambda s, d: quality.quality_report(_read(s, d, "documents")),
 }
 
