@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, decontam, packing, quality, simhash, tokens, urls
+from seqloom.llm import chat, decontam, packing, quality, simhash, tokens, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -17,6 +17,7 @@ QUERIES = {
     "op3_decontamination": lambda s, d: decontam.decontamination_report(_read(s, d, "documents"), _read(s, d, "benchmark")),
     "op4_best_fit_packing": lambda s, d: packing.pack(_read(s, d, "documents")),
     "op5_token_counts": lambda s, d: tokens.count_tokens(_read(s, d, "documents")),
+    "op6_warc": lambda s, d: warc.warc_report(_read(s, d, "pages")),
     "op9_simhash": lambda s, d: simhash.near_duplicates(_read(s, d, "documents")),
     "op10_quality_rules": lambda s, d: quality.quality_report(_read(s, d, "documents")),
 }
@@ -25,5 +26,6 @@ ORACLES = {
     "op1_url_filters": urls.ORACLE,
     "op2_chat_formatting": chat.ORACLE,
     "op3_decontamination": decontam.ORACLE,
+    "op6_warc": warc.ORACLE,
     "op10_quality_rules": quality.ORACLE,
 }
