@@ -58,3 +58,11 @@ def split_words(text: Column, gap: str) -> Column:
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, by exact name, whatever else df carries."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffle files of plans that have been written out and dropped."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
