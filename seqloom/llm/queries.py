@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, decontam, packing, quality, simhash, suffix, tokens, urls, warc
+from seqloom.llm import chat, decontam, packing, pii, quality, simhash, suffix, tokens, urls, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,6 +18,7 @@ QUERIES = {
     "op4_best_fit_packing": lambda s, d: packing.pack(_read(s, d, "documents")),
     "op5_token_counts": lambda s, d: tokens.count_tokens(_read(s, d, "documents")),
     "op6_warc": lambda s, d: warc.warc_report(_read(s, d, "pages")),
+    "op7_pii": lambda s, d: pii.pii_report(_read(s, d, "documents")),
     "op8_suffix_dedup": lambda s, d: suffix.suffix_report(_read(s, d, "documents")),
     "op9_simhash": lambda s, d: simhash.near_duplicates(_read(s, d, "documents")),
     "op10_quality_rules": lambda s, d: quality.quality_report(_read(s, d, "documents")),
