@@ -46,52 +46,71 @@ RULES = (
 )
 
 
-def compiled(rules: tuple[Rule, ...]) -> Column:
-    """One boolean expression that is true where every rule holds."""
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop", "n_pipes")
+
+
+def compiled(rules: tuple[Rule, ...], m: Column) -> Column:
+    """One boolean expression over the measures m that is true where every rule holds."""
     verdict = F.lit(True)
     for r in rules:
-        part, whole = F.col(r.measure) * 1000, F.col(r.per)
+        part, whole = m[r.measure] * 1000, m[r.per]
         holds = F.lit(True)
         if r.low is not None:
             holds = holds & (part >= whole * r.low)
         if r.high is not None:
             holds = holds & (part <= whole * r.high)
-        verdict = verdict & ((F.col("n_words") < r.words) | holds)
+        verdict = verdict & ((m["n_words"] < r.words) | holds)
     return verdict
 
 
-def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, window: int = 5, stop_words=STOP_WORDS) -> DataFrame:
-    """docs with the measures, base_failed and kept. Narrow: no shuffle, no user function.
+def _let(value: Column, body) -> Column:
+    """body of value, which is evaluated once; the optimizer never spells it out again where a name recurs."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
-    Repeats are found per text: the windows' 64-bit digests are tested for a duplicate with a
-    hash set, and only a text that has one sorts (digest, place) pairs and joins neighbours.
+def _repeats(digests: Column, window: int) -> Column:
+    """Words within windows that occur twice or more, from the words' digests.
+
+    The windows' 64-bit digests are tested for a duplicate with a hash set; only a text that has one
+    sorts (digest, place) pairs and compares neighbours.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    made = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop", "n_pipes", "base_failed", "kept"]
-    df = docs.drop(*made, "_w", "_l", "_h", "_s", "_p")
-    df = df.withColumns({"_w": split_words(text, SPACE), "_l": F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))})
-    df = df.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    steps = [F.lit(k) for k in range(1, window)]
-    df = df.withColumn("_s", F.when(F.size("_h") > window, F.slice(F.transform("_h", lambda x, i: F.xxhash64(x, *[F.get(F.col("_h"), i + k) for k in steps])), F.lit(1), F.size("_h") - (window - 1))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("_s", F.when(F.size(F.array_distinct("_s")) < F.size("_s"), F.sort_array(F.transform("_s", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
-    twice = lambda e, j: (e["h"] == F.get(F.col("_s"), j - 1)["h"]) | (e["h"] == F.get(F.col("_s"), j + 1)["h"])
-    df = df.withColumn("_p", F.sort_array(F.transform(F.filter("_s", lambda e, j: F.coalesce(twice(e, j), F.get(F.col("_s"), j - 1)["h"] == e["h"], F.get(F.col("_s"), j + 1)["h"] == e["h"], F.lit(False))), lambda e: e["i"])))
-    covered = F.aggregate(F.transform("_p", lambda x, j: F.coalesce(F.least(F.lit(window), F.get(F.col("_p"), j + 1) - x), F.lit(window))), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    count = lambda c: F.length(F.regexp_replace(text, c, "")).cast("bigint")
-    df = df.withColumns(
-        {
-            "n_words": F.size("_w").cast("bigint"),
-            "word_chars": count(f"{SPACE}+"),
-            "n_symbols": count(r"[^#*$%&|<>]+"),
-            "n_lines": F.size("_l").cast("bigint"),
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("bigint"),
-            "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("bigint"),
-            "n_stop": F.size(F.filter("_w", lambda x: F.lower(x).isin(*stop_words))).cast("bigint"),
-            "n_pipes": F.size(F.filter("_w", lambda x: x == "|")).cast("bigint"),
-        }
-    ).drop("_w", "_l", "_h", "_s", "_p")
-    df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return df.withColumn("kept", ~F.col("base_failed") & compiled(rules))
+    runs = lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, window)])), F.lit(1), F.greatest(F.lit(0), F.size(h) - (window - 1)))
+    same = lambda e, other: F.coalesce(e["h"] == other["h"], F.lit(False))
+    twice = lambda s: F.sort_array(F.transform(F.filter(s, lambda e, j: same(e, F.get(s, j - 1)) | same(e, F.get(s, j + 1))), lambda e: e["i"]))
+    length = lambda p: F.aggregate(F.transform(p, lambda x, j: F.coalesce(F.least(F.lit(window), F.get(p, j + 1) - x), F.lit(window))), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    pairs = lambda g: F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    found = lambda g: F.when(F.size(F.array_distinct(g)) < F.size(g), _let(_let(pairs(g), twice), length)).otherwise(F.lit(0).cast("bigint"))
+    return _let(digests, lambda h: _let(runs(h), found))
+
+
+def measured(text: Column, rules: tuple[Rule, ...] = RULES, window: int = 5, stop_words=STOP_WORDS) -> Column:
+    """All measures of a text, base_failed and kept, as one struct."""
+    count = lambda t, c: F.length(F.regexp_replace(t, c, "")).cast("bigint")
+
+    def of_parts(t: Column, w: Column, ls: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("bigint").alias("n_words"),
+            count(t, f"{SPACE}+").alias("word_chars"),
+            count(t, r"[^#*$%&|<>]+").alias("n_symbols"),
+            F.size(ls).cast("bigint").alias("n_lines"),
+            (F.size(ls) - F.size(F.array_distinct(ls))).cast("bigint").alias("n_dup_lines"),
+            _repeats(F.transform(w, lambda x: F.xxhash64(x)), window).alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: F.lower(x).isin(*stop_words))).cast("bigint").alias("n_stop"),
+            F.size(F.filter(w, lambda x: x == "|")).cast("bigint").alias("n_pipes"),
+        )
+
+    def judged(m: Column) -> Column:
+        failed = (m["n_words"] < 10) | (100 * m["n_repeat_words"] > 20 * m["n_words"])
+        return F.struct(*[m[n].alias(n) for n in MEASURES], failed.alias("base_failed"), (~failed & compiled(rules, m)).alias("kept"))
+
+    lines = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE[1:]}"))
+    return _let(F.coalesce(text, F.lit("")), lambda t: _let(_let(F.struct(split_words(t, SPACE).alias("w"), lines(t).alias("l")), lambda p: of_parts(t, p["w"], p["l"])), judged))
+
+
+def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, window: int = 5, stop_words=STOP_WORDS) -> DataFrame:
+    """docs with the measures, base_failed and kept. Narrow: no shuffle, no user function."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "base_failed", "kept")]
+    return docs.select(*others, measured(F.col("text"), rules, window, stop_words).alias("_q")).select(*others, "_q.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
