@@ -217,10 +217,11 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     def replaced(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if s is None else redacted(t, [(x["start"], x["end"], x["kind"]) for x in s]) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    spans = find(docs, **options).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), F.concat("base", "added").alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["_d", "_t"])
-    digest = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    both = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(F.col("_d")) & (digest == F.col("_t")), "left")
-    both = both.withColumn("text", F.pandas_udf(replaced, "string")("text", "_spans"))
+    spans = find(docs, **options).select("doc_id", "t", F.concat("base", "added").alias("spans")).where(F.size("spans") > 0).dropDuplicates(["doc_id", "t"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest"))
+    both = rows.join(spans, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("t")), "left")
+    both = both.select("row", "spans", F.pandas_udf(replaced, "string")("row.text", "spans").alias("new"))
+    row = F.col("row").withField("text", F.col("new"))
     if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return both.select(*docs.columns)
+        row = row.withField("n_chars", F.when(F.col("spans").isNull(), F.col("row.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType)))
+    return both.select(row.alias("row")).select("row.*")

@@ -109,8 +109,8 @@ def measured(text: Column, rules: tuple[Rule, ...] = RULES, window: int = 5, sto
 
 def with_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, window: int = 5, stop_words=STOP_WORDS) -> DataFrame:
     """docs with the measures, base_failed and kept. Narrow: no shuffle, no user function."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "base_failed", "kept")]
-    return docs.select(*others, measured(F.col("text"), rules, window, stop_words).alias("_q")).select(*others, "_q.*")
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "base_failed", "kept")])
+    return docs.select(others.alias("row"), measured(F.col("text"), rules, window, stop_words).alias("q")).select("row.*", "q.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
