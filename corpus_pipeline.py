@@ -3,37 +3,49 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the next one's docs. All but the last return the columns of documents.
 
-A doc_id names a document: rows that repeat a doc_id stay or go together. Null texts fail the quality rules. Rows without
-a doc_id are rejected by the second stage, which could not tell them apart.
+A row is told by its doc_id (which may be null) and its text, so rows that share a doc_id are judged each on
+its own text. Null texts fail the quality rules. Rows equal in doc_id and text are copies of each
+other: the second stage keeps one. Columns that a stage does not name pass through it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, packing, pii, quality, simhash
 from seqloom.llm._common import written
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): what tells a row, and the row."""
+    return docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail a rule go."""
-    return quality.with_quality(docs).where("kept").select(*docs.columns)
+    return docs.where(quality.measured(F.col("text"))["kept"])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, docs["doc_id"] == F.col("_stays"), "left_semi").select(*docs.columns)
+    """Of each near-duplicate component the document with the smallest doc_id stays.
+
+    The window stands on the join's own partitions and order, so it costs no further shuffle.
+    """
+    rows = _keyed(docs)
+    found = simhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
+    once = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return rows.join(stay, F.col("key") == F.col("stays")).select("row", once.alias("nth")).where("nth = 1").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark contaminates go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontam.contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").select(*docs.columns)
+    rows = _keyed(docs)
+    found = decontam.contamination(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), items.select("item_id", "text"))
+    gone = found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
+    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
