@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNKS = (1 << 20, 1 << 14, 1 << 8)
+CHUNKS = (1 << 20, 1 << 16, 1 << 12, 1 << 8)
 
 
-def chunks(seqs: DataFrame, overlap: int, before: int = 0, sizes: tuple[int, ...] = CHUNKS) -> DataFrame:
+def chunks(seqs: DataFrame, overlap: int, sizes: tuple[int, ...] = CHUNKS) -> DataFrame:
     """(seq_id, base, own, chunk): `chunk` begins at `base` and has `own` start positions, at
     base + off for off < own; behind them `overlap` characters more, as far as the text goes."""
     d = seqs.select("seq_id", F.lit(0).cast("bigint").alias("base"), F.length("seq").alias("own"), F.col("seq").alias("chunk"))

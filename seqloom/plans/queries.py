@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import text as T
 from seqloom.operators import index, kmers, match, mosaic, neighbors, resolve, run_graph, sam
 from seqloom.sources import writers
-from seqloom.tables import written
+from seqloom.tables import spread, written
 
 K, STEP, MAX_RANGE, MAX_HITS, DEPTH = 20, 20, 4, 2, 64
 _made: dict[tuple, DataFrame] = {}
@@ -27,7 +27,7 @@ def _once(spark: SparkSession, d: str, what: str, make) -> DataFrame:
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("seq"))
+    return spread(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select(F.col("doc_id").alias("seq_id"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("seq"))
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:

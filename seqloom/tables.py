@@ -33,6 +33,13 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores. A table of fewer files than cores (one file with one row group, say) would be worked on
+    by a few tasks; it is dealt out once. Larger tables are left as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * n) if 0 < len(df.inputFiles()) < n else df
+
+
 def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
     """df range-partitioned and sorted, with _part and _at: the partition, and the place in it."""
     spark = df.sparkSession
