@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, packing, pii, quality, simhash
 from seqloom.llm._common import written
+from seqloom.tables import spread
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         docs, _ = written(stage(spark, docs, sf_dir), name)
     return docs
