@@ -24,7 +24,9 @@ def edges(runs: DataFrame, n: int) -> DataFrame:
     up = order.select((F.col("i") - 1).alias("i"), F.col("first_tpos").alias("larger"))
     limits = order.join(up, "i", "left").select("run", F.coalesce(F.col("larger") - F.col("first_tpos"), F.lit(1)).alias("limit"))
     ends = starts.select((F.col("run") + 1).alias("of"), F.col("last_tpos").alias("x"))
-    target = as_of(ends, starts.select(F.col("run").alias("next"), "first_tpos"), "x", "first_tpos", n)
+    # a sample before all starts follows the largest one, around the end of the text
+    largest = starts.agg(F.max(F.struct("first_tpos", "run")).alias("m")).select(F.col("m.run").alias("next"), (F.col("m.first_tpos") - n).alias("first_tpos"))
+    target = as_of(ends, starts.select(F.col("run").alias("next"), "first_tpos").unionByName(largest), "x", "first_tpos", n)
     return target.join(limits, target["of"] == limits["run"]).select(F.col("of").alias("run"), "next", (F.col("x") - F.col("first_tpos")).alias("cost"), "limit")
 
 

@@ -18,7 +18,7 @@ def sequences(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
     """(file, ord, name, seq, qual) of FASTA and FASTQ files: name is the first token; sequences may
     span lines; qual is null for FASTA. A file is read by one task, record by record, as its format
     asks for; many files make many tasks."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -60,7 +60,7 @@ def first_records(d: DataFrame, n: int) -> DataFrame:
 
 def plain_text(spark: SparkSession, path: str) -> DataFrame:
     """(file, seq): a file is one text."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("seq"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("seq"))
 
 
 def bwt_file(spark: SparkSession, path: str) -> DataFrame:
@@ -100,7 +100,7 @@ def fai(spark: SparkSession, path: str) -> DataFrame:
 def pattern_file(spark: SparkSession, path: str) -> DataFrame:
     """(read_id, pattern) of a pattern file: a header with number= and length=, then patterns of that
     length, one after the other or a line each (a line end behind a pattern is skipped)."""
-    d = spark.read.option("wholetext", True).text(path)
+    d = spark.read.text(path, wholetext=True)
     end = F.locate("\n", F.col("value"))
     head = F.substring("value", F.lit(1), end)
     d = d.select(header_field(head, "number").alias("n"), header_field(head, "length").cast("int").alias("m"), F.substring("value", end + 1, F.length("value")).alias("body"))
