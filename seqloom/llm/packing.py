@@ -100,39 +100,40 @@ def nnls(found: list[tuple[int, ...]], h: np.ndarray, rounds: int = 30) -> np.nd
 
 
 def _fill(h: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Best fit over the histogram: the longest piece, then the completion that leaves least, taken
-    as often as the counts allow. Every step uses up a length."""
-    h, runs = h.copy(), []
-    for top in range(size, 0, -1):
-        while h[top]:
+    """Best fit over the histogram: the longest piece, then the completion that leaves least of all, with
+    the longest pieces that such a completion can have, taken as often as the counts allow. Every step
+    uses up a length.
+
+    reach[k] has bit s set if pieces of lengths from the k-th down can sum to s; a length's
+    multiples are added by doubling.
+    """
+    lengths, left, runs = np.flatnonzero(h)[::-1].tolist(), h.tolist(), []
+    for top in lengths:
+        while left[top]:
             used, room = [top], size - top
-            while room:
-                free = h[: room + 1].copy()
-                for i in used:
-                    if i <= room:
-                        free[i] -= 1
-                there = np.flatnonzero(free > 0)
-                if not len(there):
-                    break
-                a = int(there[-1])
-                if a != room and len(there) > 1:  # two that fill better than the longest alone
-                    rest = np.searchsorted(there, room - there, side="right") - 1
-                    ok = rest >= 0
-                    mate = there[np.maximum(rest, 0)]
-                    ok &= (mate != there) | (free[there] > 1)
-                    total = np.where(ok, there + mate, 0)
-                    k = int(np.argmax(total))
-                    if total[k] > a:
-                        used += [int(there[k]), int(mate[k])]
-                        room -= int(total[k])
-                        continue
-                used.append(a)
-                room -= a
+            free = [(a, n) for a in lengths if a <= room and (n := left[a] - (a == top)) > 0]
+            reach, mask = [1], (1 << (room + 1)) - 1
+            for a, n in reversed(free):
+                sums, n, step = reach[-1], min(n, room // a), 1
+                while n > 0:
+                    take = min(step, n)
+                    sums |= (sums << (take * a)) & mask
+                    n -= take
+                    step *= 2
+                reach.append(sums)
+            reach.reverse()
+            room = reach[0].bit_length() - 1
+            for k, (a, n) in enumerate(free):
+                n = min(n, room // a)
+                while n and not reach[k + 1] >> (room - n * a) & 1:
+                    n -= 1
+                used += [a] * n
+                room -= n * a
             need = Counter(used)
-            n = min(int(h[i]) // m for i, m in need.items())
-            for i, m in need.items():
-                h[i] -= m * n
-            runs.append((tuple(used), n))
+            times = min(left[a] // m for a, m in need.items())
+            for a, m in need.items():
+                left[a] -= m * times
+            runs.append((tuple(used), times))
     return runs
 
 
