@@ -171,14 +171,13 @@ def _string_digests(least: int, stretch: int = STRETCH):
             for doc, t, text, ranges in zip(b["d"], b["t"], b["text"], b["ranges"], strict=True):
                 data = np.frombuffer(text.encode(), dtype=np.uint8)
                 base, d = -1, None
-                for r in sorted(ranges, key=lambda r: r["lo"]):
-                    lo, hi = r["lo"], r["hi"]
+                for lo, hi, key in sorted(map(tuple, np.asarray(ranges, dtype=np.int64).reshape(-1, 3).tolist())):
                     if d is None or hi + least > base + stretch + least:
                         base = lo
                         d = Digests(data[base : base + stretch + least])
                     p = np.arange(lo - base, hi - base + 1)
                     out["h"].append(d.of(p, p + least).view(np.int64))
-                    for c, v in (("d", None if pd.isna(doc) else int(doc)), ("t", t), ("key", r["key"] & 0x7FFFFFFF), ("lo", lo)):
+                    for c, v in (("d", None if pd.isna(doc) else int(doc)), ("t", t), ("key", key & 0x7FFFFFFF), ("lo", lo)):
                         out[c].append(v)
                     size += len(p)
                 if size > 500_000:
@@ -190,9 +189,20 @@ def _string_digests(least: int, stretch: int = STRETCH):
     return rows
 
 
+def _flat(*columns: str):
+    """Distinct tuples of the columns in one flat array, which goes to numpy as it is."""
+    return F.flatten(F.transform(F.collect_set(F.struct(*columns)), lambda x: F.array(*[x[c].cast("bigint") for c in columns])))
+
+
+def _edges_of_runs(places: str, side: int):
+    """Of a sorted array of places those without a neighbour one to the side."""
+    near = F.col(places)
+    return F.filter(near, lambda x, j: ~F.coalesce(F.get(near, j + side) == x + side, F.lit(False)))
+
+
 def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts are docs as (d, t, text), t a digest of the text; spans are (d, t, starts), the
-    ranges [lo, hi] of starts of repeated strings. What repeats depends on the text alone, so
+    ranges [lo, hi] of starts of repeated strings, one number after the other. What repeats depends on the text alone, so
     rows of equal d and t share their spans."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
@@ -213,18 +223,22 @@ def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, batches: int
     drop(spark, p_found, p_known)
     release(spark)
     # the edges: one digest for each string there
-    ranges = hits.where("open").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(F.collect_set(F.struct("lo", "hi", "key")).alias("ranges"))
+    ranges = hits.where("open").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(_flat("lo", "hi", "key").alias("ranges"))
     edge = texts.join(ranges, F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("d", "t", "text", "ranges")
-    edge, p_edge = written(edge.mapInPandas(_string_digests(least), "d long, t long, key int, lo int, h array<long>"), "edges")
+    edge = edge.mapInPandas(_string_digests(least), "d long, t long, key int, lo int, h array<long>").withColumn("rid", F.monotonically_increasing_id())
+    edge, p_edge = written(edge, "edges")
     release(spark)
     twice, p_twice = written(edge.select("key", F.explode("h").alias("h")).groupBy("key", "h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("_key"), F.col("h").alias("_h")), "repeated-strings")
     release(spark)
-    one = edge.select("d", "t", "key", "lo", F.posexplode("h").alias("i", "h")).select("d", "t", "key", (F.col("lo") + F.col("i")).alias("lo"), "h")
-    one = one.join(twice, (F.col("key") == F.col("_key")) & (F.col("h") == F.col("_h"))).select("d", "t", "lo", F.col("lo").alias("hi"))
+    # only a row number and a place travel with each digest; the places of a range join to runs before they meet its text
+    one = edge.select("rid", "key", F.posexplode("h").alias("i", "h")).join(twice, (F.col("key") == F.col("_key")) & (F.col("h") == F.col("_h"))).groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("i"))
+    one, p_one = written(one.select(F.col("rid").alias("_rid"), F.explode(F.arrays_zip(_edges_of_runs("i", -1).alias("a"), _edges_of_runs("i", 1).alias("z"))).alias("r")), "string-runs")
+    release(spark)
+    one = edge.select("rid", "d", "t", "lo").join(one, F.col("rid") == F.col("_rid")).select("d", "t", (F.col("lo") + F.col("r.a")).alias("lo"), (F.col("lo") + F.col("r.z")).alias("hi"))
     spans = hits.where("whole").select("d", "t", "lo", "hi").unionByName(one)
-    spans = spans.groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("starts"))
+    spans = spans.groupBy("d", "t").agg(_flat("lo", "hi").alias("starts"))
     spans, _ = written(spans, "spans")
-    drop(spark, p_edge, p_twice)
+    drop(spark, p_edge, p_twice, p_one)
     release(spark)
     return texts, spans
 
@@ -232,7 +246,7 @@ def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, batches: int
 def covered(starts, least: int) -> list[tuple[int, int]]:
     """Maximal [begin, end) that strings starting in the ranges cover, in order."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in starts):
+    for lo, hi in sorted(map(tuple, np.asarray(starts).reshape(-1, 2).tolist())):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], hi + least))
         else:
