@@ -154,6 +154,29 @@ def break_range(runs: DataFrame, lo: int, hi: int, c: str) -> DataFrame:
     return r.select(F.greatest("lo", F.lit(lo)).alias("lo"), F.least("hi", F.lit(hi)).alias("hi"))
 
 
+def closest_break(runs: DataFrame, lo: int, hi: int, c: str) -> DataFrame:
+    """(place): of the places of c in [lo, hi] that stand beside another letter, the one nearest to lo."""
+    r = break_range(runs, lo, hi, c)
+    return r.agg(F.min(F.when(F.col("lo") > lo, F.col("lo")).otherwise(F.col("hi"))).alias("place"))
+
+
+def decoded(runs: DataFrame, terminator: str = "$") -> DataFrame:
+    """(bwt): the whole transform as one string; for texts that fit in a row."""
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("run", "head", "len"))), lambda x: F.repeat(F.coalesce(x["head"], F.lit(terminator)), x["len"].cast("int")))
+    return runs.agg(F.array_join(parts, "").alias("bwt"))
+
+
+def suffix_array_from_bwt(b: DataFrame, c: DataFrame) -> DataFrame:
+    """(rk, pos) from the transform alone: a suffix's place is how many LF steps lead from it to the whole
+    text. List ranking by pointer doubling, log2(n) rounds of one join."""
+    step = lf(b, c)
+    d = written(step.select("rk", F.when(F.col("lf") > 0, F.col("lf")).alias("to"), F.when(F.col("lf") > 0, 1).otherwise(0).cast("bigint").alias("pos")), "steps")
+    while not d.where("to is not null").isEmpty():
+        on = d.select(F.col("rk").alias("to"), F.col("to").alias("_to"), F.col("pos").alias("_pos"))
+        d = written(d.join(on, "to", "left").select("rk", F.col("_to").alias("to"), (F.col("pos") + F.coalesce("_pos", F.lit(0))).alias("pos")), "steps")
+    return d.select("rk", "pos")
+
+
 def backward_search(b: DataFrame, c: DataFrame, reads: DataFrame) -> DataFrame:
     """(read_id, lo, hi): the range of ranks of each pattern, by LF steps over a table of ranks; one equi-join a
     letter. Patterns that do not occur have no row. For texts with an index; `match.locate` needs none."""

@@ -63,6 +63,8 @@ ORACLES = {
     "suffix_array": f"WITH {SA} SELECT * FROM sa",
     "bwt": f"WITH {BWT} SELECT rk, c FROM b",
     "bwt_runs": f"WITH {RUNS} SELECT * FROM r",
+    "bwt_decoded": f"WITH {BWT} SELECT string_agg(coalesce(c, '$'), '' ORDER BY rk) AS bwt FROM b",
+    "suffix_array_from_bwt": f"WITH {SA} SELECT * FROM sa",
     "lf_mapping": f"WITH {BWT} SELECT rk, (row_number() OVER (ORDER BY c NULLS FIRST, rk) - 1)::BIGINT AS lf FROM b",
     "first_column": f"WITH {BWT} SELECT rk, CASE WHEN rk > 0 THEN substring(t, pos + 1, 1) END AS f FROM b, t",
     "phi": f"WITH {SA}, p AS (SELECT rk, pos, lag(pos) OVER (ORDER BY rk) AS phi FROM sa) SELECT pos, phi FROM p WHERE rk > 0",

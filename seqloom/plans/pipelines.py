@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.functions.text import region, wrapped
+from seqloom.functions.text import cigar, region, wrapped
 from seqloom.operators import match, mosaic, sam
 
 
@@ -17,6 +17,17 @@ def aligned(seqs: DataFrame, reads: DataFrame, max_range: int | None = None) ->
     return sam.records(reads, named)
 
 
+def aligned_pieces(seqs: DataFrame, reads: DataFrame, max_range: int | None = None) -> DataFrame:
+    """Records of the reads' greedy segments, with clips in their CIGAR; a row for each hit of each segment,
+    and one of flag 4 for a segment without a hit that may be shown."""
+    m = F.length("seq")
+    d = match.piecewise_locate(seqs, reads.select("read_id", F.col("seq").alias("pattern")), max_range).join(reads, "read_id").join(seqs.select("seq_id", F.col("name").alias("rname")), "seq_id", "left")
+    part = F.row_number().over(Window.partitionBy("read_id", "segment").orderBy("seq_id", "pos"))
+    d = d.select(F.struct("read_id", "segment").alias("read_id"), "qname", "seq", "qual", "rname", F.col("pos").alias("off"), "nh", part.alias("nth"), cigar(F.col("seg_start"), F.col("seg_end"), m).alias("cigar"))
+    own = d.where("nth = 1").select("read_id", "qname", "seq", "qual")
+    return sam.records(own, d.select("read_id", "rname", "off", "nh", "nth", "cigar"))
+
+
 def mosaic_tiles(seqs: DataFrame, reads: DataFrame, default: str, read_len: int, total: int, max_range: int = 200, min_length: int = 21, haplotype: str | None = None) -> DataFrame:
     """Align, filter, cluster and tile in one plan."""
     records = sam.filtered(aligned(seqs, reads, max_range), None, min_length)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import text as T
 from seqloom.operators import index, kmers, match, mosaic, neighbors, resolve, run_graph, sam
+from seqloom.plans import pipelines
 from seqloom.sources import writers
 from seqloom.tables import spread, written
 
@@ -173,9 +174,11 @@ def break_range(s, d):
 
 
 def closest_run_break(s, d):
-    """The place of an E nearest to rank 100, up to 2000, that stands at an end of its run."""
-    r = index.break_range(_runs(s, d), 100, 2000, "E")
-    return r.agg(F.min(F.when(F.col("lo") > 100, F.col("lo")).otherwise(F.col("hi"))).alias("place"))
+    return index.closest_break(_runs(s, d), 100, 2000, "E")
+
+
+def suffix_array_from_bwt(s, d):
+    return index.suffix_array_from_bwt(_bwt(s, d).select("rk", "c"), index.c_array(_letters(s, d)))
 
 
 def backward_ranges(s, d):
@@ -258,6 +261,11 @@ def piecewise_segments(s, d):
     return match.piecewise(_items(s, d), _broken_reads(s, d)).select(F.col("read_id").alias("item_id"), "segment", "seg_start", "seg_end", "occ", "legacy_end")
 
 
+def piecewise_records(s, d):
+    r = _broken_reads(s, d).select("read_id", F.concat(F.lit("read_"), "read_id").alias("qname"), F.col("pattern").alias("seq"), F.repeat(F.lit("~"), F.length("pattern")).alias("qual"))
+    return pipelines.aligned_pieces(_items(s, d), r, 5)
+
+
 def prefix_differences(s, d):
     return match.lower_bounds(_items(s, d), _broken_reads(s, d)).select(F.col("read_id").alias("item_id"), F.col("i"), F.col("d"))
 
@@ -334,6 +342,8 @@ QUERIES = {
     "suffix_array": _sa,
     "bwt": lambda s, d: _bwt(s, d).select("rk", "c"),
     "bwt_runs": lambda s, d: _runs(s, d),
+    "bwt_decoded": lambda s, d: index.decoded(_runs(s, d)),
+    "suffix_array_from_bwt": suffix_array_from_bwt,
     "lf_mapping": lambda s, d: index.lf(_bwt(s, d), index.c_array(_letters(s, d))),
     "first_column": lambda s, d: index.first_column(_sa(s, d).select("rk"), index.c_array(_letters(s, d))),
     "phi": lambda s, d: index.phi(_sa(s, d)),
@@ -363,6 +373,7 @@ QUERIES = {
     "hamming_window_scan": window_scan,
     "inexact_locate": inexact_locate,
     "piecewise_segments": piecewise_segments,
+    "piecewise_records": piecewise_records,
     "prefix_differences": prefix_differences,
     "d_neighbours": d_neighbours,
     "chimera": chimera,
