@@ -26,11 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, what: str = "table") -> DataFrame:
-    """df, written to the shared folder and read again: cuts lineage and fixes row ids."""
-    path = f"{shared_dir(df.sparkSession)}/seqloom-{what}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/seqloom-{what}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, read again, and its path: lineage ends there, so a
+    lost executor costs a read, not a recomputation, and row ids are fixed."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str = "table") -> DataFrame:
+    return stored(df, what)[0]
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
