@@ -1,50 +1,20 @@
-"""What the operators share: tables in the shared folder, tokens of a text, column checks."""
+"""What the operators share: words of a text, and the tables of the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.tables import drop, new_path
+from seqloom.tables import stored as written
+
+__all__ = ["SPACE", "UPPER", "ascii_lower", "drop", "new_path", "release", "split_words", "written"]
+
 #: ASCII white space, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see.
-
-    The session's spark.checkpoint.dir; only where that is unset (a local test session)
-    a temporary folder, which is then put into the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seqloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/seqloom-{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, read again: lineage ends there, so a lost
-    executor costs a read, not a recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z; every other character stays. ASCII texts take the JVM's fast path."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
@@ -55,11 +25,6 @@ def split_words(text: Column, gap: str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{gap}+"), lambda x: x != "")
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, by exact name, whatever else df carries."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffle files of plans that have been written out and dropped."""
     import gc
