@@ -83,7 +83,9 @@ def running_total(df: DataFrame, value: str, *order: Column | str, name: str = "
     return d.join(F.broadcast(_before(d, F.col(value))), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_at", "_p", "_before", "_local")
 
 
-def blocks(df: DataFrame, key: str, limit: int) -> list[DataFrame]:
-    """df in parts of about `limit` rows each, so that each may be broadcast."""
-    k = -(-df.count() // limit)
+def blocks(df: DataFrame, key: str, limit: int, size: Column | None = None, limit_bytes: int = 1 << 26) -> list[DataFrame]:
+    """df in parts of about `limit` rows, and of limit_bytes by the column size, at most each, so that
+    each may be broadcast. Rows are counted, not estimated."""
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    k = max(-(-n // limit), -(-total // limit_bytes))
     return [df] if k <= 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(k)) == i) for i in range(k)]
