@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm._common import ascii_lower, split_words, written
+from seqloom.tables import blocks
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WINDOW, SHINGLE = 13, 3
-#: Windows broadcast at once; more of them are taken in blocks of this many, each block over all documents.
+#: Windows broadcast at once; more of them, or more than 64 MB of their words, are taken in blocks, each over all documents.
 BLOCK = 100_000
 
 
@@ -54,17 +55,11 @@ def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     return d.select("*", F.explode(F.when(F.col("p") < F.col("n"), F.array(*keys)).otherwise(F.array(F.lit(None).cast("bigint")))).alias("h"))
 
 
-def _blocks(df: DataFrame, n: int, key: str, block: int) -> list[DataFrame]:
-    k = -(-n // block)
-    return [df] if k <= 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(k)) == i) for i in range(k)]
-
-
 def occurrences(docs: DataFrame, windows: DataFrame, block: int = BLOCK) -> DataFrame | None:
     """(rid, doc_id, n, start, len, win_id): every occurrence of a window in a document, and a row
     with null start for every document. windows: distinct (win_id, len, w)."""
     spark = docs.sparkSession
     windows, _ = written(windows, "windows")
-    n_windows = windows.count()
     sizes = sorted(r[0] for r in windows.select(F.least("len", F.lit(SHINGLE)).alias("s")).distinct().collect())  # three at most
     if not sizes:
         return docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size(words(F.col("text"))).alias("n"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("string").alias("win_id"))
@@ -72,19 +67,17 @@ def occurrences(docs: DataFrame, windows: DataFrame, block: int = BLOCK) -> Data
     shingles = windows.select("*", F.explode(F.sequence(F.lit(0), F.col("len") - F.least("len", F.lit(SHINGLE)))).alias("o")).withColumn("h", key)
     # how often each shingle of the windows occurs, over all documents; counted before the shuffle
     keys, _ = written(shingles.select(F.col("h").alias("k")).distinct(), "shingles")
-    n_keys = keys.count()
     counts = None
-    for b in _blocks(keys, n_keys, "k", block * WINDOW):
+    for b in blocks(keys, "k", block * WINDOW):
         p = _positions(docs, sizes).select("h").join(F.broadcast(b), F.col("h") == F.col("k")).groupBy("h").agg(F.count("*").alias("df"))
         counts = p if counts is None else counts.unionByName(p)
     # a window with a shingle that occurs nowhere cannot occur
     seen = shingles.join(counts, "h", "left").groupBy("win_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "o")).alias("m")).where("m.df > 0")
     prefix, _ = written(seen.select("win_id", F.col("m.h").alias("k"), F.col("m.o").alias("o")).join(windows, "win_id").withColumnRenamed("w", "ww"), "prefixes")
-    n_prefix = prefix.count()
     at = F.col("p") - F.col("o")
     true_there = (F.col("h") == F.col("k")) & (at >= 0) & (at + F.col("len") <= F.col("n")) & (F.slice("w", at + 1, F.col("len")) == F.col("ww"))
     out = None
-    for i, b in enumerate(_blocks(prefix, n_prefix, "win_id", block)):
+    for i, b in enumerate(blocks(prefix, "win_id", block, F.octet_length(F.array_join("ww", " ")))):
         found = _positions(docs, sizes).join(F.broadcast(b), true_there, "left").where(F.col("win_id").isNotNull() | ((F.col("p") == F.col("n")) & F.lit(i == 0)))
         found = found.select("rid", "doc_id", "n", F.when(F.col("win_id").isNotNull(), at).alias("start"), "len", "win_id")
         out = found if out is None else out.unionByName(found)
