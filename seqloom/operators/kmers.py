@@ -31,4 +31,4 @@ def kmers(seqs: DataFrame, k: int) -> DataFrame:
 def seeds(reads: DataFrame, k: int, skip: int) -> DataFrame:
     """(read_id, off, seed): substrings of length k that begin every skip + 1 characters."""
     d = reads.where(F.length("seq") >= k).select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(skip + 1))).alias("off"))
-    return d.select("read_id", "off", F.substring("seq", F.col("off") + 1, F.lit(k)).alias("seed"))
+    return d.select("read_id", F.col("off").cast("bigint").alias("off"), F.substring("seq", F.col("off") + 1, F.lit(k)).alias("seed"))
