@@ -171,7 +171,7 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary: st
             taken[length] += n
             offset += length
         sequence += n
-    places = spark.createDataFrame(slots, "length long, lo long, hi long, first long, offset long") if slots else spark.createDataFrame([], "length long, lo long, hi long, first long, offset long")
+    places = spark.createDataFrame(slots, "length long, lo long, hi long, first long, offset long")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     ranked = made.join(before.drop("n"), ["part", "length"]).withColumn("rank", F.col("rk") + F.coalesce("before", F.lit(0))).alias("p")
     s = F.broadcast(places.withColumnRenamed("length", "_length"))  # runs of the plan: bounded by the number of lengths
