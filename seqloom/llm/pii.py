@@ -133,7 +133,10 @@ def analysed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for s, e in tokens(text):
                 while i < len(taken) and taken[i][1] <= s:
                     i += 1
-                over = next((k for a, z, k in taken[i:] if a < e and z > s), None) if i < len(taken) and taken[i][0] < e else None
+                j, over = i, None
+                while over is None and j < len(taken) and taken[j][0] < e:
+                    over = taken[j][2] if taken[j][1] > s else None
+                    j += 1
                 kind = over or ("secret" if shape(text[s:e]).startswith("hex") else None)
                 if patterns := contexts(text, s, e):
                     found.append({"start": s, "end": e, "instance": text[s:e].lower(), "kind": kind, "free": over is None, "patterns": patterns})
