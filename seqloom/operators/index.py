@@ -17,24 +17,30 @@ START = 16
 
 
 def letters(seqs: DataFrame, span: int = 1) -> DataFrame:
-    """(pos, c): each place of the concatenation with the `span` letters that begin there (fewer at its end)."""
-    at = sequence_index(seqs).select("seq_id", "start")
-    joined = seqs.select("seq_id", "seq").join(at, "seq_id")
-    d = chunks(joined.select(F.struct("seq_id", "start").alias("seq_id"), "seq"), 0).select("*", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("off"))
-    one = d.select((F.col("seq_id.start") + F.col("base") + F.col("off")).alias("pos"), F.substring("chunk", F.col("off") + 1, F.lit(1)).alias("c"))
+    """(pos, c): each place of the concatenation with the `span` letters that begin there (fewer at its end).
+
+    Most places find their letters within their own sequence, without a shuffle; only those of the
+    last span - 1 places of each sequence are gathered from the sequences' ends and beginnings.
+    """
+    at = sequence_index(seqs).select("seq_id", "start", "len")
+    joined = seqs.select("seq_id", "seq").join(at, "seq_id").select(F.struct("seq_id", "start", "len").alias("seq_id"), "seq")
+    d = chunks(joined, span - 1).select("*", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("off"))
+    d = d.select(F.col("seq_id.start").alias("start"), F.col("seq_id.len").alias("len"), (F.col("base") + F.col("off")).alias("o"), F.substring("chunk", F.col("off") + 1, F.lit(span)).alias("c"))
+    inner = d.where(F.col("o") + span <= F.col("len")).select((F.col("start") + F.col("o")).alias("pos"), "c")
     if span == 1:
-        return one
-    one = written(one, "letters")
-    # letters of the next `span` places meet at their place: one shuffle, counted buckets
-    spread = one.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda k: F.struct((F.col("pos") - k).alias("pos"), k.alias("k"), F.col("c").alias("c")))).alias("s")).select("s.*").where("pos >= 0")
-    return spread.groupBy("pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "c"))), lambda x: x["c"]), "").alias("c"))
+        return inner
+    near = d.where((F.col("o") < span - 1) | (F.col("o") + span > F.col("len")))
+    near = near.select((F.col("start") + F.col("o")).alias("pos"), F.substring("c", 1, 1).alias("c"), (F.col("o") + span > F.col("len")).alias("edge"))
+    spread = near.select("edge", F.explode(F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda k: F.struct((F.col("pos") - k).alias("pos"), k.alias("k"), F.col("c").alias("c")))).alias("s"))
+    gathered = spread.groupBy("s.pos").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s.k", "s.c"))), lambda x: x["c"]), "").alias("c"), F.max(F.col("edge") & (F.col("s.k") == 0)).alias("edge"))
+    return inner.unionByName(gathered.where("edge").select("pos", "c"))
 
 
 def suffix_array(seqs: DataFrame, start: int = START) -> DataFrame:
     """(rk, pos) by prefix doubling. The first ranks are those of `start` letters; each round joins
     ranks h places apart and ranks the pairs; only as many rounds as the longest repeat needs.
     Ranks are counts of smaller suffixes: distinct keys, counted, in sorted ranges."""
-    first = letters(seqs, start).withColumnRenamed("c", "k")
+    first = written(letters(seqs, start).withColumnRenamed("c", "k"), "first-letters")
     n = first.count()
     end = first.sparkSession.createDataFrame([(n, "")], "pos long, k string")
     r, h = written(_rank(first.unionByName(end), "k"), "ranks"), start
