@@ -49,10 +49,14 @@ def drop(spark: SparkSession, *paths: str) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores. A table of fewer files than cores (one file with one row group, say) would be worked on
-    by a few tasks; it is dealt out once. Larger tables are left as they are read."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * n) if 0 < len(df.inputFiles()) < n else df
+    """df over all cores. A table that has fewer files, and by its size fewer splits, than there are cores (one
+    file with one row group, say) would be worked on by a few tasks; it is dealt out once. All
+    other tables are left as they are read."""
+    spark = df.sparkSession
+    n = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(2 * n) if size < n * split and 0 < len(df.inputFiles()) < n else df
 
 
 def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
