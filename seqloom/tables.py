@@ -55,7 +55,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     n = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(2 * n) if size < n * split and 0 < len(df.inputFiles()) < n else df
 
 
