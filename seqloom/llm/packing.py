@@ -47,10 +47,12 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary:
                 for k, (s, n) in enumerate(cuts(len(ids) // 4, size)):
                     rows.append((doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)]), part, seen[n]))
                     seen[n] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rk"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rk"])
 
-    d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return d.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part long, rk long")
+    # ids go through Python as text: pandas would make numbers with nulls among them floating
+    d = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    d = d.mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long, part long, rk long")
+    return d.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def patterns(h: np.ndarray, size: int, triples: int = 8) -> list[tuple[int, ...]]:

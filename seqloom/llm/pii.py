@@ -141,11 +141,11 @@ def analysed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if patterns := contexts(text, s, e):
                     found.append({"start": s, "end": e, "instance": text[s:e].lower(), "kind": kind, "free": over is None, "patterns": patterns})
             rows.append((doc, t, [{"kind": k, "start": s, "end": e} for k, s, e in base], found))
-        yield pd.DataFrame(rows, columns=["doc_id", "t", "base", "found"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=["doc_id", "t", "base", "found"])
 
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
-ANALYSED = f"doc_id long, t long, base {SPANS}, found array<struct<start:int,end:int,instance:string,kind:string,free:boolean,patterns:array<string>>>"
+ANALYSED = f"doc_id string, t long, base {SPANS}, found array<struct<start:int,end:int,instance:string,kind:string,free:boolean,patterns:array<string>>>"
 
 
 def bootstrap(edges: DataFrame, seeds: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
@@ -168,8 +168,9 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, threshold: float = THRESHOLD,
 def find(docs: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, t (digest of the text), base and added spans: one row per input row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text.alias("text"))
-    seen = rows.mapInPandas(analysed, ANALYSED).withColumn("rid", F.monotonically_increasing_id())
+    # ids go through Python as text: pandas would make numbers with nulls among them floating
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    seen = rows.mapInPandas(analysed, ANALYSED).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("rid", F.monotonically_increasing_id())
     seen, _ = written(seen, "analysed")  # rid is fixed from here on
     each = seen.select("rid", F.explode("found").alias("f")).select("rid", "f.*")
     edges = each.select("instance", F.explode("patterns").alias("pattern")).distinct()

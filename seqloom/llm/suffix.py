@@ -121,8 +121,7 @@ def _anchor_rows(least: int, gram: int):
 
 def _frame(parts: list[tuple]) -> pd.DataFrame:
     n = [len(p[2]) for p in parts]
-    ids = pd.array([None if pd.isna(p[0]) else int(p[0]) for p in parts], dtype="Int64")
-    cols = {"d": ids.repeat(n), "t": np.repeat([p[1] for p in parts], n)}
+    cols = {c: np.repeat(np.array([p[i] for p in parts], dtype=np.int64), n) for i, c in enumerate("dt")}
     return pd.DataFrame(cols | {c: np.concatenate([p[i] for p in parts]) for i, c in enumerate(("key", "run", "lo", "hi"), 2)})
 
 
@@ -177,14 +176,14 @@ def _string_digests(least: int, stretch: int = STRETCH):
                         d = Digests(data[base : base + stretch + least])
                     p = np.arange(lo - base, hi - base + 1)
                     out["h"].append(d.of(p, p + least).view(np.int64))
-                    for c, v in (("d", None if pd.isna(doc) else int(doc)), ("t", t), ("key", key & 0x7FFFFFFF), ("lo", lo)):
+                    for c, v in (("d", doc), ("t", t), ("key", key & 0x7FFFFFFF), ("lo", lo)):
                         out[c].append(v)
                     size += len(p)
                 if size > 500_000:
-                    yield pd.DataFrame(out).astype({"d": "Int64"})
+                    yield pd.DataFrame(out)
                     out, size = {c: [] for c in out}, 0
             if out["t"]:
-                yield pd.DataFrame(out).astype({"d": "Int64"})
+                yield pd.DataFrame(out)
 
     return rows
 
@@ -201,11 +200,11 @@ def _edges_of_runs(places: str, side: int):
 
 
 def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts are docs as (d, t, text), t a digest of the text; spans are (d, t, starts), the
+    """(texts, spans): texts are docs as (doc_id, d, t, text), t a digest of the text; spans are (d, t, starts), the
     ranges [lo, hi] of starts of repeated strings, one number after the other. What repeats depends on the text alone, so
-    rows of equal d and t share their spans."""
+    rows of equal d and t share their spans, and d may stand for a null doc_id as it is."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
+    texts = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("d"), F.coalesce("text", F.lit("")).alias("text")).withColumn("t", F.xxhash64("text"))
     found = texts.where(F.octet_length("text") >= least).select("d", "t", "text").mapInPandas(_anchor_rows(least, gram), "d long, t long, key long, run long, lo int, hi int")
     found, p_found = written(found, "anchors")
     who = F.xxhash64("d", "t", "lo")
@@ -224,7 +223,7 @@ def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, batches: int
     release(spark)
     # the edges: one digest for each string there
     ranges = hits.where("open").groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(_flat("lo", "hi", "key").alias("ranges"))
-    edge = texts.join(ranges, F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t"))).select("d", "t", "text", "ranges")
+    edge = texts.join(ranges, (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t"))).select("d", "t", "text", "ranges")
     edge = edge.mapInPandas(_string_digests(least), "d long, t long, key int, lo int, h array<long>").withColumn("rid", F.monotonically_increasing_id())
     edge, p_edge = written(edge, "edges")
     release(spark)
@@ -261,23 +260,24 @@ def deduplicated(docs: DataFrame, least: int = LEAST, gram: int = GRAM, batches:
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in frames:
             rows, size = [], 0
-            for d, text, starts in zip(b["d"], b["text"], b["starts"], strict=True):
+            for d, text, starts in zip(b["doc_id"], b["text"], b["starts"], strict=True):
                 data, at, kept = text.encode(), 0, []
                 gone = covered(starts, least) if starts is not None else []
                 for begin, end in gone:
                     kept.append(data[at:begin])
                     at = end
                 kept = b"".join((*kept, data[at:]))
-                rows.append((None if pd.isna(d) else int(d), len(data), len(data) - len(kept), len(gone), kept))
+                rows.append((d, len(data), len(data) - len(kept), len(gone), kept))
                 size += len(kept)
                 if size > 8_000_000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
                     rows, size = [], 0
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     s = spans.select(F.col("d").alias("_d"), F.col("t").alias("_t"), "starts")
-    joined = texts.join(s, F.col("d").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left").select("d", "text", "starts")
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    joined = texts.join(s, (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t")), "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "starts")
+    # as text, because pandas would make numbers with nulls among them floating
+    return joined.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def suffix_report(docs: DataFrame) -> DataFrame:

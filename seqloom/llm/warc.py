@@ -103,13 +103,15 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, min_dedu
     large = p.where((F.octet_length("html") >= min_dedup) & F.col("page_id").isNotNull()).select("page_id", "digest").distinct()
     first = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     revisits = large.join(first.select("digest", "first"), "digest").where("page_id < first").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
-    rows = p.join(revisits, (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left").select("page_id", "url", "html", "digest", "first")
+    rows = p.join(revisits, (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
+    # numbers go through Python as text: pandas would make those with nulls among them floating
+    rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("first").cast("string").alias("first"))
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
-        urn = lambda page, digest: f"urn:x-page:{'' if pd.isna(page) else int(page)}:{digest}"
+        urn = lambda page, digest: f"urn:x-page:{'' if pd.isna(page) else page}:{digest}"
         for b in batches:
             out, size = [], 0
             for page, url, text, digest, first in zip(b["page_id"], b["url"], b["html"], b["digest"], b["first"], strict=True):
@@ -229,7 +231,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     found, _ = written(files.mapInPandas(parsed, PARSED), "warc-records")
     whole = found.where("segment is null and record_type <> 'revisit'").select("page_id", "payload_bytes", "digest", F.lit(True).alias("complete"))
     parts = found.where("segment is not null").groupBy("record_id").agg(F.max("page_id").alias("page_id"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
-    responses = whole.unionByName(parts.select("page_id", "total", "parts").mapInPandas(joined, "page_id long, payload_bytes long, digest string, complete boolean"))
+    responses = whole.unionByName(parts.select(F.col("page_id").cast("string").alias("page_id"), "total", "parts").mapInPandas(joined, "page_id string, payload_bytes long, digest string, complete boolean").withColumn("page_id", F.col("page_id").cast("long")))
     responses, _ = written(responses, "warc-responses")
     of = responses.where("complete").groupBy("page_id", "digest").agg(F.max("payload_bytes").alias("payload_bytes")).select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "payload_bytes")
     revisits = found.where("record_type = 'revisit'").select("page_id", "digest", "refers_to").join(of, (F.col("refers_to") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
