@@ -43,6 +43,7 @@ POPULAR = f"{CLUSTERS}, pop AS (SELECT ref, count(*) AS n FROM (SELECT unnest(re
 ORACLES = {
     "seed_count": f"WITH {HITS} SELECT p AS seed, count(doc_id) AS occ FROM (SELECT DISTINCT pattern AS p FROM s) LEFT JOIN (SELECT DISTINCT pattern, doc_id, pos FROM h) ON p = pattern GROUP BY p",
     "seed_locate": f"WITH {HITS} SELECT item_id, off, doc_id, pos FROM h",
+    "stream_seed_locate": f"WITH {HITS} SELECT item_id, off, doc_id, pos FROM h",
     "seed_locate_max_range": f"WITH {HITS} SELECT read_id, doc_id, pos, nh FROM h JOIN n USING (read_id) WHERE nh <= 4",
     "seed_unlocated_flags": f"WITH {HITS} SELECT read_id, coalesce(nh, 0) AS nh, CASE WHEN nh <= 4 THEN 0 ELSE 4 END AS flag FROM s LEFT JOIN n USING (read_id)",
     "seed_first_hits": f"WITH {HITS}, o AS (SELECT read_id, h.doc_id, pos, row_number() OVER (PARTITION BY read_id ORDER BY substring(text, pos + 1, 64) DESC, h.doc_id, pos)::INT AS nth FROM h JOIN documents USING (doc_id)) SELECT * FROM o WHERE nth <= 2",

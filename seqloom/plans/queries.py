@@ -13,7 +13,8 @@ from seqloom.functions import text as T
 from seqloom.operators import index, kmers, match, mosaic, neighbors, resolve, run_graph, sam
 from seqloom.plans import pipelines
 from seqloom.sources import writers
-from seqloom.tables import spread, written
+from seqloom.streaming.search import search_stream
+from seqloom.tables import new_path, spread, written
 
 K, STEP, MAX_RANGE, MAX_HITS, DEPTH = 20, 20, 4, 2, 64
 _made: dict[tuple, DataFrame] = {}
@@ -322,7 +323,27 @@ def sam_header(s, d):
     return sam.header(_lengths(s, d))
 
 
+def stream_seed_locate(s, d):
+    """The benchmark texts as a stream: each micro-batch's seeds are located, and written under the batch's number,
+    so a batch that is run again replaces itself."""
+    out, at = new_path(s, "stream-hits"), new_path(s, "stream-checkpoint")
+    # a pattern, because a stream takes a path without one to be a folder
+    texts = s.readStream.schema(s.read.parquet(f"{d}/benchmark.parquet").schema).parquet(f"{d}/benchmark.parque[t]")
+    q = kmers.seeds(texts.select(F.col("item_id").alias("read_id"), F.col("text").alias("seq")), K, STEP - 1)
+    p = q.select(F.struct("read_id", "off").alias("read_id"), F.col("seed").alias("pattern"))
+    docs = _docs(s, d)
+
+    def sink(hits: DataFrame, batch: int) -> None:
+        hits.select(F.col("read_id.read_id").alias("item_id"), "read_id.off", F.col("seq_id").alias("doc_id"), "pos").write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
+    schema = "item_id long, off long, doc_id long, pos long"
+    s.createDataFrame([], schema).write.parquet(f"{out}/batch=none")  # a stream without rows has no batch
+    search_stream(p, docs, sink, at).awaitTermination()
+    return s.read.schema(schema).parquet(f"{out}/batch=*")
+
+
 QUERIES = {
+    "stream_seed_locate": stream_seed_locate,
     "seed_count": seed_count,
     "seed_locate": seed_locate,
     "seed_locate_max_range": seed_locate_max_range,
