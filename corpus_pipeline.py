@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component the document with the smallest doc_id stays.
+    """Of each near-duplicate component the document with the smallest doc_id stays (null comes first).
 
     The window stands on the join's own partitions and order, so it costs no further shuffle.
     """
