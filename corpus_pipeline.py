@@ -10,7 +10,7 @@ other: the second stage keeps one. Columns that a stage does not name pass throu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, packing, pii, quality, simhash
@@ -31,13 +31,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the document with the smallest doc_id stays (null comes first).
 
-    The window stands on the join's own partitions and order, so it costs no further shuffle.
+    The texts are shuffled once, and not at all where Spark broadcasts the list of those that stay. Rows
+    that are equal in doc_id and text are counted in that list; only they are made one in a step
+    of their own, which is left out where there are none.
     """
     rows = _keyed(docs)
     found = simhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("stays")).distinct()
-    once = F.row_number().over(Window.partitionBy("key").orderBy("key"))
-    return rows.join(stay, F.col("key") == F.col("stays")).select("row", once.alias("nth")).where("nth = 1").select("row.*")
+    stay, _ = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("stays")).agg(F.count("*").alias("n")), "stay")
+    kept = rows.join(stay.where("n = 1"), F.col("key") == F.col("stays")).select("row")
+    again = stay.where("n > 1")
+    if not again.isEmpty():
+        kept = kept.unionByName(rows.join(again, F.col("key") == F.col("stays")).dropDuplicates(["stays"]).select("row"))
+    return kept.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
