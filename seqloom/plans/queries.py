@@ -249,7 +249,8 @@ def window_scan(s, d):
 
 
 def inexact_locate(s, d):
-    p = _seeds(s, d).where("off % 60 = 0").select("read_id", F.concat(F.substring("pattern", 1, 7), F.lit("#"), F.substring("pattern", 9, 12)).alias("pattern"))
+    """Every seed, with a mark for its eighth character."""
+    p = _seeds(s, d).select("read_id", F.concat(F.substring("pattern", 1, 7), F.lit("#"), F.substring("pattern", 9, 12)).alias("pattern"))
     return match.inexact(_docs(s, d).select("seq_id", "seq"), p, 1).select("read_id", F.col("seq_id").alias("doc_id"), "pos", "mismatches")
 
 
