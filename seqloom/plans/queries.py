@@ -107,9 +107,10 @@ def resolve_offset(s, d):
 
 
 def longest_suffix(s, d):
-    """Reads: the last 32 characters of each benchmark text, its last but 12 replaced by a mark."""
-    r = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("read_id"), F.concat(F.substring("text", -32, 20), F.lit("§"), F.substring("text", -11, 11)).alias("pattern"))
-    r = r.unionByName(s.read.parquet(f"{d}/benchmark.parquet").select((F.col("item_id") + 1_000_000).alias("read_id"), F.substring("text", -32, 32).alias("pattern")))
+    """Reads: each benchmark text, and with its last character but 11 replaced by a mark."""
+    b = s.read.parquet(f"{d}/benchmark.parquet")
+    r = b.select(F.col("item_id").alias("read_id"), F.concat(F.expr("left(text, length(text) - 12)"), F.lit("§"), F.expr("right(text, 11)")).alias("pattern"))
+    r = r.unionByName(b.select((F.col("item_id") + 1_000_000).alias("read_id"), F.col("text").alias("pattern")))
     return match.longest_suffix(_docs(s, d), r)
 
 
@@ -255,8 +256,9 @@ def inexact_locate(s, d):
 
 
 def _broken_reads(s, d):
+    """Each benchmark text with a mark put in behind its first 25 characters."""
     b = s.read.parquet(f"{d}/benchmark.parquet")
-    return b.select(F.col("item_id").alias("read_id"), T.ascii_upper(F.concat(F.substring("text", 1, 25), F.lit("§"), F.substring("text", 40, 20))).alias("pattern"))
+    return b.select(F.col("item_id").alias("read_id"), T.ascii_upper(F.concat(F.substring("text", 1, 25), F.lit("§"), F.expr("substring(text, 26)"))).alias("pattern"))
 
 
 def piecewise_segments(s, d):
