@@ -99,11 +99,10 @@ def ref_lengths(s, d):
 
 
 def resolve_offset(s, d):
-    """Every 1000th coordinate of the concatenation, and every sequence's start."""
+    """Every coordinate of the concatenation."""
     i = _once(s, d, "doc-index", lambda: seq_index(s, d))
     n = i.agg(F.sum("len")).first()[0]
-    x = s.range(0, n, 1000).select(F.col("id").alias("x")).unionByName(i.where("len > 0").select(F.col("start").alias("x"))).distinct()
-    return resolve.resolve(x, i).select("x", "name", "off")
+    return resolve.resolve(s.range(0, n or 0).select(F.col("id").alias("x")), i).select("x", "name", "off")
 
 
 def longest_suffix(s, d):
@@ -154,8 +153,8 @@ def gap_at(s, d):
 
 
 def access_sa(s, d):
-    """Suffix array values at every 97th rank, and one Phi step on from each."""
-    r = s.range(1, _sa(s, d).count(), 97).select(F.col("id").alias("rk"))
+    """Suffix array values at every rank but the first, and one Phi step on from each."""
+    r = s.range(1, _sa(s, d).count()).select(F.col("id").alias("rk"))
     at = index.sa_at(_sa(s, d), r)
     return at.join(index.phi(_sa(s, d)), "pos").select("rk", "pos", "phi")
 
@@ -168,7 +167,7 @@ def phi_by_samples(s, d):
 
 def predecessor_circular(s, d):
     n = _sa(s, d).count()
-    return index.predecessor_circular(s.range(0, n, 53).select(F.col("id").alias("x")), _runs(s, d).select("first_tpos"), "x", "first_tpos", n)
+    return index.predecessor_circular(s.range(0, n).select(F.col("id").alias("x")), _runs(s, d).select("first_tpos"), "x", "first_tpos", n)
 
 
 def break_range(s, d):
@@ -245,8 +244,13 @@ def offset_to_chromosome(s, d):
 
 
 def window_scan(s, d):
-    first = s.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").select(F.substring("text", 3, 12)).first()[0]
-    return match.window_scan(_items(s, d).select("seq_id", F.lower("seq").alias("seq")), first.lower(), 7).select(F.col("seq_id").alias("item_id"), "pos", "w", "d")
+    """Windows of the documents at a Hamming distance below 7 of a whole benchmark text, ASCII letters in lower case."""
+    low = lambda c: F.translate(c, T.LOWER.upper(), T.LOWER)
+    p = s.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("read_id"), low(F.col("text")).alias("pattern"))
+    docs = _docs(s, d).select("seq_id", low(F.col("seq")).alias("seq"))
+    at = match.windows_below(docs, p, 7).join(p, "read_id").join(docs, "seq_id")
+    w = F.substring("seq", (F.col("pos") + 1).cast("int"), F.length("pattern"))
+    return at.select(F.col("read_id").alias("item_id"), F.col("seq_id").alias("doc_id"), "pos", w.alias("w"), F.col("mismatches").alias("d"))
 
 
 def inexact_locate(s, d):
@@ -301,7 +305,7 @@ def clip_columns(s, d):
 
 
 def regions(s, d):
-    return _docs(s, d).select(F.col("seq_id").alias("doc_id"), T.region(F.col("seq"), F.lit(11), F.lit(40)).alias("part"), T.acgt_only(T.ascii_upper(F.substring("seq", 1, 200))).alias("acgt"))
+    return _docs(s, d).select(F.col("seq_id").alias("doc_id"), T.region(F.col("seq"), F.lit(11), F.lit(40)).alias("part"), T.acgt_only(T.ascii_upper(F.col("seq"))).alias("acgt"))
 
 
 def fasta_lines(s, d):
