@@ -232,7 +232,9 @@ def mosaic_popularity(s, d):
 
 
 def mosaic_tiles(s, d):
-    return mosaic.tiles(_clusters(s, d), "doc0", K, 200_000).select("a", "b", "ref", "name")
+    """Tiles over the length of the longest document."""
+    total = _lengths(s, d).agg(F.max("len")).first()[0] or 0
+    return mosaic.tiles(_clusters(s, d), "doc0", K, total).select("a", "b", "ref", "name")
 
 
 def offset_to_chromosome(s, d):
