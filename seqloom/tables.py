@@ -20,9 +20,12 @@ def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder, deleted as the process ends, only where that is unset (local sessions)."""
+    """spark.checkpoint.dir; where that is unset, a temporary folder of a local session, deleted as the process ends. Other
+    masters must have it set, as their executors share no temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="seqloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         found = "file://" + own
@@ -91,6 +94,13 @@ def running_total(df: DataFrame, value: str, *order: Column | str, name: str = "
     return d.join(F.broadcast(_before(d, F.col(value))), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_at", "_p", "_before", "_local")
 
 
+def if_small(df: DataFrame, limit: int = 500_000, size: Column | None = None, limit_bytes: int = 1 << 26) -> DataFrame:
+    """df marked for broadcast if it holds at most `limit` rows, and limit_bytes by the column size; else as it is, for a
+    shuffled join. df should be a written table: its rows are counted, not estimated."""
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and total <= limit_bytes else df
+
+
 def blocks(df: DataFrame, key: str, limit: int, size: Column | None = None, limit_bytes: int = 1 << 26) -> list[DataFrame]:
     """df in parts of about `limit` rows, and of limit_bytes by the column size, at most each, so that
     each may be broadcast. Rows are counted, not estimated."""
