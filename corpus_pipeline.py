@@ -5,7 +5,9 @@ again as the next one's docs. All but the last return the columns of documents.
 
 A row is told by its doc_id (which may be null) and its text, so rows that share a doc_id are judged each on
 its own text. Null texts fail the quality rules. Rows equal in doc_id and text are copies of each
-other: the second stage keeps one. Columns that a stage does not name pass through it.
+other: the second stage keeps one. Columns that a stage does not name pass through it. An empty table passes
+every stage as an empty table of the same columns. Texts of any length are judged whole; one text is in memory at a time
+beside its stage's batch.
 """
 
 from __future__ import annotations
@@ -14,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, packing, pii, quality, simhash
-from seqloom.llm._common import written
-from seqloom.tables import spread
+from seqloom.llm._common import drop, written
+from seqloom.tables import if_small, spread
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -31,17 +33,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate component the document with the smallest doc_id stays (null comes first).
 
-    The texts are shuffled once, and not at all where Spark broadcasts the list of those that stay. Rows
-    that are equal in doc_id and text are counted in that list; only they are made one in a step
-    of their own, which is left out where there are none.
+    Those that go are few, and are written as a list first; where the list is small by count it is broadcast, so that
+    texts do not travel. Rows that are equal in doc_id and text are counted beside it; only they are
+    made one in a step of their own, which is left out where there are none.
     """
     rows = _keyed(docs)
-    found = simhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")))
-    stay, _ = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("stays")).agg(F.count("*").alias("n")), "stay")
-    kept = rows.join(stay.where("n = 1"), F.col("key") == F.col("stays")).select("row")
-    again = stay.where("n > 1")
+    found, found_path = written(simhash.near_duplicates(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text"))), "components")
+    gone, _ = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    again, _ = written(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_again")).agg(F.count("*").alias("n")).where("n > 1").select("_again"), "again")
+    drop(spark, found_path)
+    kept = rows.join(if_small(gone), F.col("key") == F.col("_gone"), "left_anti")
     if not again.isEmpty():
-        kept = kept.unionByName(rows.join(again, F.col("key") == F.col("stays")).dropDuplicates(["stays"]).select("row"))
+        again = if_small(again)
+        once = kept.join(again, F.col("key") == F.col("_again"), "left_anti").select("row")
+        kept = once.unionByName(kept.join(again, F.col("key") == F.col("_again")).dropDuplicates(["_again"]).select("row"))
     return kept.select("row.*")
 
 
@@ -50,8 +55,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _keyed(docs)
     found = decontam.contamination(rows.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), items.select("item_id", "text"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("gone")).distinct()
-    return rows.join(gone, F.col("key") == F.col("gone"), "left_anti").select("row.*")
+    gone, _ = written(found.where("contaminated").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return rows.join(if_small(gone), F.col("key") == F.col("_gone"), "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +82,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All stages over documents. A stage's rows are written, and those of the stage before deleted then."""
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), []
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        drop(spark, *before)
+        before = [path]
     return docs
