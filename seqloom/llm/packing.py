@@ -1,6 +1,12 @@
 """Pattern packing: few-document length patterns fitted to the length histogram by non-negative
 least squares, rounded, and the residual packed best fit first.
 
+The integer step. The fitted counts are rounded, taken off the histogram, and what is left is fitted again with the
+patterns of the lengths that are left, a few times; the rest is packed best fit first. Counts rounded down leave a rest that
+packs well, counts rounded to the nearest leave a smaller one; which of them needs fewer sequences hangs on the
+histogram. So a few roundings of the same fit are tried in a fixed order, until one needs no more sequences than the
+tokens, or the pieces of over half a sequence, need anyway; else the best of them is taken.
+
 Only the histogram (at most `size` lengths) comes to the driver; a plan of runs "this pattern, so
 many times" goes back, a few thousand rows at any input size. Pieces find their place by their
 rank among pieces of equal length: a rank within the task that made the piece, plus the counts of
@@ -56,10 +62,11 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary:
 
 
 def patterns(h: np.ndarray, size: int, triples: int = 8) -> list[tuple[int, ...]]:
-    """Multisets of two to four present lengths that fill a sequence exactly; the three and four
-    part ones only by the commonest completions of each length."""
-    out = {(a, size - a) for a in range(size // 2, size) if a < size and h[a] and h[size - a]}
-    out = {tuple(sorted(p, reverse=True)) for p in out}
+    """Multisets of one to four present lengths that fill a sequence exactly: all of one and two; of three and four
+    the completions of each length by its commonest partners. What no such pattern takes is left to the residual."""
+    out = {tuple(sorted((a, size - a), reverse=True)) for a in range((size + 1) // 2, size) if h[a] and h[size - a]}
+    if h[size]:
+        out.add((size,))
     present = np.flatnonzero(h)
     present = present[present < size]
     common = present[np.argsort(-h[present], kind="stable")]
@@ -139,22 +146,48 @@ def _fill(h: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     return runs
 
 
-def plan(h: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Runs (pattern, repeats) that hold every piece of the histogram h once."""
-    whole = _fill(h, size)
-    found = patterns(h, size)
+#: Roundings of fitted counts x, in the order in which they are tried: floor(share * x + up).
+ROUNDINGS = tuple((share, up) for up in (1e-9, 0.5) for share in (1.0, 0.95, 0.9, 0.8, 0.5))
+REFITS = 2
+
+
+def fitted(h: np.ndarray, size: int, share: float, up: float, refits: int = REFITS) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Runs (pattern, repeats) of the fit, and the histogram of what they leave."""
     left, runs = h.copy(), []
-    if found:
-        x = np.floor(nnls(found, h) + 1e-9).astype(np.int64)
-        for j in np.argsort(-x, kind="stable"):
+    for _ in range(refits):
+        found = patterns(left, size)
+        x = np.floor(share * nnls(found, left) + up).astype(np.int64) if found else np.zeros(0, np.int64)
+        taken = 0
+        for j in np.argsort(-x, kind="stable")[: int((x > 0).sum())]:
             need = Counter(found[j])
             n = min([int(x[j]), *(int(left[i]) // m for i, m in need.items())])
             if n > 0:
                 runs.append((found[j], n))
+                taken += n
                 for i, m in need.items():
                     left[i] -= m * n
-    runs += _fill(left, size)
-    return min(runs, whole, key=lambda r: sum(n for _, n in r))
+        if not taken:
+            break
+    return runs, left
+
+
+def lower_bound(h: np.ndarray, size: int = SIZE) -> int:
+    """Sequences that any plan needs: all tokens, and no two pieces of over half a sequence in one."""
+    return max(-(-int((h * np.arange(size + 1)).sum()) // size), int(h[size // 2 + 1 :].sum()))
+
+
+def plan(h: np.ndarray, size: int = SIZE) -> tuple[list[tuple[tuple[int, ...], int]], list[tuple[tuple[int, ...], int]]]:
+    """Runs (pattern, repeats) of the fit, and those of the residual: together they hold every piece of the histogram h once."""
+    best, fewest, least = ([], []), None, lower_bound(h, size)
+    for share, up in ROUNDINGS:
+        runs, left = fitted(h, size, share, up)
+        rest = _fill(left, size)
+        n = sum(n for _, n in runs) + sum(n for _, n in rest)
+        if fewest is None or n < fewest:
+            best, fewest = (runs, rest), n
+        if fewest == least:
+            break
+    return best
 
 
 def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -166,7 +199,8 @@ def pack(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary: st
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `size` rows
         h[r["length"]] = r["n"]
     slots, taken, sequence = [], Counter(), 0
-    for pattern, n in plan(h, size):
+    runs, rest = plan(h, size)
+    for pattern, n in runs + rest:
         offset = 0
         for length in pattern:
             slots.append((length, taken[length], taken[length] + n, sequence, offset))

@@ -23,14 +23,35 @@ def test_plan_holds_every_piece_once(seed):
     for _ in range(rnd.choice([1, 20, 3000])):
         h[rnd.choice([rnd.randint(1, size), min(size, 1 + int(rnd.expovariate(8 / size))), size // 2 + 1])] += rnd.choice([1, 1, 50])
     got = Counter()
-    runs = packing.plan(h, size)
+    fitted, rest = packing.plan(h, size)
+    runs = fitted + rest
+    assert all(sum(pattern) == size for pattern, _ in fitted)
     for pattern, n in runs:
         assert sum(pattern) <= size and n > 0
         for a in pattern:
             got[a] += n
     assert got == Counter({i: int(c) for i, c in enumerate(h) if c})
-    least = max(-(-int((h * np.arange(size + 1)).sum()) // size), int(h[size // 2 + 1 :].sum()))
-    assert sum(n for _, n in runs) <= 1.25 * least + 1
+    assert sum(n for _, n in runs) <= 1.25 * packing.lower_bound(h, size) + 1
+
+
+def test_nnls_finds_the_counts_of_a_mixture():
+    h, made = np.zeros(1025, dtype=np.int64), {(700, 324): 40, (512, 512): 9, (600, 300, 124): 25, (1024,): 70}
+    for pattern, n in made.items():
+        for a in pattern:
+            h[a] += n
+    fitted, rest = packing.plan(h)
+    assert sum(n for _, n in fitted) == sum(made.values()) and not rest
+
+
+def test_fitted_patterns_carry_a_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").repartition(8)
+    h = np.zeros(1025, dtype=np.int64)
+    for r in packing.pieces(docs).groupBy("length").count().collect():
+        h[r["length"]] = r["count"]
+    fitted, rest = packing.plan(h)
+    carried, n = sum(n for _, n in fitted), sum(n for _, n in fitted + rest)
+    assert n == packing.lower_bound(h) and carried > 0.9 * n
+    assert sum(n for p, n in fitted if len(p) > 1) > 0.8 * (n - h[1024])
 
 
 def test_pack(spark):
