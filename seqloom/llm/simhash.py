@@ -3,22 +3,24 @@
 A fingerprint's bits are the majority bits of the XXH64 digests of its 3-word shingles. Two
 fingerprints link at 2 or fewer differing bits; so of their 8 positional bytes at least 6 agree.
 
-Index. A list for each single (position, byte) would hold a 256th of all fingerprints and its pairs grow
-with the square of the corpus. The lists here are those of four positional bytes together: the
-bytes form 4 blocks of two, 2 differing bits touch 2 blocks at most, so a linked pair shares one of
-the 6 lists "two blocks agree" (32 bits). Within a list the positional bytes that a pair shares are
-tallied, pairs of fewer than 6 are dropped, the rest verified by their differing bits.
-Lists of more than `dense` fingerprints are not paired: there each fingerprint is filed under itself and its 32
-one-bit changes outside the list's blocks. Two fingerprints are within 2 bits exactly if they meet under
-one of these, where no more than 33 can meet; each then links to the least one there. So no link
-between different fingerprints is lost from the components, and no group is paired in full.
+Index. A list for each single (position, byte) would hold a 256th of all fingerprints, and its pairs would grow
+with the square of the corpus. So the single-byte lists are kept within the six lists of four positional bytes
+each ("two of the four blocks of two bytes agree"): 2 differing bits touch 2 blocks at most, so a linked pair is in one
+of these together. There each fingerprint is filed under each of its other four (position, byte); how many of these lists
+a pair meets in is tallied, pairs of fewer than 4 + 2 shared positional bytes are dropped, and the rest are verified by
+their differing bits.
+Lists of four positional bytes with more than `dense` fingerprints are not paired, as their pairs grow with their square: there
+each fingerprint is filed under itself and its 32 one-bit changes outside the list's blocks. Two
+fingerprints are within 2 bits exactly if they meet under one of these, where no more than 33 can meet; each then links to
+the least one there. So no link between different fingerprints is lost from the components.
 
 Equal fingerprints are one node before any of this. Components: alternating large-star and
 small-star steps over tables in the shared folder.
 
 Defined cases: a null or wordless text has fingerprint zero, which links like any other; rows with
 equal doc_id each get a row; null doc_ids stay, and count for no component's smallest id; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; other columns are not read. Texts of any length are taken whole; their shingles are
+hashed in blocks, so memory is a few times the longest text.
 """
 
 from __future__ import annotations
@@ -70,9 +72,11 @@ def _lists(fp: Column) -> Column:
     return F.array(*[F.lit(n << 32).cast("long") + F.shiftleft(_block(fp, i), 16) + _block(fp, j) for n, (i, j) in enumerate(BLOCKS)])
 
 
-def shared_bytes(x: Column) -> Column:
-    """Of two fingerprints' difference: in how many byte positions they agree."""
-    return sum((F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(0xFF)) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
+def _other_bytes(fp: Column, tag: Column) -> Column:
+    """(position << 8) + byte for the four positional bytes that are not in the blocks of a list with this tag."""
+    of = F.array(*[F.array(*[F.lit(k) for k in range(8) if k // 2 not in b]) for b in BLOCKS])
+    at = F.element_at(of, (tag + 1).cast("int"))
+    return F.transform(at, lambda k: (k * 256 + F.call_function("shiftrightunsigned", fp, k * 8).bitwiseAND(F.lit(0xFF))).cast("int"))
 
 
 def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
@@ -81,10 +85,11 @@ def links(nodes: DataFrame, dense: int = DENSE) -> DataFrame:
     sizes = post.groupBy("list").agg(F.count("*").alias("n")).where("n > 1")
     post = post.join(sizes, "list")
     of = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    near = lambda p: (shared_bytes(p["a"].bitwiseXOR(p["b"])) >= 8 - MAX_BITS) & (F.bit_count(p["a"].bitwiseXOR(p["b"])) <= MAX_BITS)
-    few = post.where(F.col("n") <= dense).groupBy("list").agg(F.collect_list("fp").alias("f"))  # at most `dense`
+    few = post.where(F.col("n") <= dense).select("list", "fp", F.explode(_other_bytes(F.col("fp"), F.shiftright("list", 32))).alias("at"))
+    few = few.groupBy("list", "at").agg(F.collect_list("fp").alias("f")).where(F.size("f") > 1)  # at most `dense`
     pairs = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, dense), lambda y: of(x, y))))
-    few = few.select(F.explode(F.filter(pairs, near)).alias("p")).select("p.a", "p.b")
+    tally = few.select("list", F.explode(pairs).alias("p")).groupBy("list", "p.a", "p.b").agg(F.count("*").alias("shared"))
+    few = tally.where((F.col("shared") + 4 >= 8 - MAX_BITS) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
     many = post.where(F.col("n") > dense).withColumn("tag", F.shiftright("list", 32))
     other = F.element_at(F.array(*[F.array(*[F.lit(k) for k in range(64) if k // 16 not in b]) for b in BLOCKS]), (F.col("tag") + 1).cast("int"))
     changed = F.concat(F.array("fp"), F.transform(other, lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))

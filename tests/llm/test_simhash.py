@@ -60,6 +60,20 @@ def test_components_of_links(spark, dense):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_pairs_of_five_shared_bytes_are_dropped_by_the_tally(spark):
+    """Pairs one list apart: bits differ in one byte, two bytes, three bytes; the last within one shared list of four bytes."""
+    base = 0x0123456789ABCDEF
+    near, two, three = base ^ 3, base ^ (1 << 8 | 1), base ^ (1 << 40 | 1 << 8 | 1)
+    got = simhash.links(spark.createDataFrame([(x,) for x in (base, near, two, three)], "fp long"))
+    want = {tuple(sorted(p, reverse=True)) for p in ((base, near), (base, two), (near, two), (two, three))}
+    assert {(r.a, r.b) for r in got.collect()} == {p for p in want if bin(p[0] ^ p[1]).count("1") <= 2}
+
+
+def test_very_long_text():
+    t = "One two three four five six seven " * 60_000
+    assert simhash.fingerprint(t) == simhash.fingerprint(t, block=999)
+
+
 def test_long_chains_and_hubs(spark):
     chain = [(i + 1, i) for i in range(60)] + [(1000 + i, 500) for i in range(300)]
     root = {r.a: r.b for r in simhash.components(spark.createDataFrame(chain, "a long, b long")).collect()}
