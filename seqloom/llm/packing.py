@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, size: int = SIZE, end_id: int = END_ID, vocabulary:
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        encoder, part, seen, end = Encoder.of(vocabulary), TaskContext.get().partitionId(), Counter(), end_id.to_bytes(4, "little")
+        encoder, part, seen, end = Encoder.of(vocabulary, fast=True), TaskContext.get().partitionId(), Counter(), end_id.to_bytes(4, "little")
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "byte_bpe_50k.json"
-CHUNK, OVERLAP = 32_768, 512
+CHUNK, OVERLAP = 8_192, 512
 #: On runs of white space of some hundred thousand characters the second library ends its stack.
 _LONG_SPACE = re.compile(r"\s{4096}")
 
@@ -39,17 +39,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """A tokenizers vocabulary in one worker process.
 
-    A byte-level vocabulary may have a file of the same merges as ranks beside it (.tiktoken), which
-    the other public library encodes with several times as fast. It is used where both give the
+    With `fast`, which packing asks for: a byte-level vocabulary may have a file of the same merges as ranks beside it
+    (.tiktoken), which the other public library encodes with several times as fast. It is used where both give the
     same ids: byte-level, the published pattern, a text within Latin-1 (where all Unicode versions
     agree on letters, digits and spaces) that holds no added token's string nor a
     very long run of white space. The tokenizers library itself
     encodes all other texts, and the chunks of huge ones.
     """
 
-    _open: dict[str, Encoder] = {}
+    _open: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, fast: bool = False) -> None:
         import json
 
         from tokenizers import Tokenizer, processors
@@ -64,7 +64,7 @@ class Encoder:
         if self.byte_level:
             self.tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)  # a word's offset is then that of its space
         ranks = path.removesuffix(".json") + ".tiktoken"
-        self._fast = self._ranked(ranks) if self.byte_level and os.path.exists(ranks) else None
+        self._fast = self._ranked(ranks) if fast and self.byte_level and os.path.exists(ranks) else None
 
     @staticmethod
     def _ranked(path: str):
@@ -78,10 +78,10 @@ class Encoder:
         return tiktoken.Encoding(os.path.basename(path), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @classmethod
-    def of(cls, name: str) -> Encoder:
-        if name not in cls._open:
-            cls._open[name] = cls(vocabulary_path(name))
-        return cls._open[name]
+    def of(cls, name: str, fast: bool = False) -> Encoder:
+        if (name, fast) not in cls._open:
+            cls._open[name, fast] = cls(vocabulary_path(name), fast)
+        return cls._open[name, fast]
 
     def _plain(self, text: str) -> bool:
         if self._fast is None or _LONG_SPACE.search(text) or any(x in text for x in self.added):
