@@ -10,7 +10,8 @@ recorded in order of turn and part, with their reference and expanded token coun
 
 Defined cases: null text, content, role or part text count as empty; turns go by number, nulls
 first, ties by role and then rendered content, repeated rows all stay; a null conv_id is a
-conversation of its own; an empty table gives an empty result; other columns are not read.
+conversation of its own; an empty table gives an empty result; other columns are not read. Texts of any length are
+rendered whole; a conversation must fit in an executor's memory a few times.
 """
 
 from __future__ import annotations
@@ -60,35 +61,37 @@ def expanded_tokens(part: Column) -> Column:
     return out
 
 
+def text_part(text: Column) -> Column:
+    """A plain text as a content part."""
+    return F.struct(F.lit("text").alias("type"), text.alias("text"), *[F.lit(None).cast("string" if n == "ref" else "int").alias(n) for n in ("ref", "width", "height", "duration_ms", "pages")])
+
+
 def render(part: Column) -> Column:
     """A part of unknown type is rendered as its text."""
     held = F.concat(F.lit("<|"), part["type"], F.lit(":"), expanded_tokens(part).cast("string"), F.lit("|>"))
     return F.when(part["type"].isin(*EXPANSION), held).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
 
 
-def format_conversations(rows: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, loss_mask (a boolean per turn),
-    attachments (turn_index, part_index, type, ref, n_tokens).
+def format_conversations(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per conversation (conv_id and the further keys): conv_id, keys, n_turns, formatted, loss_mask (a boolean per
+    turn), attachments (turn_index, part_index, type, ref, n_tokens).
 
-    rows: conv_id, turn, role and either content (an array of PART_TYPE) or text.
-    One shuffle, by conv_id. A conversation's turns meet in one row, as its formatted text does.
+    rows: conv_id, keys, turn, role and content (an array of PART_TYPE); or, without content, text, which is
+    taken as one text part. One shuffle, by conversation. A conversation's turns meet in one row, as its formatted text does.
     """
-    if "content" in rows.columns:
-        parts = F.coalesce(F.col("content").cast(f"array<{PART_TYPE}>"), F.array().cast(f"array<{PART_TYPE}>"))
-        body, files = (
-            F.array_join(F.transform(parts, render), ""),
-            F.filter(
-                F.transform(parts, lambda p, i: F.struct(i.alias("part_index"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("n_tokens"))),
-                lambda a: a["type"].isin(*EXPANSION),
-            ),
-        )
-    else:
-        body, files = escape(F.coalesce(F.col("text"), F.lit(""))), F.expr("cast(array() as array<struct<part_index:int,type:string,ref:string,n_tokens:int>>)")
-    turns = rows.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), body.alias("body"), files.alias("files")).alias("t"))
+    said = F.col("content") if "content" in rows.columns else F.array(text_part(F.col("text")))
+    parts = F.coalesce(said.cast(f"array<{PART_TYPE}>"), F.array().cast(f"array<{PART_TYPE}>"))
+    body = F.array_join(F.transform(parts, render), "")
+    files = F.filter(
+        F.transform(parts, lambda p, i: F.struct(i.alias("part_index"), p["type"].alias("type"), p["ref"].alias("ref"), expanded_tokens(p).alias("n_tokens"))),
+        lambda a: a["type"].isin(*EXPANSION),
+    )
+    turns = rows.select("conv_id", *keys, F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), body.alias("body"), files.alias("files")).alias("t"))
     # every turn is distinct after sorting by turn, role and body: the order is the same in every run
-    df = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    df = turns.groupBy("conv_id", *keys).agg(F.sort_array(F.collect_list("t")).alias("t"))
     return df.select(
         "conv_id",
+        *keys,
         F.size("t").cast("bigint").alias("n_turns"),
         F.array_join(F.transform("t", lambda x: F.concat(F.lit(START), escape_role(x["role"]), F.lit("\n"), x["body"], F.lit(END))), "").alias("formatted"),
         F.transform("t", lambda x: x["role"] == "assistant").alias("loss_mask"),
@@ -112,12 +115,13 @@ def parse_formatted(df: DataFrame) -> DataFrame:
 
 
 def chat_report(conversations: DataFrame) -> DataFrame:
-    """The contract's columns for all conversations and conversation -1, read back from the output."""
-    spark = conversations.sparkSession
+    """The contract's columns for all conversations and conversation -1, read back from the output, and n_attachments and
+    expanded_tokens (those that the attachments' placeholders expand to). A conversation -1 of the table itself
+    has a row of its own beside the added one."""
     said = "<|im_end|><|im_start|>assistant ok"
-    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(more)
-    df = parse_formatted(format_conversations(rows))
+    more = conversations.sparkSession.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{said}', true), (-1L, 1L, 'assistant', '{said}', true) AS t(conv_id, turn, role, text, added)")
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", F.lit(False).alias("added")).unionByName(more)
+    df = parse_formatted(format_conversations(rows, "added"))
     learnt = F.array_join(F.transform(F.filter(F.arrays_zip("turns", "loss_mask"), lambda z: z["loss_mask"]), lambda z: z["turns"]["text"]), "")
     df = df.withColumns({"_all": F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), "_loss": learnt})
     return df.select(
@@ -127,17 +131,19 @@ def chat_report(conversations: DataFrame) -> DataFrame:
         F.length("_loss").cast("bigint").alias("loss_chars"),
         F.sha2("_loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
+        F.size("attachments").cast("bigint").alias("n_attachments"),
+        F.aggregate("attachments", F.lit(0).cast("bigint"), lambda a, x: a + x["n_tokens"]).alias("expanded_tokens"),
     )
 
 
 ORACLE = r"""
-WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')),
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, false AS added FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok', true), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok', true)),
 g AS (SELECT conv_id, count(*) AS n_turns,
     string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS a,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS l,
     sum(12 + length(replace(replace(role, '%', '%25'), chr(10), '%0A')) + len(regexp_extract_all(role, '<\\*\|')) + 1
         + length(text) + len(regexp_extract_all(text, '<\\*\|')) + 11)::BIGINT AS formatted_chars
-  FROM c GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(a) AS turns_sha256, length(l)::BIGINT AS loss_chars, sha256(l) AS loss_sha256, formatted_chars FROM g
+  FROM c GROUP BY conv_id, added)
+SELECT conv_id, n_turns, sha256(a) AS turns_sha256, length(l)::BIGINT AS loss_chars, sha256(l) AS loss_sha256, formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS expanded_tokens FROM g
 """

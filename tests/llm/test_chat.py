@@ -42,3 +42,9 @@ def test_typed_parts(spark):
     assert got[1].formatted == "<|im_start|>user\nsee <|image:3|><|audio:11|><|document:768|><\\|x<|image:1|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert [(a.turn_index, a.part_index, a.type, a.ref, a.n_tokens) for a in got[1].attachments] == [(0, 1, "image", "s3://i.png", 3), (0, 2, "audio", "a.wav", 11), (0, 3, "document", "d.pdf", 768), (0, 5, "image", None, 1)]
     assert got[1].loss_mask == [False, True] and got[2].attachments == []
+
+
+def test_own_conversation_minus_one_and_long_texts(spark):
+    rows = [(-1, 0, "user", "own"), (5, 0, "assistant", "long <| " * 200_000), (5, 1, "user", None)]
+    got = chat.chat_report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.conv_id, r.n_turns, r.loss_chars, r.n_attachments, r.expanded_tokens) for r in got) == [(-1, 1, 0, 0, 0), (-1, 2, 33, 0, 0), (5, 2, 1_600_000, 0, 0)]
