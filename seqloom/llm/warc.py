@@ -15,7 +15,8 @@ Defined cases: null html is empty; equal rows each get their own record; pages o
 one payload are all responses if that page_id is the largest; a null page_id never is
 another's response; line ends in URLs are percent-encoded; an empty table gives an empty result;
 a block whose segments are missing, repeated or of another total length has `complete` false and
-no payload; other columns are not read.
+no payload; other columns are not read. A page of any length is cut into segments; it must fit in an executor's memory a
+few times.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm._common import new_path, written
+from seqloom.tables import if_small
 
-MIN_DEDUP, SEGMENT, HTTP_CHUNK, PER_FILE = 1000, 32_768, 4_096, 1000
+MIN_DEDUP, SEGMENT, HTTP_CHUNK, PER_FILE = 1000, 2_048, 1_024, 8000
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,14 +98,18 @@ def records_of(urn: str, serial: str, url: str, digest: str, html: str, refers_t
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, min_dedup: int = MIN_DEDUP) -> None:
     """pages (page_id, url, html) as gzipped WARC files under path.
 
-    Which page is a revisit is settled on digests alone; the payloads are shuffled once, by page_id.
+    Payloads are equal if their SHA-256 and lengths are. Which page is a revisit is settled on these alone and written as
+    a list; the payloads meet it where they are if it is small by count, else they are shuffled once. A record holds
+    `segment` characters at most, so files are bounded by bytes as well as records.
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    large = p.where((F.octet_length("html") >= min_dedup) & F.col("page_id").isNotNull()).select("page_id", "digest").distinct()
-    first = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = large.join(first.select("digest", "first"), "digest").where("page_id < first").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
-    rows = p.join(revisits, (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
+    same = F.concat(F.sha2("html", 256), F.octet_length("html").cast("string"))
+    large = p.where((F.octet_length("html") >= min_dedup) & F.col("page_id").isNotNull()).select("page_id", "digest", same.alias("same")).distinct()
+    first = large.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    revisits = large.join(first.select("same", "first"), "same").where("page_id < first").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
+    revisits, _ = written(revisits.dropDuplicates(["_p", "_d"]), "revisits")
+    rows = p.join(if_small(revisits), (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
     # numbers go through Python as text: pandas would make those with nulls among them floating
     rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("first").cast("string").alias("first"))
 

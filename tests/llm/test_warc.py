@@ -54,3 +54,8 @@ def test_damaged_segments_are_told(spark, tmp_path):
     (tmp_path / "shuffled.warc").write_text("".join(r + "\r\n\r\n" for r in reversed(recs)), newline="")
     (r,) = warc.read_archives(spark, f"file://{tmp_path}/shuffled.warc").collect()
     assert r.complete and r.payload_bytes == 3000
+
+
+def test_many_pages_of_the_query_come_in_segments(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").where(f"length(html) > {warc.SEGMENT}").count()
+    assert pages > 100
