@@ -95,10 +95,16 @@ class Encoder:
     def ids(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> bytes:
         """The ids of the whole text, four bytes each."""
         if len(text) > chunk and self.byte_level:
-            return b"".join(self.spliced(text, chunk, overlap))
+            return b"".join(map(self._pack, self.spliced(text, chunk, overlap)))
         if self._plain(text):
             return self._pack(self._fast(text))
-        return self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)  # without offsets
+
+    def count(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+        """How many ids the whole text has."""
+        if len(text) > chunk and self.byte_level:
+            return sum(map(len, self.spliced(text, chunk, overlap)))
+        return len(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0])
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -106,46 +112,65 @@ class Encoder:
 
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _encoded(self, text: str, at: int) -> tuple[list[int], list[int], dict[int, int]]:
-        """ids; each pre-token's start in the whole text; at each such start, the index of its first id."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        starts, index, last = [], {}, None
-        for i, (w, (a, _)) in enumerate(zip(e.word_ids, e.offsets, strict=True)):
-            if w != last:
-                starts.append(at + a)
-                index.setdefault(at + a, i)
-                last = w
-        return e.ids, starts, index
-
-    def spliced(self, text: str, chunk: int, overlap: int) -> Iterator[bytes]:
-        """Ids of a huge text, piece by piece; one pair of chunks is in memory at a time."""
+    @staticmethod
+    def _ends(encoded, at: int) -> Iterator[tuple[int, int]]:
+        """(start in the whole text, index of the first id) of the pre-tokens, from the last one back."""
+        i = len(encoded) - 1
+        while i >= 0:
+            word = encoded.token_to_word(i)
+            while i > 0 and encoded.token_to_word(i - 1) == word:
+                i -= 1
+            yield at + encoded.token_to_chars(i)[0], i
+            i -= 1
+
+    @staticmethod
+    def _begins(encoded, at: int, upto: int) -> dict[int, int]:
+        """The same from the first one on, up to a place of the text."""
+        out, last, i = {}, None, 0
+        while i < len(encoded):
+            word = encoded.token_to_word(i)
+            if i == 0 or word != last:
+                start = at + encoded.token_to_chars(i)[0]
+                if start > upto:
+                    break
+                out.setdefault(start, i)
+                last = word
+            i += 1
+        return out
+
+    def spliced(self, text: str, chunk: int, overlap: int) -> Iterator[list[int]]:
+        """Ids of a huge text, piece by piece; one pair of chunks is in memory at a time. Boundaries are looked
+        at in the overlap only."""
+        encode = lambda a, b: self.tokenizer.encode(text[a:b], add_special_tokens=False)
         margin = max([2, *map(len, self.added)])
         x, end = 0, min(chunk, len(text))
-        ids, starts, index = self._encoded(text[:end], 0)
+        at, left = 0, encode(0, end)  # where the left chunk was cut out
         begin = 0  # where ids that still stand begin
         while end < len(text):
             reach, found = overlap, None
             while found is None:
-                right = max(x + 1, end - reach)
-                to = min(len(text), right + max(chunk, 2 * reach))
-                more = self._encoded(text[right:to], right)
-                safe = [s for s in starts[:-2] if right < s <= end - margin]
-                found = next((s for s in reversed(safe) if s in more[2]), None)
+                start = max(x + 1, end - reach)
+                to = min(len(text), start + max(chunk, 2 * reach))
+                right = encode(start, to)
+                held = self._begins(right, start, end - margin)
+                for n, (s, i) in enumerate(self._ends(left, at)):
+                    if s <= start:
+                        break
+                    if n > 1 and s <= end - margin and s in held:
+                        found = s, i
+                        break
                 if found is None:
-                    if right == x + 1:  # nothing left to widen: the left chunk grows instead
+                    if start == x + 1:  # nothing left to widen: the left chunk grows instead
                         end = min(len(text), x + 2 * (end - x))
-                        ids, starts, index = self._encoded(text[x:end], x)
-                        begin = 0
+                        at, left, begin = x, encode(x, end), 0
                         if end == len(text):
                             break
                     reach *= 2
             if found is None:
                 break
-            yield self._pack(ids[begin : index[found]])
-            ids, starts, index = more
-            x, end, begin = found, to, index[found]
-            starts = [s for s in starts if s >= found]
-        yield self._pack(ids[begin:])
+            yield left.ids[begin : found[1]]
+            x, end, begin, at, left = found[0], to, held[found[0]], start, right
+        yield left.ids[begin:]
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 1024, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -156,7 +181,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = 102
     def counted(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = Encoder.of(vocabulary)
         for s in texts:
-            yield pd.Series([len(encoder.ids(t, chunk, overlap)) // 4 for t in s], dtype="int64")
+            yield pd.Series([encoder.count(t, chunk, overlap) for t in s], dtype="int64")
 
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), counted(text).alias("n_tokens"))
