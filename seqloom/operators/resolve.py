@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.tables import running_total
+from seqloom.tables import ranked, running_total
 
 #: Sequence tables of up to so many rows are broadcast as sorted arrays per bucket of coordinates.
 BUCKET = 1 << 20
@@ -19,7 +19,9 @@ def sequence_index(seqs: DataFrame) -> DataFrame:
 
 def names_and_lengths(index: DataFrame, text_size: int) -> DataFrame:
     """(name, len) from starts alone: the next start, or the text's size, minus the own."""
-    return index.select("name", (F.lead("start", 1, text_size).over(Window.orderBy("start")) - F.col("start")).alias("len"))
+    r = ranked(index.select("name", "start"), "start", name="_i")
+    ahead = r.select((F.col("_i") - 1).alias("_i"), F.col("start").alias("_next"))
+    return r.join(ahead, "_i", "left").select("name", (F.coalesce("_next", F.lit(text_size)) - F.col("start")).alias("len"))
 
 
 def resolve(positions: DataFrame, index: DataFrame, bucket: int = BUCKET) -> DataFrame:

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 UP = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
 ITEMS = f"i AS (SELECT item_id, {UP.format('text')} AS t FROM benchmark)"
 SEEDS = "s AS (SELECT item_id || '_' || off AS read_id, item_id, off, substring(text, off + 1, 20) AS pattern FROM (SELECT *, unnest(range(0, length(text) - 19, 20)) AS off FROM benchmark))"
 
 
-def windows(k: int, name: str = "k") -> str:
+def windows(k: int, name: str = "k", text: str = "text") -> str:
     """All substrings of length k of the documents, by pieces of 256."""
     return (
         f"{name} AS (SELECT doc_id, base + o AS pos, substring(part, (o + 1)::INT, {k}) AS w FROM (SELECT doc_id, n, base, substring(text, base + 1, {256 + k - 1}) AS part"
-        f" FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 256)) AS base FROM documents)), range(0, 256) r(o) WHERE base + o + {k} <= n)"
+        f" FROM (SELECT doc_id, {text} AS text, length(text) AS n, unnest(range(0, length(text), 256)) AS base FROM documents)), range(0, 256) r(o) WHERE base + o + {k} <= n)"
     )
 
 
@@ -30,6 +31,8 @@ sam AS (SELECT 'read_' || s.read_id AS qname, CASE WHEN pos IS NULL THEN 4 WHEN
   coalesce((pos + 1)::VARCHAR, '*') AS pos, CASE WHEN pos IS NULL THEN '*' ELSE '255' END AS mapq, '20M' AS cigar, '*' AS rnext, 0 AS pnext, 0 AS tlen,
   CASE WHEN nth > 1 THEN '*' ELSE pattern END AS seq, CASE WHEN nth > 1 THEN '*' ELSE repeat('~', 20) END AS qual, 'NH:i:' || coalesce(nh, 0) || ' ' AS tags
   FROM s LEFT JOIN hh USING (read_id))"""
+#: The same with line ends as blanks.
+SAM_OF_LINES = SAM.replace("FROM benchmark", "FROM (SELECT item_id, replace(text, chr(10), ' ') AS text FROM benchmark)").replace("FROM documents", "FROM (SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents)")
 REFS = f"""{SAM}, u AS (SELECT qname FROM sam WHERE flag & 4 = 0 GROUP BY qname HAVING count(DISTINCT pos) = 1),
 ref AS (SELECT pos::BIGINT AS pos, list_sort(list(DISTINCT rname)) AS refs FROM sam JOIN u USING (qname) WHERE flag & 4 = 0 GROUP BY pos)"""
 CLUSTERS = f"""{REFS}, o AS (SELECT *, row_number() OVER (ORDER BY pos) AS rn FROM ref),
@@ -40,23 +43,39 @@ f AS (SELECT rn, 0 AS cluster, pos AS first_pos, pos AS last_pos, 1 AS n_pos, re
 cl AS (SELECT cluster::INT AS cluster, max(first_pos) AS first_pos, max(last_pos) AS last_pos, max(n_pos)::BIGINT AS n_pos, list_sort(arg_max(refs, rn)) AS refs FROM f GROUP BY cluster)"""
 POPULAR = f"{CLUSTERS}, pop AS (SELECT ref, count(*) AS n FROM (SELECT unnest(refs) AS ref FROM cl) GROUP BY ref)"
 
+BROKEN = f"{ITEMS}, r AS (SELECT item_id, {UP.format("left(text, 25) || chr(167) || substring(text, 26)")} AS p FROM benchmark)"
+#: Greedy segments from the right: before the letter at pos is looked at, a segment ends at e.
+SEGMENTS = f"""{BROKEN}, st AS (SELECT item_id, p, length(p) - 1 AS pos, length(p) - 1 AS e, 0 AS seg FROM r UNION ALL
+  SELECT item_id, p, pos - 1, CASE WHEN found THEN e ELSE pos - 1 END, CASE WHEN found THEN seg ELSE seg + 1 END
+  FROM (SELECT *, EXISTS (SELECT 1 FROM i WHERE contains(i.t, substring(p, pos + 1, e - pos + 1))) AS found FROM st WHERE pos >= 0)),
+sg AS (SELECT item_id, seg::INT AS segment, (min(pos) + 1)::BIGINT AS seg_start, max(e)::BIGINT AS seg_end, any_value(p) AS p FROM st GROUP BY item_id, seg),
+sh AS (SELECT item_id, segment, ref, unnest(list_filter(range(1, length(t) - length(w) + 2), lambda j: substring(t, j, length(w)) = w)) - 1 AS pos
+  FROM (SELECT sg.item_id, segment, substring(p, seg_start::INT + 1, (seg_end - seg_start + 1)::INT) AS w, i.item_id AS ref, i.t FROM sg, i WHERE seg_end >= seg_start) WHERE contains(t, w)),
+sn AS (SELECT item_id, segment, count(*) AS occ FROM sh GROUP BY ALL)"""
+EDGES = f"""{RUNS}, l AS (SELECT run, first_tpos, coalesce(lead(first_tpos) OVER (ORDER BY first_tpos) - first_tpos, 1) AS lim FROM r),
+ed AS (SELECT e.run, p.run AS next, x - p.first_tpos AS cost, l.lim AS lim FROM (SELECT run + 1 AS run, last_tpos AS x FROM r WHERE run + 1 IN (SELECT run FROM r)) e
+  ASOF JOIN (SELECT run, first_tpos FROM r) p ON e.x >= p.first_tpos JOIN l ON l.run = e.run)"""
+
 ORACLES = {
     "seed_count": f"WITH {HITS} SELECT p AS seed, count(doc_id) AS occ FROM (SELECT DISTINCT pattern AS p FROM s) LEFT JOIN (SELECT DISTINCT pattern, doc_id, pos FROM h) ON p = pattern GROUP BY p",
     "seed_locate": f"WITH {HITS} SELECT item_id, off, doc_id, pos FROM h",
     "stream_seed_locate": f"WITH {HITS} SELECT item_id, off, doc_id, pos FROM h",
     "seed_locate_max_range": f"WITH {HITS} SELECT read_id, doc_id, pos, nh FROM h JOIN n USING (read_id) WHERE nh <= 4",
     "seed_unlocated_flags": f"WITH {HITS} SELECT read_id, coalesce(nh, 0) AS nh, CASE WHEN nh <= 4 THEN 0 ELSE 4 END AS flag FROM s LEFT JOIN n USING (read_id)",
-    "seed_first_hits": f"WITH {HITS}, o AS (SELECT read_id, h.doc_id, pos, row_number() OVER (PARTITION BY read_id ORDER BY substring(text, pos + 1, 64) DESC, h.doc_id, pos)::INT AS nth FROM h JOIN documents USING (doc_id)) SELECT * FROM o WHERE nth <= 2",
+    "seed_first_hits": f"WITH {HITS}, o AS (SELECT read_id, h.doc_id, pos, row_number() OVER (PARTITION BY read_id ORDER BY substring(text, pos + 1) DESC, h.doc_id, pos)::INT AS nth FROM h JOIN documents USING (doc_id)) SELECT * FROM o WHERE nth <= 2",
     "passage_contains": "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "batch_stats": f"WITH {HITS} SELECT count(*) AS patterns, sum(coalesce(nh, 0))::BIGINT AS occurrences, sum(coalesce(nh, 0)) / count(*) AS per_pattern FROM s LEFT JOIN n USING (read_id)",
     "occurrence_check": f"WITH {HITS} SELECT count(*) AS hits, 0::BIGINT AS wrong, 0::BIGINT AS twice FROM h",
     "seq_index": f"WITH {INDEX} SELECT * FROM x",
     "ref_lengths": f"WITH {INDEX} SELECT name, len FROM x WHERE len > 0",
-    "resolve_offset": f"WITH {INDEX}, q AS (SELECT unnest(range(0, (SELECT sum(len) FROM x)::BIGINT, 1000)) AS x UNION SELECT start FROM x WHERE len > 0) SELECT q.x, name, q.x - start AS off FROM q ASOF JOIN (SELECT * FROM x WHERE len > 0) y ON q.x >= y.start",
-    "longest_suffix": """WITH q AS (SELECT item_id AS read_id, substring(text, -32, 20) || chr(167) || substring(text, -11) AS p FROM benchmark UNION ALL SELECT item_id + 1000000, substring(text, -32) FROM benchmark),
-      l AS (SELECT read_id, p, unnest(range(1, length(p) + 1)) AS m FROM q), c AS (SELECT read_id, max(m) AS m FROM l WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, right(p, m))) GROUP BY read_id),
-      o AS (SELECT read_id, m, right(p, m) AS w FROM c JOIN q USING (read_id))
-      SELECT read_id, coalesce(m, 0)::BIGINT AS match_len, coalesce((SELECT sum(len(list_filter(range(1, length(d.text) - m + 2), lambda j: substring(d.text, j, m) = w))) FROM documents d WHERE contains(d.text, w)), 0)::BIGINT AS occ FROM q LEFT JOIN o USING (read_id)""",
+    "resolve_offset": f"WITH {INDEX}, q AS (SELECT unnest(range(0, (SELECT sum(len) FROM x)::BIGINT)) AS x) SELECT q.x, name, q.x - start AS off FROM q ASOF JOIN (SELECT * FROM x WHERE len > 0) y ON q.x >= y.start",
+    "longest_suffix": """WITH RECURSIVE q AS (SELECT item_id AS read_id, left(text, length(text) - 12) || chr(167) || right(text, 11) AS p FROM benchmark UNION ALL SELECT item_id + 1000000, text FROM benchmark),
+      -- a suffix of a suffix that occurs occurs, too: the longest one by halving
+      h AS (SELECT read_id, p, 0 AS lo, length(p) AS hi FROM q UNION ALL
+        SELECT read_id, p, CASE WHEN found THEN mid ELSE lo END, CASE WHEN found THEN hi ELSE mid - 1 END
+        FROM (SELECT read_id, p, lo, hi, (lo + hi + 1) // 2 AS mid, EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, right(p, (lo + hi + 1) // 2))) AS found FROM h WHERE lo < hi)),
+      c AS (SELECT read_id, p, lo AS m, right(p, lo) AS w FROM h WHERE lo = hi)
+      SELECT read_id, m::BIGINT AS match_len, CASE WHEN m = 0 THEN 0 ELSE coalesce((SELECT sum(len(list_filter(range(1, length(d.text) - m + 2), lambda j: substring(d.text, j, m) = w))) FROM documents d WHERE contains(d.text, w)), 0) END::BIGINT AS occ FROM c""",
     "char_c_array": f"WITH {C} SELECT * FROM ca",
     "char_rank_select": f"WITH {CHARS} SELECT item_id, pos, c, row_number() OVER (PARTITION BY item_id, c ORDER BY pos) - 1 AS rank FROM ch",
     "run_length_encode": f"WITH {CHARS}, y AS (SELECT *, lag(c) OVER (PARTITION BY item_id ORDER BY pos) AS p FROM ch), z AS (SELECT *, sum((p IS NULL OR p <> c)::INT) OVER (PARTITION BY item_id ORDER BY pos) - 1 AS run FROM y) SELECT item_id, run::BIGINT AS run, any_value(c) AS c, min(pos) AS lo, max(pos) AS hi FROM z GROUP BY item_id, run",
@@ -70,17 +89,20 @@ ORACLES = {
     "first_column": f"WITH {BWT} SELECT rk, CASE WHEN rk > 0 THEN substring(t, pos + 1, 1) END AS f FROM b, t",
     "phi": f"WITH {SA}, p AS (SELECT rk, pos, lag(pos) OVER (ORDER BY rk) AS phi FROM sa) SELECT pos, phi FROM p WHERE rk > 0",
     "phi_by_samples": f"WITH {SA}, p AS (SELECT rk, pos, lag(pos) OVER (ORDER BY rk) AS phi FROM sa) SELECT pos, phi FROM p WHERE rk > 0",
-    "access_sa": f"WITH {SA}, p AS (SELECT rk, pos, lag(pos) OVER (ORDER BY rk) AS phi FROM sa) SELECT * FROM p WHERE rk % 97 = 1",
+    "access_sa": f"WITH {SA}, p AS (SELECT rk, pos, lag(pos) OVER (ORDER BY rk) AS phi FROM sa) SELECT * FROM p WHERE rk > 0",
     "sa_range_print": f"WITH {SA} SELECT rk, rk || ': ' || pos AS value FROM sa WHERE rk BETWEEN 10 AND 60",
     "build_stats": f"WITH {RUNS} SELECT sum(len)::BIGINT AS n, count(*) AS r, sum(len) / count(*) AS n_over_r, log2(count(*)) AS log2_r, log2(sum(len) / count(*)) AS log2_n_over_r FROM r",
     "space_report": f"WITH {RUNS} SELECT 'bwt_runs' AS component, count(*) AS n_rows, 7::BIGINT AS n_columns FROM r UNION ALL SELECT 'sa', count(*), 2 FROM sa UNION ALL SELECT 'letters', count(*) - 1, 2 FROM sa",
-    "predecessor_circular": f"WITH {RUNS}, q AS (SELECT unnest(range(0, (SELECT count(*) FROM sa), 53)) AS x) SELECT x, coalesce((SELECT max(first_tpos) FROM r WHERE first_tpos < x), (SELECT max(first_tpos) FROM r)) AS first_tpos FROM q",
+    "predecessor_circular": f"WITH {RUNS}, q AS (SELECT unnest(range(0, (SELECT count(*) FROM sa))) AS x) SELECT x, coalesce(r.first_tpos, (SELECT max(first_tpos) FROM r)) AS first_tpos FROM q ASOF LEFT JOIN r ON q.x > r.first_tpos",
     "break_range": f"WITH {RUNS} SELECT greatest(lo, 100) AS lo, least(hi, 2000) AS hi FROM r WHERE head = 'E' AND hi >= 100 AND lo <= 2000",
     "closest_run_break": f"WITH {RUNS} SELECT min(CASE WHEN greatest(lo, 100) > 100 THEN greatest(lo, 100) ELSE least(hi, 2000) END) AS place FROM r WHERE head = 'E' AND hi >= 100 AND lo <= 2000",
-    "backward_ranges": f"WITH {SA} SELECT item_id, min(rk) AS lo, max(rk) AS hi FROM i, sa, t WHERE starts_with(substring(t.t, pos + 1, 6), substring(i.t, 5, 6)) AND length(i.t) >= 5 GROUP BY item_id",
-    "run_graph_edges": f"""WITH {RUNS}, l AS (SELECT run, first_tpos, coalesce(lead(first_tpos) OVER (ORDER BY first_tpos) - first_tpos, 1) AS lim FROM r),
-      e AS (SELECT run + 1 AS run, last_tpos AS x FROM r WHERE run + 1 IN (SELECT run FROM r))
-      SELECT e.run, p.run AS next, x - p.first_tpos AS cost, l.lim AS limit FROM e ASOF JOIN (SELECT run, first_tpos FROM r) p ON e.x >= p.first_tpos JOIN l ON l.run = e.run""",
+    "backward_ranges": f"WITH {SA}, q AS (SELECT item_id, o AS off, substring(i.t, (o + 1)::INT, 8) AS w FROM (SELECT *, unnest(range(0, length(t) - 7, 8)) AS o FROM i) i), k AS (SELECT rk, pos, substring(t, (pos + 1)::INT, 8) AS w FROM sa, t) SELECT item_id, off, min(rk) AS lo, max(rk) AS hi, arg_max(pos, rk) AS toehold FROM q JOIN k USING (w) GROUP BY ALL",
+    "run_graph_edges": f"WITH {EDGES} SELECT run, next, cost, lim AS limit FROM ed",
+    "run_graph_double_edges": f"WITH {EDGES} SELECT a.run, b.next, a.cost + b.cost AS cost, least(a.lim, b.lim - a.cost) AS limit FROM ed a JOIN ed b ON b.run = a.next",
+    "run_graph_walks": f"""WITH RECURSIVE {EDGES}, w AS (SELECT run AS q, run, 0::BIGINT AS ahead, 0::BIGINT AS steps FROM ed UNION ALL
+      SELECT q, next, ahead + cost, steps + 1 FROM w JOIN ed USING (run) WHERE ahead < lim AND steps < 7) SELECT q, arg_max(run, steps) AS run, arg_max(ahead, steps) AS ahead, max(steps) AS steps FROM w GROUP BY q""",
+    "path_cover": f"""WITH RECURSIVE {EDGES}, w AS (SELECT run AS root, run FROM ed WHERE run NOT IN (SELECT next FROM ed) UNION SELECT root, next FROM w JOIN ed USING (run) WHERE next > 0),
+      o AS (SELECT run, min(root) AS root FROM w GROUP BY run) SELECT root, count(*) AS n FROM o GROUP BY root HAVING count(*) >= 16""",
     "sam_records": f"WITH {SAM} SELECT * FROM sam",
     "sam_lines": f"WITH {SAM} SELECT concat_ws(chr(9), qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags) AS value FROM sam",
     "sam_header": "SELECT -1 AS ord, '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:unknown' AS value UNION ALL SELECT doc_id, '@SQ' || chr(9) || 'SN:doc' || doc_id || chr(9) || 'LN:' || length(text) FROM documents",
@@ -91,25 +113,57 @@ ORACLES = {
     "all_refs": f"WITH {SAM} SELECT DISTINCT rname FROM sam WHERE flag & 4 = 0",
     "mosaic_clusters": f"WITH RECURSIVE {CLUSTERS} SELECT cluster, first_pos, last_pos, n_pos, array_to_string(refs, ',') AS refs FROM cl",
     "mosaic_popularity": f"WITH RECURSIVE {POPULAR} SELECT * FROM pop",
-    "mosaic_tiles": f"""WITH RECURSIVE {POPULAR}, ch AS (SELECT cluster, first(ref ORDER BY ref <> 'doc0', n DESC, ref) AS ref FROM (SELECT cluster, unnest(refs) AS ref FROM cl) JOIN pop USING (ref) GROUP BY cluster),
-      e AS (SELECT first_pos AS a, least(coalesce(lead(first_pos) OVER (ORDER BY first_pos) - 1, 200000), last_pos + 19, 200000) AS b, ref, lead(first_pos) OVER (ORDER BY first_pos) AS nx, row_number() OVER (ORDER BY first_pos) AS k FROM cl JOIN ch USING (cluster)),
-      al AS (SELECT a, b, ref FROM e UNION ALL SELECT b + 1, coalesce(nx - 1, 200000), 'doc0' FROM e WHERE b + 1 <= coalesce(nx - 1, 200000) UNION ALL SELECT 1, a - 1, 'doc0' FROM e WHERE k = 1 AND a > 1)
+    "mosaic_tiles": f"""WITH RECURSIVE {POPULAR}, le AS (SELECT max(length(text)) AS total FROM documents), ch AS (SELECT cluster, first(ref ORDER BY ref <> 'doc0', n DESC, ref) AS ref FROM (SELECT cluster, unnest(refs) AS ref FROM cl) JOIN pop USING (ref) GROUP BY cluster),
+      e AS (SELECT first_pos AS a, least(coalesce(lead(first_pos) OVER (ORDER BY first_pos) - 1, total), last_pos + 19, total) AS b, ref, lead(first_pos) OVER (ORDER BY first_pos) AS nx, row_number() OVER (ORDER BY first_pos) AS k FROM cl JOIN ch USING (cluster), le),
+      al AS (SELECT a, b, ref FROM e UNION ALL SELECT b + 1, coalesce(nx - 1, total), 'doc0' FROM e, le WHERE b + 1 <= coalesce(nx - 1, total) UNION ALL SELECT 1, a - 1, 'doc0' FROM e WHERE k = 1 AND a > 1)
       SELECT a::BIGINT AS a, b::BIGINT AS b, ref, ref || ':' || a || '-' || b AS name FROM al""",
     "offset_to_chromosome": f"WITH {HITS} SELECT read_id, 0 AS flag, 'doc' || doc_id AS rname, (pos + 1)::VARCHAR AS pos FROM h UNION ALL SELECT read_id, 4, '*', '*' FROM s WHERE read_id NOT IN (SELECT read_id FROM h)",
-    "hamming_window_scan": f"""WITH {ITEMS}, p AS (SELECT lower(substring(text, 3, 12)) AS p FROM benchmark ORDER BY item_id LIMIT 1),
-      w AS (SELECT item_id, j AS pos, lower(substring(t, (j + 1)::INT, 12)) AS w FROM (SELECT *, unnest(range(0, length(t) - 11)) AS j FROM i)),
-      z AS (SELECT item_id, pos, w, len(list_filter(range(1, 13), lambda j: substring(w, j, 1) <> substring(p, j, 1))) AS d FROM w, p) SELECT item_id, pos, w, d::INT AS d FROM z WHERE d < 7""",
-    "inexact_locate": f"""WITH {SEEDS}, {windows(20)}, p AS (SELECT read_id, substring(pattern, 1, 7) AS a, substring(pattern, 9, 12) AS b, substring(pattern, 1, 7) || '#' || substring(pattern, 9) AS p FROM s WHERE off % 60 = 0),
+    "hamming_window_scan": f"""WITH p AS (SELECT item_id, {LOW.format('text')} AS p, length(text) AS m FROM benchmark), d AS (SELECT doc_id, {LOW.format('text')} AS t FROM documents),
+      -- of seven parts of a pattern one is free of fewer than seven differences; its first 12 letters are looked up
+      s AS (SELECT item_id, p, m, (i * m) // 7 AS o, substring(p, ((i * m) // 7 + 1)::INT, 12) AS k FROM p, range(0, 7) r(i) WHERE m >= 84), {windows(12, text=LOW.format('text'))},
+      c AS (SELECT DISTINCT item_id, doc_id, pos - o AS pos FROM s JOIN k ON s.k = k.w WHERE pos >= o),
+      w AS (SELECT item_id, doc_id, pos, p, substring(t, (pos + 1)::INT, m::INT) AS w FROM c JOIN p USING (item_id) JOIN d USING (doc_id) WHERE pos + m <= length(t))
+      SELECT item_id, doc_id, pos, w, d FROM (SELECT *, len(list_filter(range(1, length(p) + 1), lambda j: substring(w, j, 1) <> substring(p, j, 1)))::INT AS d FROM w) WHERE d < 7""",
+    "inexact_locate": f"""WITH {SEEDS}, {windows(20)}, p AS (SELECT read_id, substring(pattern, 1, 7) AS a, substring(pattern, 9, 12) AS b, substring(pattern, 1, 7) || '#' || substring(pattern, 9) AS p FROM s),
       c AS (SELECT read_id, doc_id, pos, p, w FROM p JOIN k ON substring(w, 1, 7) = a AND substring(w, 9, 12) = b UNION SELECT read_id, doc_id, pos, p, w FROM p JOIN k ON substring(w, 11, 10) = substring(p, 11, 10) UNION SELECT read_id, doc_id, pos, p, w FROM p JOIN k ON substring(w, 1, 10) = substring(p, 1, 10)),
       z AS (SELECT read_id, doc_id, pos, len(list_filter(range(1, 21), lambda j: substring(w, j, 1) <> substring(p, j, 1)))::INT AS mismatches FROM c) SELECT * FROM z WHERE mismatches <= 1""",
+    "piecewise_segments": f"WITH RECURSIVE {SEGMENTS} SELECT item_id, segment, seg_start, seg_end, coalesce(occ, 0) AS occ, seg_end + (segment > 0)::INT AS legacy_end FROM sg LEFT JOIN sn USING (item_id, segment)",
+    "piecewise_records": f"""WITH RECURSIVE {SEGMENTS}, z AS (SELECT item_id, segment, p, seg_start, seg_end, length(p) AS m, coalesce(occ, 0) AS nh, ref, pos, row_number() OVER (PARTITION BY item_id, segment ORDER BY ref, pos) AS nth
+        FROM sg LEFT JOIN sn USING (item_id, segment) LEFT JOIN (SELECT sh.* FROM sh JOIN sn USING (item_id, segment) WHERE occ <= 5) USING (item_id, segment))
+      SELECT 'read_' || item_id AS qname, CASE WHEN pos IS NULL THEN 4 WHEN nth > 1 THEN 256 ELSE 0 END::INT AS flag, coalesce('item' || ref, '*') AS rname, coalesce((pos + 1)::VARCHAR, '*') AS pos,
+        CASE WHEN pos IS NULL THEN '*' ELSE '255' END AS mapq, CASE WHEN seg_start > 0 THEN seg_start || 'S' ELSE '' END || (seg_end - seg_start + 1) || 'M' || CASE WHEN m - seg_end - 1 > 0 THEN (m - seg_end - 1) || 'S' ELSE '' END AS cigar,
+        '*' AS rnext, 0 AS pnext, 0 AS tlen, CASE WHEN nth > 1 THEN '*' ELSE p END AS seq, CASE WHEN nth > 1 THEN '*' ELSE repeat('~', m) END AS qual, 'NH:i:' || nh || ' ' AS tags FROM z""",
+    "prefix_differences": f"""WITH RECURSIVE {BROKEN}, st AS (SELECT item_id, p, -1 AS k, 0 AS a, 0 AS n FROM r UNION ALL
+      SELECT item_id, p, k + 1, CASE WHEN found THEN a ELSE k + 2 END, CASE WHEN found THEN n ELSE n + 1 END
+      FROM (SELECT *, EXISTS (SELECT 1 FROM i WHERE contains(i.t, substring(p, a + 1, k - a + 2))) AS found FROM st WHERE k + 1 < length(p))) SELECT item_id, k::INT AS i, n::INT AS d FROM st WHERE k >= 0""",
+    "fasta_round_trip": f"WITH {ITEMS} SELECT 'item' || item_id AS name, replace(t, chr(10), '') AS seq FROM i",
+    "fastq_round_trip": f"WITH {SEEDS} SELECT 'seq_' || read_id AS name, replace(pattern, chr(10), ' ') AS seq, repeat('~', 20) AS qual FROM s",
+    "first_reads": f"WITH {SEEDS} SELECT 'seq_' || read_id AS name FROM s ORDER BY item_id, off LIMIT 5",
+    "plain_text_round_trip": "SELECT length(t)::BIGINT AS n_chars, sha256(t) AS digest FROM (SELECT string_agg(text || chr(10), '' ORDER BY item_id) AS t FROM benchmark) WHERE t IS NOT NULL",
+    "index_round_trip": f"WITH {RUNS} SELECT * FROM r",
+    "seq_index_round_trip": f"WITH {INDEX} SELECT name, start FROM x",
+    "fai_round_trip": f"WITH {INDEX} SELECT name, len FROM x",
+    "pattern_round_trip": f"WITH {SEEDS} SELECT row_number() OVER (ORDER BY item_id, off) - 1 AS read_id, pattern FROM s",
+    "pattern_header_fields": f"WITH {SEEDS} SELECT count(*) AS number, 20::BIGINT AS length FROM s",
+    "sam_round_trip": f"WITH {SAM_OF_LINES} SELECT * FROM sam",
+    "sam_header_round_trip": "SELECT '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:unknown' AS value UNION ALL SELECT '@SQ' || chr(9) || 'SN:doc' || doc_id || chr(9) || 'LN:' || length(text) FROM documents",
+    "population_round_trip": "SELECT n_nationkey::VARCHAR AS sample, n_name AS pop, n_regionkey::VARCHAR AS super_pop FROM nation",
+    "occurrence_lines": f"WITH {HITS} SELECT pos::VARCHAR AS value FROM h",
+    "reserved_check": r"SELECT doc_id, regexp_matches(text, '[\x00\x01]') AS reserved FROM documents",
+    "sam_of_haplotype": f"WITH {SAM} SELECT qname, rname, pos FROM sam WHERE contains(qname, '_0')",
+    "durations": "SELECT doc_id, printf('%d seconds. (%dh %dm %ds)', n_chars, n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) AS took FROM documents",
+    "align_fastq": f"WITH {SAM_OF_LINES} SELECT * FROM sam",
+    "align_to_chromosome": f"WITH {HITS} SELECT 'read_' || s.read_id AS qname, CASE WHEN pos IS NULL THEN 4 WHEN row_number() OVER (PARTITION BY s.read_id ORDER BY doc_id, pos) > 1 THEN 256 ELSE 0 END::INT AS flag, coalesce('doc' || doc_id, '*') AS rname, coalesce((pos + 1)::VARCHAR, '*') AS pos FROM s LEFT JOIN (SELECT h.* FROM h JOIN n USING (read_id) WHERE nh <= 4) USING (read_id)",
     "d_neighbours": "WITH l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), w3 AS (SELECT a.c || b.c || d.c AS w FROM l a, l b, l d), w5 AS (SELECT w || a.c || b.c AS w FROM w3, l a, l b) SELECT 'ACGTA' AS word, w AS neighbour FROM w5 WHERE hamming(w, 'ACGTA') <= 2 UNION ALL SELECT 'TTT', w FROM w3 WHERE hamming(w, 'TTT') <= 2",
     "chimera": """WITH p AS (SELECT 'item' || a.item_id || '+item' || b.item_id AS name, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
       SELECT name, string_agg(substring(CASE WHEN k % 2 = 0 THEN x ELSE y END, (k * 30 + 1)::INT, 30), '' ORDER BY k) AS seq FROM (SELECT *, unnest(range(0, (least(length(x), length(y)) + 29) // 30)) AS k FROM p) GROUP BY name""",
     "simulated_alignment": "SELECT count(*) AS reads, count(*) AS found FROM documents WHERE length(text) >= 60",
     "clip_columns": "SELECT a::INT AS a, CASE WHEN a > 0 THEN a || 'S' ELSE '' END || m || 'M' || CASE WHEN 49 - least(a + 9, 49) > 0 THEN (49 - least(a + 9, 49)) || 'S' ELSE '' END AS cigar, m::BIGINT AS aligned, a AS clip, length(CASE WHEN a = 0 THEN '0' ELSE bin(a) END)::INT AS bits FROM (SELECT a, least(a + 9, 49) - a + 1 AS m FROM range(0, 50) r(a))",
-    "regions": f"SELECT doc_id, substring(text, 11, 30) AS part, regexp_replace({UP.format('substring(text, 1, 200)')}, '[^ACGT]', '', 'g') AS acgt FROM documents",
+    "regions": f"SELECT doc_id, substring(text, 11, 30) AS part, regexp_replace({UP.format('text')}, '[^ACGT]', '', 'g') AS acgt FROM documents",
     "fasta_lines": rf"WITH {ITEMS} SELECT '>item' || item_id || chr(10) || rtrim(regexp_replace(replace(t, chr(10), ''), '(.{{60}})', '\1' || chr(10), 'g'), chr(10)) AS value FROM i",
     "seed_fastq": f"WITH {SEEDS} SELECT '@seq_' || read_id || chr(10) || pattern || chr(10) || '+' || chr(10) || repeat('~', 20) AS value FROM s",
     "seed_patterns": f"WITH {SEEDS} SELECT -1 AS ord, '# number=' || count(*) || ' length=20 file=seeds forbidden=' AS value FROM s UNION ALL SELECT item_id * 100000 + off, pattern FROM s",
     "count_lines": f"WITH {HITS} SELECT read_id || ' ' || chr(9) || CASE WHEN nh > 0 THEN 20 ELSE 0 END || '/20' || chr(9) || coalesce(nh, 0) AS value FROM s LEFT JOIN n USING (read_id)",
 }
+ORACLES["fasta_split_read"] = ORACLES["fasta_round_trip"]
+ORACLES["mosaic_pipeline"] = ORACLES["mosaic_tiles"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import cigar, region, wrapped
-from seqloom.operators import match, mosaic, sam
+from seqloom.operators import match, mosaic, resolve, sam
+from seqloom.sources import readers
+from seqloom.tables import written
 
 
 def aligned(seqs: DataFrame, reads: DataFrame, max_range: int | None = None) -> DataFrame:
@@ -17,6 +19,20 @@ def aligned(seqs: DataFrame, reads: DataFrame, max_range: int | None = None) ->
     return sam.records(reads, named)
 
 
+def aligned_fastq(spark: SparkSession, path: str, seqs: DataFrame, max_range: int | None = None) -> DataFrame:
+    """Alignment records of the reads of FASTQ files; a read is told by its file and its place there."""
+    reads = readers.sequences(spark, path).select(F.struct("file", "ord").alias("read_id"), F.col("name").alias("qname"), "seq", "qual")
+    return aligned(seqs, written(reads, "reads"), max_range)
+
+
+def aligned_to_chromosomes(seqs: DataFrame, reads: DataFrame, max_range: int | None = None) -> DataFrame:
+    """Records against the concatenation of seqs (name 'all'), taken back to its sequences."""
+    index = written(resolve.sequence_index(seqs), "sequence-index")
+    found = aligned(seqs, reads, max_range).join(index.select(F.col("name").alias("rname"), "start"), "rname", "left")
+    whole = found.withColumns({"pos": F.coalesce((F.expr("try_cast(pos as bigint)") + F.col("start")).cast("string"), "pos"), "rname": F.when(F.col("start").isNotNull(), F.lit("all")).otherwise(F.col("rname"))}).drop("start")
+    return resolve.to_chromosome(whole, index.select(F.col("seq_id").alias("ord"), "name", "len"))
+
+
 def aligned_pieces(seqs: DataFrame, reads: DataFrame, max_range: int | None = None) -> DataFrame:
     """Records of the reads' greedy segments, with clips in their CIGAR; a row for each hit of each segment,
     and one of flag 4 for a segment without a hit that may be shown."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import text as T
 from seqloom.operators import index, kmers, match, mosaic, neighbors, resolve, run_graph, sam
 from seqloom.plans import pipelines
-from seqloom.sources import writers
+from seqloom.sources import readers, writers
 from seqloom.streaming.search import search_stream
 from seqloom.tables import new_path, spread, written
 
@@ -183,12 +183,21 @@ def suffix_array_from_bwt(s, d):
 
 
 def backward_ranges(s, d):
-    reads = _items(s, d).select(F.col("seq_id").alias("read_id"), F.substring("seq", 5, 6).alias("pattern"))
-    return index.backward_search(_bwt(s, d), index.c_array(_letters(s, d)), reads).select(F.col("read_id").alias("item_id"), "lo", "hi")
+    """Each item's text in pieces of eight letters."""
+    reads = kmers.seeds(_items(s, d).withColumnRenamed("seq_id", "read_id"), 8, 7)
+    reads = reads.select(F.struct("read_id", "off").alias("read_id"), F.col("seed").alias("pattern"))
+    found = index.backward_search(_bwt(s, d), index.c_array(_letters(s, d)), reads, _runs(s, d))
+    return found.select(F.col("read_id.read_id").alias("item_id"), "read_id.off", "lo", "hi", "toehold")
+
+
+def run_graph_walks(s, d):
+    """Seven steps at most from each run."""
+    q = _edges(s, d).select(F.col("run").alias("q"), "run", F.lit(0).cast("bigint").alias("ahead"), F.lit(7).cast("bigint").alias("want"))
+    return run_graph.walk(q, run_graph.doubled(_edges(s, d), 3))
 
 
 def path_cover(s, d):
-    return run_graph.path_cover(_edges(s, d), 4).groupBy("root").agg(F.count("*").alias("n"))
+    return run_graph.path_cover(_edges(s, d)).groupBy("root").agg(F.count("*").alias("n"))
 
 
 def _sam(s, d):
@@ -351,7 +360,137 @@ def stream_seed_locate(s, d):
     return s.read.schema(schema).parquet(f"{out}/batch=*")
 
 
+def _one_line(c: str):
+    """Line ends as blanks, for formats that have a line a field."""
+    return F.translate(F.col(c), "\n", " ")
+
+
+def _file(s, lines: DataFrame, what: str) -> str:
+    """Lines as text files in the shared folder; returns a path of all of them."""
+    path = new_path(s, what)
+    writers.write_lines(lines, path)
+    return f"{path}/part-*"
+
+
+def fasta_round_trip(s, d):
+    return readers.sequences(s, _file(s, writers.fasta(_items(s, d)), "fasta"), upper=True).select("name", "seq")
+
+
+def fasta_split_read(s, d):
+    return readers.fasta(s, _file(s, writers.fasta(_items(s, d)), "fasta"), upper=True).select("name", "seq")
+
+
+def _seed_file(s, d, n: int | None = None) -> str:
+    q = _seeds(s, d).select("item_id", "off", F.concat(F.lit("seq_"), "read_id").alias("name"), _one_line("pattern").alias("seq"))
+    return _file(s, writers.fastq(q.coalesce(1).sortWithinPartitions("item_id", "off") if n else q), "fastq")
+
+
+def fastq_round_trip(s, d):
+    return readers.sequences(s, _seed_file(s, d)).select("name", "seq", "qual")
+
+
+def first_reads(s, d):
+    """The first five records of a file."""
+    return readers.first_records(readers.sequences(s, _seed_file(s, d, 5)), 5).select("name")
+
+
+def plain_text_round_trip(s, d):
+    """The benchmark's texts as one file, a text a line."""
+    lines = s.read.parquet(f"{d}/benchmark.parquet").coalesce(1).sortWithinPartitions("item_id").select(F.col("text").alias("value"))
+    t = readers.plain_text(s, _file(s, lines, "plain"))
+    return t.select(F.length("seq").cast("bigint").alias("n_chars"), F.sha2("seq", 256).alias("digest"))
+
+
+def index_round_trip(s, d):
+    path = new_path(s, "index")
+    writers.save_index(path, bwt_runs=_runs(s, d))
+    return writers.load_index(s, path, "bwt_runs")
+
+
+def seq_index_round_trip(s, d):
+    return readers.sequence_index(s, _file(s, writers.sequence_index_lines(seq_index(s, d)), "seq-index"))
+
+
+def fai_round_trip(s, d):
+    return readers.fai(s, _file(s, _lengths(s, d).select(F.concat_ws("\t", "name", F.col("len").cast("string"), F.lit("0")).alias("value")), "fai")).select("name", "len")
+
+
+def _pattern_file(s, d) -> str:
+    return _file(s, seed_patterns(s, d).coalesce(1).sortWithinPartitions("ord"), "patterns")
+
+
+def pattern_round_trip(s, d):
+    return readers.pattern_file(s, _pattern_file(s, d))
+
+
+def pattern_header_fields(s, d):
+    head = s.read.text(_pattern_file(s, d)).where("value like '# number=%'")
+    return head.select(T.header_field(F.col("value"), "number").alias("number"), T.header_field(F.col("value"), "length").alias("length"))
+
+
+def population_round_trip(s, d):
+    path = new_path(s, "population")
+    s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("sample"), F.col("n_name").alias("pop"), F.col("n_regionkey").alias("super_pop")).write.csv(path, sep="\t", header=True)
+    return readers.population(s, path)
+
+
+def _seed_reads(s, d) -> DataFrame:
+    return _seeds(s, d).select("read_id", F.concat(F.lit("read_"), "read_id").alias("qname"), F.col("pattern").alias("seq"), F.repeat(F.lit("~"), F.length("pattern")).alias("qual"))
+
+
+def align_fastq(s, d):
+    """From a FASTQ file of the seeds to alignment records; line ends are blanks in seeds and documents."""
+    reads = _seed_reads(s, d).select(F.col("qname").alias("name"), _one_line("seq").alias("seq"))
+    return pipelines.aligned_fastq(s, _file(s, writers.fastq(reads), "fastq"), _docs(s, d).withColumn("seq", _one_line("seq")), MAX_RANGE)
+
+
+def _sam_file(s, d) -> str:
+    return _file(s, sam.header(_lengths(s, d)).select("value").unionByName(sam.as_lines(align_fastq(s, d)).select("value")), "sam")
+
+
+def align_to_chromosome(s, d):
+    return pipelines.aligned_to_chromosomes(_docs(s, d), _seed_reads(s, d), MAX_RANGE).select("qname", "flag", "rname", "pos")
+
+
+def mosaic_pipeline(s, d):
+    """Align, filter, cluster and tile in one plan, from the seeds."""
+    total = _lengths(s, d).agg(F.max("len")).first()[0] or 0
+    return pipelines.mosaic_tiles(_docs(s, d), _seed_reads(s, d), "doc0", K, total, MAX_RANGE, K).select("a", "b", "ref", "name")
+
+
+def durations(s, d):
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", T.duration(F.col("n_chars")).alias("took"))
+
+
+def random_dna(s, d):
+    """A text of the length of each benchmark text, from a digest of its item_id."""
+    return s.read.parquet(f"{d}/benchmark.parquet").select("item_id", T.random_dna(F.length("text"), F.col("item_id")).alias("seq"))
+
+
 QUERIES = {
+    "fasta_round_trip": fasta_round_trip,
+    "fasta_split_read": fasta_split_read,
+    "fastq_round_trip": fastq_round_trip,
+    "first_reads": first_reads,
+    "plain_text_round_trip": plain_text_round_trip,
+    "index_round_trip": index_round_trip,
+    "seq_index_round_trip": seq_index_round_trip,
+    "fai_round_trip": fai_round_trip,
+    "pattern_round_trip": pattern_round_trip,
+    "pattern_header_fields": pattern_header_fields,
+    "sam_round_trip": lambda s, d: readers.sam(s, _sam_file(s, d)),
+    "sam_header_round_trip": lambda s, d: readers.sam_header(s, _sam_file(s, d)),
+    "population_round_trip": population_round_trip,
+    "occurrence_lines": lambda s, d: writers.occurrence_lines(_hits(s, d)),
+    "reserved_check": lambda s, d: _docs(s, d).select(F.col("seq_id").alias("doc_id"), T.has_reserved(F.col("seq")).alias("reserved")),
+    "sam_of_haplotype": lambda s, d: sam.of_haplotype(_sam(s, d), "_0").select("qname", "rname", "pos"),
+    "durations": durations,
+    "random_dna": random_dna,
+    "align_fastq": align_fastq,
+    "align_to_chromosome": align_to_chromosome,
+    "mosaic_pipeline": mosaic_pipeline,
+    "run_graph_double_edges": lambda s, d: run_graph.compose(_edges(s, d), _edges(s, d)),
+    "run_graph_walks": run_graph_walks,
     "stream_seed_locate": stream_seed_locate,
     "seed_count": seed_count,
     "seed_locate": seed_locate,

@@ -29,9 +29,19 @@ def sequences(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
     return d.withColumn("seq", ascii_upper(F.col("seq"))) if upper else d
 
 
+def fasta(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
+    """(file, name, seq) of plain FASTA files of any size: a record is a row of the text source, which cuts files at line
+    ends before '>', so that many tasks read one file. Not for gzip, which has no places to cut at."""
+    d = spark.read.option("lineSep", "\n>").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", r"^>|\r", "").alias("value"))
+    head = F.substring_index("value", "\n", 1)
+    seq = F.replace(F.substring("value", F.length(head) + 2, F.length("value")), F.lit("\n"), F.lit(""))
+    d = d.where(head != "").select("file", F.substring_index(F.trim(head), " ", 1).alias("name"), seq.alias("seq"))
+    return d.withColumn("seq", ascii_upper(F.col("seq"))) if upper else d
+
+
 def records(text: str) -> Iterator[tuple[str, str, str | None]]:
-    """(name, seq, qual) of each record; quality lines are counted, as they may begin with @ or >."""
-    lines = iter(text.splitlines())
+    """(name, seq, qual) of each record; quality lines are counted, as they may begin with @ or >. Blanks in lines stay."""
+    lines = (x.removesuffix("\r") for x in text.split("\n"))
     line = next(lines, None)
     while line is not None:
         if not line.startswith((">", "@")):
@@ -40,7 +50,7 @@ def records(text: str) -> Iterator[tuple[str, str, str | None]]:
         name = (line[1:].split() or [""])[0]
         seq, line = [], next(lines, None)
         while line is not None and not line.startswith((">", "@", "+")):
-            seq.append(line.strip())
+            seq.append(line)
             line = next(lines, None)
         whole = "".join(seq)
         if line is None or not line.startswith("+"):
@@ -48,7 +58,7 @@ def records(text: str) -> Iterator[tuple[str, str, str | None]]:
             continue
         qual, n = [], 0
         while n < len(whole) and (line := next(lines, None)) is not None:
-            qual.append(line.strip())
+            qual.append(line)
             n += len(qual[-1])
         yield name, whole, "".join(qual)
         line = next(lines, None)

@@ -22,7 +22,7 @@ def spark():
 def duck():
     duckdb = pytest.importorskip("duckdb")
     c = duckdb.connect()
-    for t in "documents benchmark conversations pages labels".split():
+    for t in "documents benchmark conversations pages labels nation".split():
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 

@@ -122,3 +122,13 @@ def test_pattern_stream(spark, tmp_path):
     q = search_stream(spark.readStream.schema("read_id long, pattern string").parquet(str(tmp_path / "in")), seqs, lambda df, i: found.extend(map(tuple, df.collect())), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert sorted(found) == [(1, 0, 1), (1, 0, 3)]
+
+
+def test_fasta_is_cut_at_records(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one first\r\nac gt\r\nAC\r\n\n>two\n>three x\nß>x\n" + "".join(f">n{i}\n{'ACGT' * 40}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    got = readers.fasta(spark, str(tmp_path / "a.fa"), upper=True)
+    parts, rows = got.rdd.getNumPartitions(), got.collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert parts > 1 and len(rows) == 503
+    assert {r.name: r.seq for r in rows} == {"one": "AC GTAC", "two": "", "three": "ß>X"} | {f"n{i}": "ACGT" * 40 for i in range(500)}

@@ -49,8 +49,11 @@ def test_backward_search(spark):
     s = seqs(spark, "ACGTACGTTACG")
     sa = index.suffix_array(s)
     reads = spark.createDataFrame([(1, "ACG"), (2, "CGT"), (3, "TACG"), (4, "GGG")], "read_id long, pattern string")
-    got = {r.read_id: (r.lo, r.hi) for r in index.backward_search(index.bwt(sa, index.letters(s)), index.c_array(index.letters(s)), reads).collect()}
-    assert got == {1: (1, 3), 2: (5, 6), 3: (10, 11)}
+    b, c = index.bwt(sa, index.letters(s)), index.c_array(index.letters(s))
+    found = index.backward_search(b, c, reads, index.bwt_runs(b, 13)).collect()
+    assert {r.read_id: (r.lo, r.hi) for r in found} == {1: (1, 3), 2: (5, 6), 3: (10, 11)}
+    places = plain_sa("ACGTACGTTACG")
+    assert all(r.toehold == places[r.hi] for r in found)
 
 
 def test_run_graph_and_walks(spark):
