@@ -84,8 +84,8 @@ def batch_stats(s, d):
 
 def occurrence_check(s, d):
     """Every hit's text is the pattern; how many are not, and how many hits come twice."""
-    h = _hits(s, d).join(_seeds(s, d).select("read_id", "pattern"), "read_id").join(_docs(s, d), "seq_id")
-    wrong = F.substring("seq", (F.col("pos") + 1).cast("int"), F.length("pattern")) != F.col("pattern")
+    h = match.locate(_docs(s, d), _seeds(s, d), after=K).join(_seeds(s, d).select("read_id", "pattern"), "read_id")
+    wrong = F.expr("left(right, length(pattern))") != F.col("pattern")
     return h.agg(F.count("*").alias("hits"), F.count_if(wrong).alias("wrong"), (F.count("*") - F.count_distinct("read_id", "seq_id", "pos")).alias("twice"))
 
 

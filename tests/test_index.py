@@ -118,6 +118,29 @@ def test_random_searches(spark):
         match.locate(s, spark.createDataFrame([(1, "")], "read_id long, pattern string"))
 
 
+def test_mixed_lengths_and_contexts(spark):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choices("abcdeé ", k=n)) for n in (0, 1, 700, 5000, 9000)]
+    pats = [texts[4][100:1900], texts[3][3900:4600], texts[3][-513:], texts[4][:512], "a", texts[2][:3], texts[2][50:90], "abab" * 300, texts[4][100:1899] + "#"]
+    s = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
+    p = spark.createDataFrame(list(enumerate(pats)), "read_id long, pattern string")
+    want = sorted((i, k, j, t[max(0, j - 30) : j], t[j : j + 20]) for i, x in enumerate(pats) for k, t in enumerate(texts) for j in range(len(t)) if t.startswith(x, j))
+    assert {w[0] for w in want} == {0, 1, 2, 3, 4, 5, 6}
+    assert sorted(map(tuple, match.locate(s, p, before=30, after=20).collect())) == want
+    reads = spark.createDataFrame([(1, "#" + texts[4][3:3000]), (2, "x" + texts[3]), (3, texts[3][:600] + "#" + texts[3][601:1400]), (4, "##é")], "read_id long, pattern string")
+    found = {r.read_id: (r.match_len, r.occ) for r in match.longest_suffix(s, reads).collect()}
+    assert found == {1: (2997, 1), 2: (5000, 1), 3: (799, 1), 4: (1, sum(t.count("é") for t in texts))}
+
+
+def test_plans_shuffle_no_texts(spark):
+    """Hits bring their context: nothing but hits and reads is exchanged."""
+    s = spark.createDataFrame([(0, "some text of a document")], "seq_id long, seq string")
+    p = spark.createDataFrame([(0, "text of"), (1, "tex# of a")], "read_id long, pattern string")
+    for d in (match.locate(s, p), match.inexact(s, p, 1), match.containing(s, p)):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "NestedLoop" not in plan and "SinglePartition" not in plan
+
+
 def test_inexact(spark):
     rnd = random.Random(5)
     texts = ["".join(rnd.choices("ACGT", k=80)) for _ in range(5)]
