@@ -7,7 +7,8 @@ interval of its host or of a parent domain of its host is open.
 Defined cases: a null or unparsable URL has no host and is not blocked; a null fetch time matches
 no interval; of entries with equal times a removal comes last; entries with a null domain or time
 are no entries; repeated captures each get a row, repeated entries change nothing; with an empty
-list nothing is blocked; other columns of the captures are carried along.
+list nothing is blocked; an empty URL has no host; a URL of any length is read as far as its host; other columns are not
+read, and may be called like the result's.
 """
 
 from __future__ import annotations
@@ -58,27 +59,46 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     )
 
 
-# The list of the registered query, by day number from 0 to 364.
-ENTRIES = (
-    ("spam", "spam-farm.example.org", "add", 20), ("spam", "spam-farm.example.org", "remove", 200), ("spam", "spam-farm.example.org", "add", 260),
-    ("spam", "ththth.example.org", "add", 90), ("adult", "tiontion.example.com", "add", 0), ("adult", "tiontion.example.com", "remove", 120),
-    ("adult", "m.tiontion.example.com", "add", 60), ("spam", "tionsh.example.net", "add", 180), ("spam", "tionsh.example.net", "remove", 270),
-    ("malware", "example.net", "add", 300), ("malware", "blog.tionble.example.com", "add", 45), ("malware", "blog.tionble.example.com", "remove", 46),
-)
+#: Number k of a domain's digest, as SQL that both engines read alike.
+_DIGIT = {"spark": "cast(conv(substring(md5(domain), {at}, 7), 16, 10) as bigint)", "duckdb": "('0x' || substring(md5(domain), {at}, 7))::BIGINT"}
+#: (list, which domains, action, day) of the registered query's list, over the numbers a, b, c of a domain's digest.
+_DATED = (
+    ("spam", "a % 4 = 0", "add", "b % 200"),
+    ("spam", "a % 4 = 0 AND c % 3 > 0", "remove", "b % 200 + 1 + c % 90"),
+    ("spam", "a % 4 = 0 AND c % 3 = 1", "add", "b % 200 + 31 + c % 90"),
+    ("malware", "a % 7 = 0", "add", "c % 365"),
+    ("malware", "a % 14 = 0", "remove", "c % 365 + 1"),
+)
+
+
+def _entries_sql(engine: str) -> str:
+    """SELECT list, domain, action, since FROM d(domain): a domain's entries hang on its digest alone."""
+    numbers = ", ".join(f"{_DIGIT[engine].format(at=at)} AS {n}" for n, at in zip("abc", (1, 9, 17), strict=True))
+    parts = (f"SELECT '{name}' AS list, domain, '{action}' AS action, {day} AS since FROM (SELECT domain, {numbers} FROM d) WHERE {which}" for name, which, action, day in _DATED)
+    return " UNION ALL ".join(parts)
+
+
+def dated_entries(hosts: DataFrame) -> DataFrame:
+    """(list, domain, action, since): a list made of the hosts (host) and their parent domains of two labels or more,
+    with additions, removals and further additions, on two lists, so that it grows with its table."""
+    d = hosts.select(F.explode(domains(F.col("host"))).alias("domain")).where(F.col("domain").contains(".")).distinct()
+    return hosts.sparkSession.sql("WITH d AS (SELECT * FROM {d}) " + _entries_sql("spark"), d=d)
 
 
 def url_report(pages: DataFrame) -> DataFrame:
-    """All pages against ENTRIES. The table has no fetch time: page_id * 37 mod 365 is taken as the day."""
-    spark = pages.sparkSession
-    entries = spark.createDataFrame(list(ENTRIES), "list string, domain string, action string, since long")
+    """All pages against the entries of `dated_entries`. The table has no fetch time: page_id * 37 mod 365 is taken as the day."""
+    entries = dated_entries(pages.select(host_of(F.col("url")).alias("host")))
     return filter_urls(pages.select("page_id", "url", F.pmod(F.col("page_id") * 37, F.lit(365)).cast("long").alias("fetched")), entries)
 
 
 ORACLE = rf"""
-WITH e(list, domain, action, since) AS (VALUES {", ".join(map(str, ENTRIES))}),
-c AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host, (page_id * 37 % 365)::BIGINT AS fetched, row_number() OVER () AS rid FROM pages),
-last AS (SELECT rid, list, domain, arg_max(action, since * 2 + (action = 'remove')::INT) AS action, max(since) AS since
-  FROM c JOIN e ON (host = domain OR ends_with(host, '.' || domain)) AND since <= fetched GROUP BY ALL),
-a AS (SELECT rid, count(*) AS n_active, arg_max(domain, length(domain)) AS listed_as, arg_max(since, length(domain))::BIGINT AS listed_since FROM last WHERE action = 'add' GROUP BY rid)
+WITH c AS (SELECT page_id, nullif(lower(regexp_extract(url, '{HOST}', 1)), '') AS host, (page_id * 37 % 365)::BIGINT AS fetched, row_number() OVER () AS rid FROM pages),
+l AS (SELECT DISTINCT host, string_split(host, '.') AS p FROM c WHERE host IS NOT NULL),
+d AS (SELECT DISTINCT array_to_string(p[k:], '.') AS domain FROM (SELECT p, unnest(range(1, len(p))) AS k FROM l)),
+e AS ({_entries_sql("duckdb")}),
+x AS (SELECT host, array_to_string(p[k:], '.') AS domain FROM (SELECT host, p, unnest(range(1, len(p) + 1)) AS k FROM l)),
+last AS (SELECT rid, list, e.domain, arg_max(action, since * 2 + (action = 'remove')::INT) AS action, max(since) AS since
+  FROM c JOIN x USING (host) JOIN e ON x.domain = e.domain AND since <= fetched GROUP BY ALL),
+a AS (SELECT rid, count(*) AS n_active, arg_max(domain, (length(domain), domain, since)) AS listed_as, arg_max(since, (length(domain), domain, since))::BIGINT AS listed_since FROM last WHERE action = 'add' GROUP BY rid)
 SELECT page_id, host, fetched, coalesce(n_active, 0)::BIGINT AS n_active, listed_as, listed_since, n_active IS NOT NULL AS blocked FROM c LEFT JOIN a USING (rid)
 """
