@@ -5,16 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.tables import ranked, running_total, written
 
 def clusters(positions: DataFrame, key: str | None = None) -> DataFrame:
     """(key, cluster, first_pos, last_pos, n_pos, refs): in position order reference sets are intersected; where that
     would be empty, a cluster ends and the next begins with the current set.
 
-    The fold is sequential by nature; it runs per key (a chromosome, say) over its positions in one row.
+    The fold is sequential, but where two neighbours share nothing a cluster ends whatever came before. So the
+    positions are cut there, by global ranks, and each stretch is folded on its own; with a key (a chromosome,
+    say) also where it changes. Clusters are numbered over all stretches of a key.
     """
-    k = F.col(key) if key else F.lit(0).alias("key")
     name = key or "key"
-    g = positions.groupBy(k).agg(F.sort_array(F.collect_list(F.struct("pos", "refs"))).alias("p"))
+    p = positions.withColumn("_key", F.col(key) if key else F.lit(0)).select("_key", "pos", "refs")
+    r = ranked(p, "_key", "pos", name="_i")
+    before = r.select((F.col("_i") + 1).alias("_i"), F.col("_key").alias("_k"), F.col("refs").alias("_refs"))
+    cut = F.col("_refs").isNull() | ~F.col("_k").eqNullSafe(F.col("_key")) | (F.size(F.array_intersect("refs", "_refs")) == 0)
+    r = running_total(r.join(before, "_i", "left").withColumn("_cut", cut.cast("int")), "_cut", "_i", name="_cuts")
+    g = r.withColumn("_stretch", F.col("_cuts") + F.col("_cut")).groupBy("_key", "_stretch").agg(F.sort_array(F.collect_list(F.struct("pos", "refs"))).alias("p"))
     kind = "struct<done:array<struct<a:bigint,z:bigint,n:bigint,refs:array<string>>>,a:bigint,z:bigint,n:bigint,refs:array<string>>"
     first = F.expr(f"cast(named_struct('done', array(), 'a', null, 'z', null, 'n', 0, 'refs', null) as {kind})")
 
@@ -26,8 +33,12 @@ def clusters(positions: DataFrame, key: str | None = None) -> DataFrame:
         return F.when(s["refs"].isNull(), new(s["done"])).when(F.size(both) > 0, go).otherwise(new(ended)).cast(kind)
 
     folded = F.aggregate("p", first, step, lambda s: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["z"].alias("z"), s["n"].alias("n"), s["refs"].alias("refs")))))
-    d = g.select(name, F.posexplode(folded).alias("cluster", "c"))
-    return d.select(name, "cluster", F.col("c.a").alias("first_pos"), F.col("c.z").alias("last_pos"), F.col("c.n").alias("n_pos"), F.sort_array("c.refs").alias("refs"))
+    d = written(g.select("_key", "_stretch", F.posexplode(folded).alias("_at", "c")), "clusters")
+    number = running_total(d.groupBy("_key", "_stretch").agg(F.count("*").alias("_n")), "_n", "_key", "_stretch", name="_first")
+    first = number.groupBy("_key").agg(F.min("_first").alias("_origin"))
+    number = number.join(first, "_key").select("_key", "_stretch", (F.col("_first") - F.col("_origin")).alias("_first"))
+    d = d.join(number, ["_key", "_stretch"]).withColumn("cluster", (F.col("_first") + F.col("_at")).cast("int"))
+    return d.select(F.col("_key").alias(name), "cluster", F.col("c.a").alias("first_pos"), F.col("c.z").alias("last_pos"), F.col("c.n").alias("n_pos"), F.sort_array("c.refs").alias("refs"))
 
 
 def popularity(c: DataFrame) -> DataFrame:
