@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from seqloom.tables import ranked, running_total
 
-#: Sequence tables of up to so many rows are broadcast as sorted arrays per bucket of coordinates.
-BUCKET = 1 << 20
-
 
 def sequence_index(seqs: DataFrame) -> DataFrame:
     """(seq_id, name, start, len): starts in the concatenation without separators, in seq_id order."""
@@ -24,14 +21,18 @@ def names_and_lengths(index: DataFrame, text_size: int) -> DataFrame:
     return r.join(ahead, "_i", "left").select("name", (F.coalesce("_next", F.lit(text_size)) - F.col("start")).alias("len"))
 
 
-def resolve(positions: DataFrame, index: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def resolve(positions: DataFrame, index: DataFrame, bucket: int | None = None) -> DataFrame:
     """positions (x, ...) with seq_id, name, off: the sequence with the greatest start <= x among
     those that are not empty, and x - start. Positions beyond the end have none.
 
     An equi-join on buckets of coordinates with a range condition in it: a sequence is filed under
-    each bucket that it reaches into, so every position meets only the sequences near it.
+    each bucket that it reaches into, so every position meets only the sequences near it. A bucket is about as long as the mean
+    sequence: a position then meets two sequences or so, and a sequence has two rows or so.
     """
-    i = index.where("len > 0").select(F.col("seq_id"), F.col("name"), F.col("start"), F.col("len"), F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("start") + F.col("len") - 1) / bucket))).alias("_b"))
+    i = index.where("len > 0")
+    if bucket is None:
+        bucket = 1 << max(8, int(i.agg(F.avg("len")).first()[0] or 1).bit_length())
+    i = i.select(F.col("seq_id"), F.col("name"), F.col("start"), F.col("len"), F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("start") + F.col("len") - 1) / bucket))).alias("_b"))
     p = positions.withColumn("_x", F.floor(F.col("x") / bucket))
     on = (F.col("_x") == F.col("_b")) & (F.col("x") >= F.col("start")) & (F.col("x") < F.col("start") + F.col("len"))
     return p.join(i, on, "left").withColumn("off", F.col("x") - F.col("start")).drop("_x", "_b", "start", "len")
