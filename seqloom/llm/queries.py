@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, decontam, packing, pii, quality, simhash, suffix, tokens, urls, warc
+from seqloom.llm import chat, decontam, exact, packing, pii, quality, simhash, suffix, tokens, urls, warc
 from seqloom.tables import spread
 
 
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_suffix_dedup": lambda s, d: suffix.suffix_report(_read(s, d, "documents")),
     "op9_simhash": lambda s, d: simhash.near_duplicates(_read(s, d, "documents")),
     "op10_quality_rules": lambda s, d: quality.quality_report(_read(s, d, "documents")),
+    "op11_exact_dedup": lambda s, d: exact.exact_report(_read(s, d, "documents")),
 }
 
 ORACLES = {
@@ -31,4 +32,5 @@ ORACLES = {
     "op3_decontamination": decontam.ORACLE,
     "op6_warc": warc.ORACLE,
     "op10_quality_rules": quality.ORACLE,
+    "op11_exact_dedup": exact.ORACLE,
 }
