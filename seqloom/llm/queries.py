@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, decontam, exact, packing, pii, quality, simhash, suffix, tokens, urls, warc
+from seqloom.llm import chat, decontam, exact, packing, pii, quality, resampling, simhash, suffix, tokens, urls, warc
 from seqloom.tables import spread
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op9_simhash": lambda s, d: simhash.near_duplicates(_read(s, d, "documents")),
     "op10_quality_rules": lambda s, d: quality.quality_report(_read(s, d, "documents")),
     "op11_exact_dedup": lambda s, d: exact.exact_report(_read(s, d, "documents")),
+    "op12_resampling": lambda s, d: resampling.resampling_report(_read(s, d, "documents"), _read(s, d, "benchmark")),
 }
 
 ORACLES = {
@@ -33,4 +34,5 @@ ORACLES = {
     "op6_warc": warc.ORACLE,
     "op10_quality_rules": quality.ORACLE,
     "op11_exact_dedup": exact.ORACLE,
+    "op12_resampling": resampling.ORACLE,
 }
