@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import chat, decontam, exact, packing, pii, quality, resampling, simhash, suffix, tokens, urls, warc
+from seqloom.llm import chat, decontam, exact, packing, phrases, pii, quality, resampling, simhash, suffix, tokens, urls, warc
 from seqloom.tables import spread
 
 
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_quality_rules": lambda s, d: quality.quality_report(_read(s, d, "documents")),
     "op11_exact_dedup": lambda s, d: exact.exact_report(_read(s, d, "documents")),
     "op12_resampling": lambda s, d: resampling.resampling_report(_read(s, d, "documents"), _read(s, d, "benchmark")),
+    "op13_phrases": lambda s, d: phrases.collocation_report(_read(s, d, "documents")),
 }
 
 ORACLES = {
@@ -35,4 +36,5 @@ ORACLES = {
     "op10_quality_rules": quality.ORACLE,
     "op11_exact_dedup": exact.ORACLE,
     "op12_resampling": resampling.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
