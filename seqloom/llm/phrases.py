@@ -253,7 +253,7 @@ def numbered(docs: DataFrame, blocks: list, most: int = 500_000) -> DataFrame:
                     if sum(map(len, known.values())) > most:
                         known = {}
                     memo = known.setdefault(lang, {BREAK: -1})
-                    if new := list(set(t) - memo.keys()):
+                    if new := [w for w in set(t) if w not in memo]:
                         s = slots.find([_key(lang, w) for w in new])
                         memo.update(zip(new, np.where(s >= 0, s + first, -1).tolist(), strict=True))
                     ids = np.fromiter(map(memo.__getitem__, t), dtype=np.int32, count=len(t))
