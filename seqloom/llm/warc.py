@@ -25,7 +25,7 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +33,8 @@ from seqloom.llm._common import new_path, written
 from seqloom.tables import if_small
 
 MIN_DEDUP, SEGMENT, HTTP_CHUNK, PER_FILE = 1000, 2_048, 1_024, 8000
+#: Bytes that are decompressed in one go; characters or bytes of records after which a task gives them on.
+STEP, GIVEN_ON = 65_536, 1_000_000
 CRLF = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -110,40 +112,44 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, min_dedu
     revisits = large.join(first.select("same", "first"), "same").where("page_id < first").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
     revisits, _ = written(revisits.dropDuplicates(["_p", "_d"]), "revisits")
     rows = p.join(if_small(revisits), (F.col("page_id") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
-    # numbers go through Python as text: pandas would make those with nulls among them floating
-    rows = rows.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", F.col("first").cast("string").alias("first"))
+    rows = rows.select("page_id", "url", "html", "digest", "first")
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
-        urn = lambda page, digest: f"urn:x-page:{'' if pd.isna(page) else page}:{digest}"
+        urn = lambda page, digest: f"urn:x-page:{'' if page is None else page}:{digest}"
         for b in batches:
             out, size = [], 0
-            for page, url, text, digest, first in zip(b["page_id"], b["url"], b["html"], b["digest"], b["first"], strict=True):
+            for row in zip(*b.columns, strict=True):  # a page is a Python string only while its records are made
+                page, url, text, digest, first = (x.as_py() for x in row)
                 n += 1
-                for r in records_of(urn(page, digest), f"{part}-{n}", url, digest, text, None if pd.isna(first) else urn(first, digest), segment):
+                for r in records_of(urn(page, digest), f"{part}-{n}", url, digest, text, None if first is None else urn(first, digest), segment):
                     out.append(r)
                     size += len(r)
-                if size > 8_000_000:
-                    yield pd.DataFrame({"value": out})
-                    out, size = [], 0
-            yield pd.DataFrame({"value": out})
+                    if size > GIVEN_ON:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
 
-    rows.mapInPandas(made, "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
+    rows.mapInArrow(made, "value string").write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", PER_FILE).text(path)
 
 
 class _Source:
-    """Bytes of a gzip or plain archive, decompressed as they are asked for."""
+    """Bytes of a gzip or plain archive, decompressed as they are asked for. What has been taken is passed by, and cut off a few times a megabyte."""
 
-    def __init__(self, content: bytes) -> None:
-        self._in, self._at, self._buffer = memoryview(content), 0, bytearray()
-        self._gzip = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
+    def __init__(self, content) -> None:
+        self._in, self._at, self._buffer, self._from = memoryview(content), 0, bytearray(), 0
+        self._gzip = zlib.decompressobj(31) if bytes(self._in[:2]) == b"\x1f\x8b" else None
 
     def _more(self) -> bool:
         if self._at >= len(self._in):
             return False
-        part = bytes(self._in[self._at : self._at + 262_144])
+        if self._from > STEP:
+            del self._buffer[: self._from]
+            self._from = 0
+        part = self._in[self._at : self._at + STEP]
         self._at += len(part)
         while part:
             if self._gzip is None:
@@ -156,26 +162,26 @@ class _Source:
         return True
 
     def take(self, n: int) -> bytes:
-        while len(self._buffer) < n:
+        while len(self._buffer) - self._from < n:
             if not self._more():
                 raise ValueError("archive ends within a record")
-        out = bytes(self._buffer[:n])
-        del self._buffer[:n]
+        out = bytes(memoryview(self._buffer)[self._from : self._from + n])
+        self._from += n
         return out
 
     def head(self) -> bytes | None:
         """Up to the blank line behind the named fields; None at the end."""
         seen = 0
-        while (end := self._buffer.find(b"\r\n\r\n", seen)) < 0:
-            seen = max(0, len(self._buffer) - 3)
+        while (end := self._buffer.find(b"\r\n\r\n", self._from + seen)) < 0:
+            seen = max(0, len(self._buffer) - self._from - 3)
             if not self._more():
-                if bytes(self._buffer).strip():
+                if bytes(memoryview(self._buffer)[self._from :]).strip():
                     raise ValueError("archive ends within a record's head")
                 return None
-        return self.take(end + 4)
+        return self.take(end + 4 - self._from)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def parse(content) -> Iterator[tuple[dict[str, str], bytes]]:
     """(named fields in lower case, block) of each record of an archive."""
     source = _Source(content)
     while (head := source.head()) is not None:
@@ -197,16 +203,19 @@ def _page(urn: str | None) -> int | None:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row per page record: page_id, payload_bytes, payload_digest, record_type, refers_to, complete."""
 
-    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
         names = [x.split()[0] for x in PARSED.split(", ")]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
         for b in batches:
-            for content in b["content"]:
+            for content in b.column("content"):
                 rows, size = [], 0
-                for f, block in parse(content):
+                for f, block in parse(content.as_buffer()):
                     name = f["warc-record-id"].strip("<>")
                     kind, number = f["warc-type"], f.get("warc-segment-number")
                     digest = f.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     total = f.get("warc-segment-total-length")
+                    size += 200
                     if kind == "continuation":
                         rows.append((f["warc-segment-origin-id"].strip("<>"), None, None, None, None, None, int(number), int(total) if total else None, block))
                         size += len(block)
@@ -218,26 +227,29 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     else:
                         payload = payload_of(block)
                         rows.append((name, _page(name), kind, None, hashlib.sha1(payload).hexdigest(), len(payload), None, None, None))
-                    if size > 8_000_000:
-                        yield pd.DataFrame(rows, columns=names, dtype=object)
+                    if size > GIVEN_ON:
+                        yield made(rows)
                         rows, size = [], 0
-                yield pd.DataFrame(rows, columns=names, dtype=object)
+                if rows:
+                    yield made(rows)
 
-    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for page, total, parts in zip(b["page_id"], b["total"], b["parts"], strict=True):
+            for page, total, parts in zip(*b.columns, strict=True):  # a page's segments are Python bytes only while they are joined
+                total, parts = total.as_py(), parts.as_py()
                 block = b"".join(x["block"] for x in parts)
-                whole = [x["segment"] for x in parts] == list(range(1, len(parts) + 1)) and not pd.isna(total) and len(block) == total
+                whole = [x["segment"] for x in parts] == list(range(1, len(parts) + 1)) and len(block) == total
                 payload = payload_of(block) if whole else None
-                rows.append((page, len(payload) if whole else None, hashlib.sha1(payload).hexdigest() if whole else None, whole))
-            yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "digest", "complete"], dtype=object)
+                rows.append((page.as_py(), len(payload) if whole else None, hashlib.sha1(payload).hexdigest() if whole else None, whole))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)], names=["page_id", "payload_bytes", "digest", "complete"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    found, _ = written(files.mapInPandas(parsed, PARSED), "warc-records")
+    found, _ = written(files.mapInArrow(parsed, PARSED), "warc-records")
     whole = found.where("segment is null and record_type <> 'revisit'").select("page_id", "payload_bytes", "digest", F.lit(True).alias("complete"))
     parts = found.where("segment is not null").groupBy("record_id").agg(F.max("page_id").alias("page_id"), F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"))
-    responses = whole.unionByName(parts.select(F.col("page_id").cast("string").alias("page_id"), "total", "parts").mapInPandas(joined, "page_id string, payload_bytes long, digest string, complete boolean").withColumn("page_id", F.col("page_id").cast("long")))
+    responses = whole.unionByName(parts.select("page_id", "total", "parts").mapInArrow(joined, "page_id long, payload_bytes long, digest string, complete boolean"))
     responses, _ = written(responses, "warc-responses")
     of = responses.where("complete").groupBy("page_id", "digest").agg(F.max("payload_bytes").alias("payload_bytes")).select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "payload_bytes")
     revisits = found.where("record_type = 'revisit'").select("page_id", "digest", "refers_to").join(of, (F.col("refers_to") == F.col("_p")) & (F.col("digest") == F.col("_d")), "left")
