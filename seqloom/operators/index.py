@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators.kmers import chunks
 from seqloom.operators.resolve import sequence_index
-from seqloom.tables import ranked, running_total, written
+from seqloom.tables import as_of, ranked, running_total, written
 
 START = 16
 
@@ -109,8 +109,7 @@ def lf(b: DataFrame, c: DataFrame) -> DataFrame:
 
 def first_column(rk: DataFrame, c: DataFrame) -> DataFrame:
     """(rk, f): the first letter of each ranked suffix, by range over the C array; none for the terminator's."""
-    n = (c.agg(F.max(F.col("c_before") + F.col("cnt"))).first()[0] or 0) + 1
-    d = as_of(rk.select("rk"), c.select("c", "c_before"), "rk", "c_before", n).select("rk", F.col("c").alias("f"))
+    d = as_of(rk.select("rk"), c.select("c", "c_before"), "rk", "c_before").select("rk", F.col("c").alias("f"))
     return d.unionByName(rk.where("rk = 0").select("rk", F.lit(None).cast("string").alias("f")))
 
 
@@ -124,35 +123,13 @@ def phi_by_samples(positions: DataFrame, runs: DataFrame, n: int) -> DataFrame:
     distance from it to the end of the run before. An as-of join on (first_tpos, last_tpos of run - 1)."""
     before = runs.select((F.col("run") + 1).alias("run"), F.col("last_tpos").alias("prev"))
     s = runs.join(before, "run").select(F.pmod(F.col("first_tpos") + 1, F.lit(n)).alias("s"), F.pmod(F.col("prev") + 1, F.lit(n)).alias("to"))
-    return as_of(positions, s, "pos", "s", n).select("pos", F.pmod(F.col("to") + F.col("pos") - F.col("s"), F.lit(n)).alias("phi"))
-
-
-def as_of(left: DataFrame, right: DataFrame, at: str, start: str, end: int, strict: bool = False, bucket: int = 4096, by: str | None = None, how: str = "inner") -> DataFrame:
-    """left with the right row of the greatest `start` <= its `at` (< if strict), of those with an equal `by` if that is
-    given. Each right row is an interval up to the next start, filed by buckets; no window over all rows but over starts by range."""
-    keys = [by] if by else []
-    r = ranked(right, *keys, start, name="_i")
-    nxt = r.select((F.col("_i") - 1).alias("_i"), F.col(start).alias("_next"), *[F.col(k).alias("_by") for k in keys])
-    same = F.col(by).eqNullSafe(F.col("_by")) if by else F.lit(True)
-    r = r.join(nxt, "_i", "left").withColumn("_next", F.when(same, F.col("_next"))).withColumn("_next", F.coalesce("_next", F.lit(end))).drop("_i", "_by")
-    x = F.col(at) - (1 if strict else 0)
-    r = r.where(F.col("_next") > F.col(start)).withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col("_next") - 1) / bucket))))
-    on = (F.col("_x") == F.col("_b")) & (x >= F.col(start)) & (x < F.col("_next"))
-    if by:
-        r, on = r.withColumnRenamed(by, "_by"), on & (F.col(by) == F.col("_by"))
-    return left.withColumn("_x", F.floor(x / bucket)).join(r, on, how).drop("_x", "_b", "_next", "_by")
-
-
-def predecessor_circular(left: DataFrame, starts: DataFrame, at: str, start: str, end: int) -> DataFrame:
-    """The strict predecessor of each `at`; where there is none, the last of all."""
-    got = as_of(left, starts, at, start, end, strict=True)
-    last = starts.agg(F.max(start).alias("_last"))
-    return left.join(got.select(F.col(at).alias("_at"), start).distinct(), F.col(at) == F.col("_at"), "left").crossJoin(F.broadcast(last)).withColumn(start, F.coalesce(start, "_last")).drop("_at", "_last")
+    return as_of(positions, s, "pos", "s").select("pos", F.pmod(F.col("to") + F.col("pos") - F.col("s"), F.lit(n)).alias("phi"))
 
 
-def sa_at(sa: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(rk, pos) of the asked ranks."""
-    return ranks.join(sa, "rk")
+def predecessor_circular(left: DataFrame, starts: DataFrame, at: str, start: str) -> DataFrame:
+    """The strict predecessor of each `at`; where there is none, the last of all."""
+    last = starts.agg(F.max(start).alias("_last"))
+    return as_of(left, starts, at, start, strict=True, how="left").crossJoin(F.broadcast(last)).withColumn(start, F.coalesce(start, "_last")).drop("_last")
 
 
 def build_stats(runs: DataFrame) -> DataFrame:
@@ -161,18 +138,6 @@ def build_stats(runs: DataFrame) -> DataFrame:
     return a.select("n", "r", (F.col("n") / F.col("r")).alias("n_over_r"), F.log2("r").alias("log2_r"), F.log2(F.col("n") / F.col("r")).alias("log2_n_over_r"))
 
 
-def break_range(runs: DataFrame, lo: int, hi: int, c: str) -> DataFrame:
-    """(lo, hi): maximal parts of [lo, hi] that hold c only."""
-    r = runs.where((F.col("head") == c) & (F.col("hi") >= lo) & (F.col("lo") <= hi))
-    return r.select(F.greatest("lo", F.lit(lo)).alias("lo"), F.least("hi", F.lit(hi)).alias("hi"))
-
-
-def closest_break(runs: DataFrame, lo: int, hi: int, c: str) -> DataFrame:
-    """(place): of the places of c in [lo, hi] that stand beside another letter, the one nearest to lo."""
-    r = break_range(runs, lo, hi, c)
-    return r.agg(F.min(F.when(F.col("lo") > lo, F.col("lo")).otherwise(F.col("hi"))).alias("place"))
-
-
 def decoded(runs: DataFrame, terminator: str = "$") -> DataFrame:
     """(bwt): the whole transform as one string; for texts that fit in a row."""
     parts = F.transform(F.sort_array(F.collect_list(F.struct("run", "head", "len"))), lambda x: F.repeat(F.coalesce(x["head"], F.lit(terminator)), x["len"].cast("int")))
@@ -188,29 +153,3 @@ def suffix_array_from_bwt(b: DataFrame, c: DataFrame) -> DataFrame:
         on = d.select(F.col("rk").alias("to"), F.col("to").alias("_to"), F.col("pos").alias("_pos"))
         d = written(d.join(on, "to", "left").select("rk", F.col("_to").alias("to"), (F.col("pos") + F.coalesce("_pos", F.lit(0))).alias("pos")), "steps")
     return d.select("rk", "pos")
-
-
-def backward_search(b: DataFrame, c: DataFrame, reads: DataFrame, runs: DataFrame) -> DataFrame:
-    """(read_id, lo, hi, toehold): the range of ranks of each pattern, and the text place of its last suffix. A letter is two
-    as-of lookups in the ranks of that letter: the last one up to hi, and the last one before lo. The toehold steps one
-    place back where that last one is at hi; else it is a run's end, whose sample it takes. Patterns
-    that do not occur have no row. For texts with an index; `match.locate` needs none."""
-    ends = runs.select(F.col("hi").alias("_hi"), F.col("last_tpos").alias("sample"))
-    r = rank_select(b.select("rk", "c"), "rk", "c").where("c is not null").join(ends, F.col("rk") == F.col("_hi"), "left")
-    r = written(r.select("c", F.col("rk").alias("at"), "rank", "sample"), "occ")
-    n, last = runs.agg(F.max("hi") + 1, F.max(F.struct("run", "last_tpos"))["last_tpos"] + 1).first()
-    n, last = n or 0, (last or 0) % max(n or 1, 1)
-    longest = reads.agg(F.max(F.length("pattern"))).first()[0] or 0
-    live = reads.where("length(pattern) > 0").select("read_id", "pattern", F.lit(0).cast("bigint").alias("lo"), F.lit(n - 1).cast("bigint").alias("hi"), F.lit(last).cast("bigint").alias("toehold"))
-    done = None
-    for i in range(longest):
-        live = live.withColumn("c", F.substring("pattern", F.length("pattern") - i, F.lit(1)))
-        live = as_of(live, r.withColumnRenamed("rank", "z"), "hi", "at", n, by="c").where(F.col("at") >= F.col("lo"))
-        live = live.withColumn("toehold", F.when(F.col("at") == F.col("hi"), F.col("toehold") - 1).otherwise(F.col("sample"))).drop("at", "sample")
-        live = as_of(live, r.select("c", "at", F.col("rank").alias("a")), "lo", "at", n, strict=True, by="c", how="left")
-        live = live.join(F.broadcast(c), "c").select("read_id", "pattern", (F.col("c_before") + F.coalesce(F.col("a") + 1, F.lit(0))).alias("lo"), (F.col("c_before") + F.col("z")).alias("hi"), F.pmod("toehold", F.lit(n)).alias("toehold"))
-        live = written(live, "ranges")
-        got = live.where(F.length("pattern") == i + 1).select("read_id", "lo", "hi", "toehold")
-        done = got if done is None else done.unionByName(got)
-        live = live.where(F.length("pattern") > i + 1)
-    return done if done is not None else live.select("read_id", "lo", "hi", "toehold")

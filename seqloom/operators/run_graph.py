@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.operators.index import as_of
-from seqloom.tables import ranked, written
+from seqloom.tables import as_of, ranked, written
 
 MIN_PATH = 16
 
@@ -26,7 +25,7 @@ def edges(runs: DataFrame, n: int) -> DataFrame:
     ends = starts.select((F.col("run") + 1).alias("of"), F.col("last_tpos").alias("x"))
     # a sample before all starts follows the largest one, around the end of the text
     largest = starts.agg(F.max(F.struct("first_tpos", "run")).alias("m")).select(F.col("m.run").alias("next"), (F.col("m.first_tpos") - n).alias("first_tpos"))
-    target = as_of(ends, starts.select(F.col("run").alias("next"), "first_tpos").unionByName(largest), "x", "first_tpos", n)
+    target = as_of(ends, starts.select(F.col("run").alias("next"), "first_tpos").unionByName(largest), "x", "first_tpos")
     return target.join(limits, target["of"] == limits["run"]).select(F.col("of").alias("run"), "next", (F.col("x") - F.col("first_tpos")).alias("cost"), "limit")
 
 
@@ -84,16 +83,46 @@ def walk(queries: DataFrame, levels: list[DataFrame]) -> DataFrame:
     return d.select("q", "run", "ahead", "steps")
 
 
-def leaf_walk(leaves: list[tuple[int, int]], nodes: list[int], start: int, cost: int, distance: int) -> tuple[int, int, int]:
-    """(node, steps, cost) of a walk over one path's leaves [(cost, limit)] from leaf `start`: a step needs
-    limit >= cost so far to fail only when it is smaller; at most `distance` steps."""
-    steps = 0
-    at = start
-    while steps < distance and at < len(leaves):
-        c, limit = leaves[at]
-        if limit < cost:
-            break
-        cost += c
-        steps += 1
-        at += 1
-    return nodes[at], steps, cost
+def trees(paths: DataFrame) -> DataFrame:
+    """(path, node, level, cost, limit, run): a balanced tree over each path (path, place, run, cost, limit). Nodes are numbered as in a heap: 1
+    is the root of 2**level leaves, 2k and 2k + 1 are below k, and place p of a path whose tree has height h is node 2**h + p. A node above
+    others is their edges as one: its cost is their sum, and a walk may take it if its cost so far is at most `limit`. Nodes that are not full
+    are left out. A level is one grouping of the level below."""
+    sizes = paths.groupBy("path").agg((F.max("place") + 1).alias("n"))
+    height = F.ceil(F.log2(F.col("n").cast("double"))).cast("int")  # exact for the numbers that a path can have
+    d = paths.join(sizes.select("path", height.alias("h")), "path")
+    d = d.select("path", (F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("h")) + F.col("place")).alias("node"), F.lit(0).alias("level"), "cost", "limit", "run")
+    out = level = written(d, "tree")
+    while True:
+        pair = level.groupBy("path", F.shiftright("node", 1).alias("up")).agg(F.count("*").alias("n"), F.min(F.struct("node", "cost", "limit")).alias("a"), F.max(F.struct("node", "cost", "limit")).alias("b"), F.first("level").alias("level"))
+        pair = pair.where("n = 2").select("path", F.col("up").alias("node"), (F.col("level") + 1).alias("level"), (F.col("a.cost") + F.col("b.cost")).alias("cost"), F.least(F.col("a.limit"), F.col("b.limit") - F.col("a.cost")).alias("limit"), F.lit(None).cast(paths.schema["run"].dataType).alias("run"))
+        level = written(pair, "tree")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+
+
+def tree_walk(queries: DataFrame, tree: DataFrame) -> DataFrame:
+    """(q, run, steps, cost): walks (q, path, place, cost, distance) along the leaves: a step needs its leaf's limit to be at least the cost so far, and adds the leaf's
+    cost; at most `distance` steps, and not beyond the last leaf. All queries climb level by level, taking the node that begins
+    where they stand if it is a right child and they can, and then descend, taking nodes as they fit: two joins a level."""
+    leaves = tree.where("level = 0")
+    sizes = leaves.groupBy("path").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    top = tree.agg(F.max("level")).first()[0] or 0
+    d = queries.join(sizes, "path").where((F.col("place") >= 0) & (F.col("first") + F.col("place") <= F.col("last")))
+    left = F.greatest(F.lit(0), F.least(F.col("distance").cast("bigint"), F.col("last") - F.col("first") - F.col("place")))
+    d = d.select("q", "path", "first", (F.col("first") + F.col("place")).alias("leaf"), F.col("cost").cast("bigint").alias("cost"), left.alias("left"), left.alias("want"), F.lit(99).alias("stop"))
+    for k, up in [*((k, True) for k in range(top + 1)), *((k, False) for k in range(top, -1, -1))]:
+        size = 1 << k
+        nodes = tree.where(F.col("level") == k).select(F.col("path").alias("_p"), F.col("node").alias("_n"), F.col("cost").alias("_c"), F.col("limit").alias("_l"))
+        aligned = F.pmod(F.col("leaf") - F.col("first"), F.lit(size)) == 0
+        right = F.pmod(F.col("leaf") - F.col("first"), F.lit(2 * size)) == size
+        here = (F.col("stop") == 99) & right if up else (F.col("stop") > k) & aligned
+        d = d.join(nodes, (F.col("path") == F.col("_p")) & (F.shiftright("leaf", k) == F.col("_n")), "left")
+        take = here & F.col("_n").isNotNull() & (F.col("left") >= size) & (F.col("_l") >= F.col("cost"))
+        cols = {"leaf": F.when(take, F.col("leaf") + size).otherwise(F.col("leaf")), "cost": F.when(take, F.col("cost") + F.col("_c")).otherwise(F.col("cost")), "left": F.when(take, F.col("left") - size).otherwise(F.col("left"))}
+        if up:
+            cols["stop"] = F.when(here & ~F.coalesce(take, F.lit(False)), F.lit(k)).otherwise(F.col("stop"))
+        d = written(d.select("q", "path", "first", *[cols.get(c, F.col(c)).alias(c) for c in ("leaf", "cost", "left", "want", "stop")]), "tree-walk")
+    at = leaves.select(F.col("path").alias("_p"), F.col("node").alias("_n"), "run")
+    return d.join(at, (F.col("path") == F.col("_p")) & (F.col("leaf") == F.col("_n"))).select("q", "run", (F.col("want") - F.col("left")).alias("steps"), "cost")

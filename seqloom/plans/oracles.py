@@ -25,6 +25,9 @@ RUNS = f"""{BWT}, g AS (SELECT *, sum(CASE WHEN rk > 0 AND c IS NOT DISTINCT FRO
   FROM (SELECT *, lag(c) OVER (ORDER BY rk) AS pc FROM b)),
 r AS (SELECT run::BIGINT AS run, any_value(c) AS head, min(rk) AS lo, max(rk) AS hi, count(*) AS len, ((arg_min(pos, rk) + max(n) - 1) % max(n))::BIGINT AS first_tpos, ((arg_max(pos, rk) + max(n) - 1) % max(n))::BIGINT AS last_tpos FROM g, sz GROUP BY run)"""
 C = f"{BWT}, ca AS (SELECT c, cnt, (sum(cnt) OVER (ORDER BY c) - cnt + 1)::BIGINT AS c_before FROM (SELECT c, count(*) AS cnt FROM b WHERE c IS NOT NULL GROUP BY c))"
+#: Seeds of the items in their index, from the last rank down.
+INDEX_HITS = f"""{SA}, q AS (SELECT item_id, o AS off, substring(i.t, (o + 1)::INT, 20) AS w FROM (SELECT *, unnest(range(0, length(t) - 19, 20)) AS o FROM i) i),
+ih AS (SELECT item_id, off, row_number() OVER (PARTITION BY item_id, off ORDER BY rk DESC) AS nth, pos FROM q JOIN (SELECT rk, pos, substring(t, (pos + 1)::INT, 20) AS w FROM sa, t) USING (w))"""
 CHARS = f"{ITEMS}, ch AS (SELECT item_id, p::BIGINT AS pos, substring(t, (p + 1)::INT, 1) AS c FROM (SELECT *, unnest(range(0, length(t))) AS p FROM i))"
 SAM = f"""{HITS}, hh AS (SELECT read_id, doc_id, pos, nh, row_number() OVER (PARTITION BY read_id ORDER BY doc_id, pos) AS nth FROM h JOIN n USING (read_id) WHERE nh <= 4),
 sam AS (SELECT 'read_' || s.read_id AS qname, CASE WHEN pos IS NULL THEN 4 WHEN nth > 1 THEN 256 ELSE 0 END::INT AS flag, coalesce('doc' || doc_id, '*') AS rname,
@@ -55,6 +58,11 @@ sn AS (SELECT item_id, segment, count(*) AS occ FROM sh GROUP BY ALL)"""
 EDGES = f"""{RUNS}, l AS (SELECT run, first_tpos, coalesce(lead(first_tpos) OVER (ORDER BY first_tpos) - first_tpos, 1) AS lim FROM r),
 ed AS (SELECT e.run, p.run AS next, x - p.first_tpos AS cost, l.lim AS lim FROM (SELECT run + 1 AS run, last_tpos AS x FROM r WHERE run + 1 IN (SELECT run FROM r)) e
   ASOF JOIN (SELECT run, first_tpos FROM r) p ON e.x >= p.first_tpos JOIN l ON l.run = e.run)"""
+#: The paths of the cover with their edges, by place: each run belongs to the least root that reaches it.
+PATHS = f"""{EDGES}, w AS (SELECT run AS root, run, 0 AS place FROM ed WHERE run NOT IN (SELECT next FROM ed) UNION SELECT root, next, place + 1 FROM w JOIN ed USING (run) WHERE next > 0),
+ow AS (SELECT run, min(root) AS root, arg_min(place, root) AS place FROM w GROUP BY run), lo AS (SELECT root FROM ow GROUP BY root HAVING count(*) >= 16),
+pa AS (SELECT root AS path, place::BIGINT AS place, run, cost, lim - 1 AS lim, count(*) OVER (PARTITION BY root) AS n, sum(cost) OVER (PARTITION BY root ORDER BY place) - cost AS before FROM ow JOIN lo USING (root) JOIN ed USING (run)),
+ph AS (SELECT *, ceil(log2(n))::INT AS h FROM pa)"""
 
 ORACLES = {
     "seed_count": f"WITH {HITS} SELECT p AS seed, count(doc_id) AS occ FROM (SELECT DISTINCT pattern AS p FROM s) LEFT JOIN (SELECT DISTINCT pattern, doc_id, pos FROM h) ON p = pattern GROUP BY p",
@@ -94,15 +102,24 @@ ORACLES = {
     "build_stats": f"WITH {RUNS} SELECT sum(len)::BIGINT AS n, count(*) AS r, sum(len) / count(*) AS n_over_r, log2(count(*)) AS log2_r, log2(sum(len) / count(*)) AS log2_n_over_r FROM r",
     "space_report": f"WITH {RUNS} SELECT 'bwt_runs' AS component, count(*) AS n_rows, 7::BIGINT AS n_columns FROM r UNION ALL SELECT 'sa', count(*), 2 FROM sa UNION ALL SELECT 'letters', count(*) - 1, 2 FROM sa",
     "predecessor_circular": f"WITH {RUNS}, q AS (SELECT unnest(range(0, (SELECT count(*) FROM sa))) AS x) SELECT x, coalesce(r.first_tpos, (SELECT max(first_tpos) FROM r)) AS first_tpos FROM q ASOF LEFT JOIN r ON q.x > r.first_tpos",
-    "break_range": f"WITH {RUNS} SELECT greatest(lo, 100) AS lo, least(hi, 2000) AS hi FROM r WHERE head = 'E' AND hi >= 100 AND lo <= 2000",
-    "closest_run_break": f"WITH {RUNS} SELECT min(CASE WHEN greatest(lo, 100) > 100 THEN greatest(lo, 100) ELSE least(hi, 2000) END) AS place FROM r WHERE head = 'E' AND hi >= 100 AND lo <= 2000",
-    "backward_ranges": f"WITH {SA}, q AS (SELECT item_id, o AS off, substring(i.t, (o + 1)::INT, 8) AS w FROM (SELECT *, unnest(range(0, length(t) - 7, 8)) AS o FROM i) i), k AS (SELECT rk, pos, substring(t, (pos + 1)::INT, 8) AS w FROM sa, t) SELECT item_id, off, min(rk) AS lo, max(rk) AS hi, arg_max(pos, rk) AS toehold FROM q JOIN k USING (w) GROUP BY ALL",
+    "break_range": f"WITH {RUNS}, q AS (SELECT unnest(range(0, (SELECT max(hi) + 1 FROM r), 500)) AS a) SELECT a // 500 AS q, head AS c, greatest(lo, a) AS lo, least(hi, a + 499) AS hi FROM r JOIN q ON hi >= a AND lo <= a + 499 WHERE head IS NOT NULL",
+    "closest_run_break": f"WITH {RUNS}, q AS (SELECT unnest(range(0, (SELECT max(hi) + 1 FROM r), 500)) AS a) SELECT a // 500 AS q, head AS c, min(CASE WHEN lo > a THEN lo ELSE least(hi, a + 499) END) AS place FROM r JOIN q ON hi >= a AND lo <= a + 499 WHERE head IS NOT NULL GROUP BY ALL",
+    "backward_ranges": f"WITH {SA}, k AS (SELECT rk, pos, substring(t, pos + 1) AS w FROM sa, t) SELECT i.item_id, min(rk) AS lo, max(rk) AS hi, arg_max(pos, rk) AS toehold FROM i JOIN k ON starts_with(k.w, i.t) WHERE i.t <> '' GROUP BY ALL",
+    "index_locate": f"WITH {INDEX_HITS} SELECT * FROM ih",
+    "index_first_hits": f"WITH {INDEX_HITS} SELECT * FROM ih WHERE nth <= 2",
+    "rank_questions": f"WITH {BWT}, q AS (SELECT p::BIGINT AS i, substring(t, (p + 1)::INT, 1) AS c FROM (SELECT t, unnest(range(0, length(t))) AS p FROM t)), o AS (SELECT rk, c, row_number() OVER (PARTITION BY c ORDER BY rk) AS k FROM b) SELECT i, q.c, coalesce(k, 0) AS rank FROM q ASOF LEFT JOIN o ON q.c = o.c AND q.i > o.rk",
+    "select_questions": f"WITH {BWT}, q AS (SELECT p::BIGINT AS k, substring(t, (p + 1)::INT, 1) AS c FROM (SELECT t, unnest(range(0, length(t))) AS p FROM t)), o AS (SELECT rk, c, row_number() OVER (PARTITION BY c ORDER BY rk) - 1 AS k FROM b) SELECT q.k, q.c, rk AS place FROM q LEFT JOIN o ON q.c = o.c AND q.k = o.k",
     "run_graph_edges": f"WITH {EDGES} SELECT run, next, cost, lim AS limit FROM ed",
     "run_graph_double_edges": f"WITH {EDGES} SELECT a.run, b.next, a.cost + b.cost AS cost, least(a.lim, b.lim - a.cost) AS limit FROM ed a JOIN ed b ON b.run = a.next",
     "run_graph_walks": f"""WITH RECURSIVE {EDGES}, w AS (SELECT run AS q, run, 0::BIGINT AS ahead, 0::BIGINT AS steps FROM ed UNION ALL
       SELECT q, next, ahead + cost, steps + 1 FROM w JOIN ed USING (run) WHERE ahead < lim AND steps < 7) SELECT q, arg_max(run, steps) AS run, arg_max(ahead, steps) AS ahead, max(steps) AS steps FROM w GROUP BY q""",
     "path_cover": f"""WITH RECURSIVE {EDGES}, w AS (SELECT run AS root, run FROM ed WHERE run NOT IN (SELECT next FROM ed) UNION SELECT root, next FROM w JOIN ed USING (run) WHERE next > 0),
       o AS (SELECT run, min(root) AS root FROM w GROUP BY run) SELECT root, count(*) AS n FROM o GROUP BY root HAVING count(*) >= 16""",
+    "path_trees": f"""WITH RECURSIVE {PATHS} SELECT path, ((1::BIGINT << h) + place) >> k AS node, sum(cost)::BIGINT AS cost, (min(lim - before) + min(before))::BIGINT AS limit
+      FROM ph, range(0, 40) r(k) WHERE k <= h GROUP BY path, k, ((1::BIGINT << h) + place) >> k HAVING count(*) = 1::BIGINT << k""",
+    "tree_walks": f"""WITH RECURSIVE {PATHS}, tw AS (SELECT run AS q, path, place, 0::BIGINT AS cost, 0 AS steps FROM ph UNION ALL
+      SELECT q, tw.path, tw.place + 1, tw.cost + ph.cost, steps + 1 FROM tw JOIN ph ON ph.path = tw.path AND ph.place = tw.place WHERE steps < 40 AND ph.lim >= tw.cost AND tw.place < n - 1)
+      SELECT q, ph.run, x.steps::BIGINT AS steps, x.cost FROM (SELECT q, any_value(path) AS path, arg_max(place, steps) AS place, max(steps) AS steps, arg_max(cost, steps) AS cost FROM tw GROUP BY q) x JOIN ph USING (path, place)""",
     "sam_records": f"WITH {SAM} SELECT * FROM sam",
     "sam_lines": f"WITH {SAM} SELECT concat_ws(chr(9), qname, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, tags) AS value FROM sam",
     "sam_header": "SELECT -1 AS ord, '@HD' || chr(9) || 'VN:1.6' || chr(9) || 'SO:unknown' AS value UNION ALL SELECT doc_id, '@SQ' || chr(9) || 'SN:doc' || doc_id || chr(9) || 'LN:' || length(text) FROM documents",

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as T
-from seqloom.operators import index, kmers, match, mosaic, neighbors, resolve, run_graph, sam
+from seqloom.operators import index, kmers, match, mosaic, neighbors, resolve, run_graph, sam, samples
 from seqloom.plans import pipelines
 from seqloom.sources import readers, writers
 from seqloom.streaming.search import search_stream
@@ -152,11 +152,52 @@ def gap_at(s, d):
     return t.withColumn("gap", F.col("pos") - F.lag("pos", 1, -1).over(Window.partitionBy("item_id", "c").orderBy("pos")))
 
 
+def _size(s, d):
+    """Ranks of the index, from its runs."""
+    return _runs(s, d).agg(F.max("hi") + 1).first()[0] or 0
+
+
+def _graph(s, d):
+    return _once(s, d, "sample-graph", lambda: samples.sample_graph(_runs(s, d), _size(s, d)))
+
+
 def access_sa(s, d):
-    """Suffix array values at every rank but the first, and one Phi step on from each."""
-    r = s.range(1, _sa(s, d).count()).select(F.col("id").alias("rk"))
-    at = index.sa_at(_sa(s, d), r)
-    return at.join(index.phi(_sa(s, d)), "pos").select("rk", "pos", "phi")
+    """Suffix array values at every rank but the first, and one Phi step on from each, walked from the samples of runs."""
+    n = _size(s, d)
+    at = samples.suffix_array_at(s.range(1, n).select(F.col("id").alias("rk")), _runs(s, d), _graph(s, d), n)
+    on = samples.phi_steps(at.select("rk", "pos", F.col("pos").alias("x"), F.lit(1).cast("bigint").alias("d")), _graph(s, d), n)
+    return on.select("rk", "pos", F.col("x").alias("phi"))
+
+
+def index_locate(s, d):
+    """Every seed of the items located in their index: its suffixes from the last rank down, by samples alone."""
+    found = samples.backward_search(_runs(s, d), _index_seeds(s, d))
+    hits = samples.locate(found, _runs(s, d), _graph(s, d), _size(s, d))
+    return hits.select("read_id.read_id", "read_id.off", "nth", "pos").withColumnRenamed("read_id", "item_id")
+
+
+def index_first_hits(s, d):
+    """The first two of each seed's suffixes."""
+    found = samples.backward_search(_runs(s, d), _index_seeds(s, d))
+    hits = samples.locate(found, _runs(s, d), _graph(s, d), _size(s, d), MAX_HITS)
+    return hits.select("read_id.read_id", "read_id.off", "nth", "pos").withColumnRenamed("read_id", "item_id")
+
+
+def _index_seeds(s, d):
+    q = kmers.seeds(_items(s, d).withColumnRenamed("seq_id", "read_id"), K, STEP - 1)
+    return q.select(F.struct("read_id", "off").alias("read_id"), F.col("seed").alias("pattern"))
+
+
+def rank_questions(s, d):
+    """For each place of the text its letter's rank at that place of the transform, from runs."""
+    q = _letters(s, d).select(F.col("pos").alias("i"), "c")
+    return samples.rank(q, samples.directory(_runs(s, d))).select("i", "c", "rank")
+
+
+def select_questions(s, d):
+    """For each place k of the text where the k-th of its letter stands in the transform, if there are so many."""
+    q = _letters(s, d).select(F.col("pos").alias("k"), "c")
+    return samples.select(q, samples.directory(_runs(s, d))).select("k", "c", "place")
 
 
 def phi_by_samples(s, d):
@@ -166,16 +207,24 @@ def phi_by_samples(s, d):
 
 
 def predecessor_circular(s, d):
-    n = _sa(s, d).count()
-    return index.predecessor_circular(s.range(0, n).select(F.col("id").alias("x")), _runs(s, d).select("first_tpos"), "x", "first_tpos", n)
+    n = _size(s, d)
+    return index.predecessor_circular(s.range(0, n).select(F.col("id").alias("x")), _runs(s, d).select("first_tpos"), "x", "first_tpos")
+
+
+def _letter_ranges(s, d):
+    """Each letter in each stretch of 500 ranks."""
+    parts = s.range(0, _size(s, d), 500).select((F.col("id") / 500).cast("bigint").alias("q"), F.col("id").alias("lo"), (F.col("id") + 499).alias("hi"))
+    heads = written(_runs(s, d).where("head is not null").select("run", "head", "lo", "hi"), "heads")
+    held = samples.runs_over(parts, heads.withColumn("last_tpos", F.lit(0))).select("q", "lo", "hi", F.col("head").alias("c")).distinct()
+    return written(held.select(F.struct("q", "c").alias("q"), "lo", "hi", "c"), "ranges")
 
 
 def break_range(s, d):
-    return index.break_range(_runs(s, d), 100, 2000, "E")
+    return samples.break_ranges(_letter_ranges(s, d), _runs(s, d)).select("q.q", "q.c", "lo", "hi")
 
 
 def closest_run_break(s, d):
-    return index.closest_break(_runs(s, d), 100, 2000, "E")
+    return samples.closest_breaks(_letter_ranges(s, d), _runs(s, d)).select("q.q", "q.c", "place")
 
 
 def suffix_array_from_bwt(s, d):
@@ -183,11 +232,9 @@ def suffix_array_from_bwt(s, d):
 
 
 def backward_ranges(s, d):
-    """Each item's text in pieces of eight letters."""
-    reads = kmers.seeds(_items(s, d).withColumnRenamed("seq_id", "read_id"), 8, 7)
-    reads = reads.select(F.struct("read_id", "off").alias("read_id"), F.col("seed").alias("pattern"))
-    found = index.backward_search(_bwt(s, d), index.c_array(_letters(s, d)), reads, _runs(s, d))
-    return found.select(F.col("read_id.read_id").alias("item_id"), "read_id.off", "lo", "hi", "toehold")
+    """Each item's whole text."""
+    found = samples.backward_search(_runs(s, d), _items(s, d).select(F.col("seq_id").alias("read_id"), F.col("seq").alias("pattern")))
+    return found.select(F.col("read_id").alias("item_id"), "lo", "hi", "toehold")
 
 
 def run_graph_walks(s, d):
@@ -200,6 +247,29 @@ def path_cover(s, d):
     return run_graph.path_cover(_edges(s, d)).groupBy("root").agg(F.count("*").alias("n"))
 
 
+def _trees(s, d):
+    """Trees over the paths of the cover; an edge is taken where the distance so far is below its limit."""
+
+    def make():
+        e = _edges(s, d).select("run", "cost", (F.col("limit") - 1).alias("limit"))
+        return run_graph.trees(run_graph.path_cover(_edges(s, d)).join(e, "run").select(F.col("root").alias("path"), "place", "run", "cost", "limit"))
+
+    return _once(s, d, "trees", make)
+
+
+def path_trees(s, d):
+    return _trees(s, d).select("path", "node", "cost", "limit")
+
+
+def tree_walks(s, d):
+    """From every run of every path as far as 40 steps."""
+    tree = _trees(s, d)
+    leaves = tree.where("level = 0").select("path", "node", "run")
+    place = leaves.join(leaves.groupBy("path").agg(F.min("node").alias("first")), "path")
+    q = place.select(F.col("run").alias("q"), "path", (F.col("node") - F.col("first")).alias("place"), F.lit(0).alias("cost"), F.lit(40).alias("distance"))
+    return run_graph.tree_walk(q, tree)
+
+
 def _sam(s, d):
     def make():
         h = sam.numbered(_ranged(s, d).join(_docs(s, d).select("seq_id", F.col("name").alias("rname")), "seq_id"))
@@ -525,8 +595,14 @@ QUERIES = {
     "break_range": break_range,
     "closest_run_break": closest_run_break,
     "backward_ranges": backward_ranges,
+    "index_locate": index_locate,
+    "index_first_hits": index_first_hits,
+    "rank_questions": rank_questions,
+    "select_questions": select_questions,
     "run_graph_edges": lambda s, d: _edges(s, d),
     "path_cover": path_cover,
+    "path_trees": path_trees,
+    "tree_walks": tree_walks,
     "sam_records": lambda s, d: _sam(s, d),
     "sam_lines": lambda s, d: sam.as_lines(_sam(s, d)),
     "sam_header": sam_header,

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 
 def session(master: str = "local[*]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -102,8 +103,64 @@ def if_small(df: DataFrame, limit: int = 500_000, size: Column | None = None, li
 
 
 def blocks(df: DataFrame, key: str, limit: int, size: Column | None = None, limit_bytes: int = 1 << 26) -> list[DataFrame]:
-    """df in parts of about `limit` rows, and of limit_bytes by the column size, at most each, so that
-    each may be broadcast. Rows are counted, not estimated."""
+    """df in parts of at most `limit` rows, and of limit_bytes by the column size (and one row more), so that each may be
+    broadcast, in the order of `key`. Rows are counted, not estimated; rows of one key are dealt out like others."""
     n, total = df.agg(F.count("*"), F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))).first()
-    k = max(-(-n // limit), -(-total // limit_bytes))
-    return [df] if k <= 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(k)) == i) for i in range(k)]
+    if n <= limit and total <= limit_bytes:
+        return [df]
+    # what a row takes of a part, of a million
+    share = F.greatest(F.lit(-(-1_000_000 // limit)), F.lit(0) if size is None else F.ceil(size * 1_000_000 / limit_bytes)).cast("bigint")
+    d = running_total(df.withColumns({"_share": share, "_m": F.monotonically_increasing_id()}), "_share", key, "_m", name="_taken")
+    d = written(d.withColumn("_block", F.floor(F.col("_taken") / 1_000_000).cast("int")).drop("_share", "_m", "_taken"), "blocks")
+    return [d.where(F.col("_block") == i).drop("_block") for i in range(d.agg(F.max("_block")).first()[0] + 1)]
+
+
+def as_of(left: DataFrame, right: DataFrame, at: str, start: str, strict: bool = False, by: str | None = None, how: str = "inner") -> DataFrame:
+    """left with the right row of the greatest `start` <= its `at` (< if strict), of those with an equal `by` if that is given.
+
+    Both sides are put in one order, in sorted ranges, and each left row takes the last right row before it; the last one of a
+    range goes on to the ranges behind, a row a range. So a row costs its sort, however dense or sparse the starts are, and
+    rows of one place are dealt out like others. A null place has no match.
+    """
+    spark = left.sparkSession
+    if by:
+        right = right.withColumnRenamed(by, "_by")
+    row = lambda d: F.struct(*[F.col(f"`{c}`") for c in d.columns])
+    kind = lambda d, k, own, x: d.select(own, F.lit(k).alias("k"), F.col(x).alias("x"), *([F.col(by if k == "l" else "_by").alias("by")] if by else []))
+    u = kind(left, "l", row(left).alias("l"), at).unionByName(kind(right.where(F.col(start).isNotNull()), "r", row(right).alias("r"), start), allowMissingColumns=True)
+    order = [*(["by"] if by else []), "x", F.col("k").asc() if strict else F.col("k").desc(), "_m"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    u = u.withColumn("_m", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    kinds = StructType([StructField("l", u.schema["l"].dataType), StructField("r", u.schema["r"].dataType), StructField("part", IntegerType()), StructField("carry", BooleanType())])
+
+    def fill(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, last = TaskContext.get().partitionId(), None
+        names = ["l", "r", "part", "carry"]
+        for b in batches:
+            starts = np.array(b.column("k").to_pylist(), dtype=object) == "r"
+            r = b.column("r")
+            before = np.maximum.accumulate(np.where(starts, np.arange(len(starts)) + 1, 0))
+            mine = np.flatnonzero(~starts)
+            source = pa.concat_arrays([last if last is not None else pa.nulls(1, r.type), r])
+            yield pa.RecordBatch.from_arrays([b.column("l").take(pa.array(mine)), source.take(pa.array(before[mine])), pa.array(np.full(len(mine), part, np.int32)), pa.array(np.zeros(len(mine), bool))], names=names)
+            if starts.any():
+                last = r.take(pa.array([int(np.flatnonzero(starts)[-1])]))
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.struct(kind_of["l"])), last, pa.array([part], pa.int32()), pa.array([True])], names=names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind_of = {"l": list(to_arrow_type(u.schema["l"].dataType))}
+    d = written(u.select("l", "r", "k").mapInArrow(fill, kinds), "as-of")
+    ends = spark.range(n).select(F.col("id").cast("int").alias("_p")).join(d.where("carry").select("part", "r"), F.col("_p") == F.col("part"), "left")
+    ends = ends.select("_p", F.last("r", ignorenulls=True).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_r"))
+    d = d.where("not carry").join(F.broadcast(ends), F.col("part") == F.col("_p"), "left").select("l", F.coalesce("r", "_r").alias("r"))
+    if by:
+        d = d.withColumn("r", F.when(F.col(f"l.`{by}`") == F.col("r._by"), F.col("r")))
+    if how == "inner":
+        d = d.where("r is not null")
+    return d.select("l.*", *[F.col(f"r.`{c}`") for c in right.columns if c != "_by"])

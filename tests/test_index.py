@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from seqloom.operators import index, match, run_graph
+from seqloom.operators import index, match, run_graph, samples
 
 
 def plain_sa(t):
@@ -45,15 +45,60 @@ def test_golden_samples(spark):
     assert {x.c: x.c_before for x in index.c_array(index.letters(s)).collect()} == {"A": 1, "B": 4, "N": 5}
 
 
-def test_backward_search(spark):
-    s = seqs(spark, "ACGTACGTTACG")
-    sa = index.suffix_array(s)
-    reads = spark.createDataFrame([(1, "ACG"), (2, "CGT"), (3, "TACG"), (4, "GGG")], "read_id long, pattern string")
-    b, c = index.bwt(sa, index.letters(s)), index.c_array(index.letters(s))
-    found = index.backward_search(b, c, reads, index.bwt_runs(b, 13)).collect()
-    assert {r.read_id: (r.lo, r.hi) for r in found} == {1: (1, 3), 2: (5, 6), 3: (10, 11)}
-    places = plain_sa("ACGTACGTTACG")
-    assert all(r.toehold == places[r.hi] for r in found)
+def indexed(spark, text):
+    s = seqs(spark, text)
+    b = index.bwt(index.suffix_array(s, 4), index.letters(s))
+    from seqloom.tables import written
+
+    return plain_sa(text), written(index.bwt_runs(b, len(text) + 1))
+
+
+@pytest.mark.parametrize(("text", "limit"), [("ACGTACGTTACG", samples.LIMIT), ("A" * 40, samples.LIMIT), ("".join(random.Random(2).choices("AB", k=50)) * 3, samples.LIMIT), ("ACGTACGTTACG" + "é" * 9, 0)])
+def test_questions_to_runs(spark, text, limit):
+    """Ranges, toeholds, suffix-array values and hits, with the samples in the tasks and by merges."""
+    sa, runs = indexed(spark, text)
+    n = len(text) + 1
+    pats = ["ACG", "CGT", "TACG", "GGG", "A", "AB", "é", "BBB", text[5:8]] + ([text[5:14], text, text + "A", "AAAA"] if limit else [])
+    found = samples.backward_search(runs, spark.createDataFrame(list(enumerate([*pats, ""])), "read_id long, pattern string"), limit)
+    want = {}
+    for i, x in enumerate(pats):
+        ks = [k for k in range(n) if text.startswith(x, sa[k]) and sa[k] < len(text)]
+        if ks:
+            want[i] = (ks[0], ks[-1], sa[ks[-1]])
+    assert {r.read_id: (r.lo, r.hi, r.toehold) for r in found.collect()} == want
+    graph = samples.sample_graph(runs, n)
+    hits = samples.locate(found, runs, graph, n, limit=limit).collect()
+    assert sorted(map(tuple, hits)) == sorted((i, hi - k + 1, sa[k]) for i, (lo, hi, _) in want.items() for k in range(lo, hi + 1))
+    some = samples.locate(found, runs, graph, n, 2, limit).collect()
+    assert sorted(map(tuple, some)) == sorted(tuple(h) for h in hits if h.nth <= 2)
+    at = samples.suffix_array_at(spark.range(n).selectExpr("id AS rk", "id * 2 AS other"), runs, graph, n, limit)
+    assert sorted(map(tuple, at.select("rk", "pos", "other").collect())) == [(k, sa[k], 2 * k) for k in range(n)]
+
+
+def test_rank_select_and_ranges(spark):
+    text = "".join(random.Random(9).choices("ABC", k=90)) + "D" * 20
+    sa, runs = indexed(spark, text)
+    bwt = [text[i - 1] if i else None for i in sa]
+    of = samples.directory(runs)
+    q = [(i, c) for i in range(len(bwt) + 1) for c in "ABCDZ"]
+    got = samples.rank(spark.createDataFrame(q, "i long, c string"), of).collect()
+    assert {(r.i, r.c): r["rank"] for r in got} == {(i, c): bwt[:i].count(c) for i, c in q}
+    places = {c: [i for i, x in enumerate(bwt) if x == c] for c in "ABCDZ"}
+    got = samples.select(spark.createDataFrame([(k, c) for k, c in q], "k long, c string"), of).collect()
+    assert {(r.k, r.c): r.place for r in got} == {(k, c): places[c][k] if k < len(places[c]) else None for k, c in q}
+    ranges = [(i, lo, hi, c) for i, (lo, hi, c) in enumerate((lo, hi, c) for lo in range(0, 110, 17) for hi in (lo - 1, lo, lo + 3, 110) for c in "ABDZ")]
+    d = spark.createDataFrame(ranges, "q long, lo long, hi long, c string")
+    want, near = [], {}
+    for i, lo, hi, c in ranges:
+        at = [k for k in range(lo, min(hi, len(bwt) - 1) + 1) if bwt[k] == c]
+        parts = [[k for k in at if k - at.index(k) == g] for g in sorted({k - at.index(k) for k in at})]
+        want += [(i, p[0], p[-1]) for p in parts]
+        beside = [k for k in at if (k > lo and bwt[k - 1] != c) or k == max(p[-1] for p in parts if k in p)]
+        if parts:
+            near[i] = min(p[0] if p[0] > lo else p[-1] for p in parts)
+            assert near[i] in beside
+    assert sorted(map(tuple, samples.break_ranges(d, runs).collect())) == sorted(want)
+    assert {r.q: r.place for r in samples.closest_breaks(d, runs).collect()} == near
 
 
 def test_run_graph_and_walks(spark):
@@ -95,12 +140,34 @@ def test_run_graph_and_walks(spark):
         assert got[q] == (run, ahead, steps), q
 
 
-def test_leaf_walk_goldens():
-    nodes, leaves = [26, 3, 11, 20, 0, 17], [(5, 1), (0, 6), (0, 3), (2, 1), (0, 3), (4, 1)]
-    walk = lambda at, d: run_graph.leaf_walk(leaves, nodes, at, 0, d)
-    assert [walk(0, d) for d in (1, 2, 3)] == [(3, 1, 5), (11, 2, 5), (11, 2, 5)]
-    assert [walk(1, d) for d in (1, 2)] == [(11, 1, 0), (20, 2, 0)]
-    assert [walk(2, d) for d in (1, 2, 3, 4)] == [(20, 1, 0), (0, 2, 2), (17, 3, 2), (17, 3, 2)]
+def test_tree_goldens(spark):
+    """Fixed trees and walks, and every walk of random ones step by step."""
+    rnd = random.Random(6)
+    paths = {0: [(i, 0, 1) for i in range(8)], 1: [(26, 5, 1), (3, 0, 6), (11, 0, 3), (20, 2, 1), (0, 0, 3), (17, 4, 1)], 2: [(i, 0, 1) for i in range(14)], 3: [(i, 0, 1) for i in range(9)], 4: [(i, 0, 1) for i in range(19)], 5: [(7, 3, 2)]}
+    paths |= {k: [(rnd.randint(0, 99), rnd.randint(0, 3), rnd.randint(0, 12)) for _ in range(rnd.randint(2, 40))] for k in range(6, 10)}
+    rows = [(k, i, *x) for k, p in paths.items() for i, x in enumerate(p)]
+    tree = run_graph.trees(spark.createDataFrame(rows, "path long, place long, run long, cost long, limit long"))
+    want, queries = {}, []
+    for k, p in paths.items():
+        for start in range(len(p)):
+            for distance in {1, 2, 3, len(p) - start - 1, len(p) + 5}:
+                for cost in {0, rnd.randint(0, 4)}:
+                    queries.append((len(queries), k, start, cost, distance))
+                    at, c = start, cost
+                    while at - start < min(distance, len(p) - 1 - start) and p[at][2] >= c:
+                        c, at = c + p[at][1], at + 1
+                    want[queries[-1][0]] = (p[at][0], at - start, c)
+    got = {r.q: (r.run, r.steps, r.cost) for r in run_graph.tree_walk(spark.createDataFrame(queries, "q long, path long, place long, cost long, distance long"), tree).collect()}
+    assert got == want
+    of = {(x[1], x[2], x[4]): got[x[0]] for x in queries if x[3] == 0}
+    assert [of[1, 0, d] for d in (1, 2, 3)] == [(3, 1, 5), (11, 2, 5), (11, 2, 5)]
+    assert [of[1, 1, d] for d in (1, 2)] == [(11, 1, 0), (20, 2, 0)]
+    assert [of[1, 2, d] for d in (1, 2, 3)] == [(20, 1, 0), (0, 2, 2), (17, 3, 2)]
+    assert of[4, 0, 18] == (18, 18, 0) and of[4, 3, 24] == (18, 15, 0)
+    # a node is its leaves' edges as one
+    t = {(r.path, r.node): (r.cost, r.limit) for r in tree.collect()}
+    assert all(t[k, n] == (t[k, 2 * n][0] + t[k, 2 * n + 1][0], min(t[k, 2 * n][1], t[k, 2 * n + 1][1] - t[k, 2 * n][0])) for k, n in t if (k, 2 * n + 1) in t)
+    assert (0, 1) in t and (3, 1) not in t and len([1 for k, _ in t if k == 0]) == 15
 
 
 def test_random_searches(spark):

@@ -29,6 +29,34 @@ def test_blocks_hold_every_row_once(spark):
     assert len(tables.blocks(d, "k", 1000)) == 1 and len(tables.blocks(d.limit(0), "k", 10)) == 1
 
 
+def test_blocks_split_a_hot_key(spark):
+    d = spark.range(1000).select(F.lit("one").alias("k"), "id", F.when(F.col("id") == 7, 400).otherwise(1).alias("size"))
+    parts = tables.blocks(d, "k", 100)
+    assert [p.count() for p in parts] == [100] * 10 and sorted(r.id for p in parts for r in p.collect()) == list(range(1000))
+    parts = tables.blocks(d, "k", 5000, F.col("size"), 200)
+    sums = [p.agg(F.sum("size")).first()[0] or 0 for p in parts]
+    assert sum(sums) == 1399 and all(s <= 200 + 400 for s in sums) and sum(p.count() for p in parts) == 1000
+
+
+def test_as_of(spark):
+    rnd = random.Random(5)
+    # dense, sparse and repeated places, several letters, nulls
+    left = [(i, rnd.choice([rnd.randint(-5, 60), 10_000 * rnd.randint(0, 9), 30]), rnd.choice(["a", "b", None])) for i in range(300)] + [(900, None, "a")]
+    starts = [(k, s, c) for k, (s, c) in enumerate({(rnd.choice([rnd.randint(0, 50), 7_000 * rnd.randint(0, 9)]), rnd.choice("abc")) for _ in range(80)})]
+    lf = spark.createDataFrame(left, "i long, x long, c string").repartition(6)
+    rt = spark.createDataFrame(starts, "k long, s long, c string").repartition(3)
+    for strict in (False, True):
+        ok = lambda s, x: x is not None and (s < x if strict else s <= x)  # noqa: E731, B023
+        best = lambda x, c: max((s for _, s, d in starts if d == c and ok(s, x)), default=None)  # noqa: E731, B023
+        got = {r.i: r.s for r in tables.as_of(lf, rt, "x", "s", strict, "c", "left").collect()}
+        assert got == {i: best(x, c) for i, x, c in left}
+        some = tables.as_of(lf, rt, "x", "s", strict, "c")
+        assert some.columns == ["i", "x", "c", "k", "s"] and {r.i: r.s for r in some.collect()} == {i: s for i, s in got.items() if s is not None}
+        every = {r.i: r.s for r in tables.as_of(lf.drop("c"), rt.select("s").distinct(), "x", "s", strict, how="left").collect()}
+        assert every == {i: max((s for _, s, _ in starts if ok(s, x)), default=None) for i, x, _ in left}
+    assert tables.as_of(lf, rt.limit(0), "x", "s", by="c").count() == 0 and tables.as_of(lf.limit(0), rt, "x", "s", by="c", how="left").count() == 0
+
+
 def test_substrings(spark):
     texts = ["", "a", "ab", "é" * 10 + "xyz", "abcdefghij" * 7, None]
     s = spark.createDataFrame(list(enumerate(texts)), "seq_id long, seq string")
