@@ -11,8 +11,8 @@ Counts. A minimal perfect hash gives each candidate a slot, and the candidate it
 none is told by comparison, not by its hash. Each task counts its slots in a numpy array, arrays are added up in a
 tree of at most FAN at a time, and the frequencies of a phrase's parts are read by their slots.
 
-Bounds. Candidates are taken in blocks of about BLOCK, each with its own hash, its own pass over the segments and its own broadcast
-of a few dozen bytes a candidate; so what a task or the driver holds does not grow, but passes do, with the number of candidates.
+Bounds. Candidates, and frequent words and phrases, are taken in blocks of about BLOCK, each with its own hash, its own pass over the segments and its own broadcast
+of a few dozen bytes a key; so what a task or the driver holds does not grow, but passes do, with the number of candidates.
 64-bit hashes that two candidates share are no fault: the second is kept beside the hash.
 
 Defined cases: null text is empty, null lang is `und`; repeated rows count each; an empty table or one without candidates gives an empty
@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm._common import written
+from seqloom.llm._common import drop, written
 
 LEAST, LONGEST, COVER, TOP = 30, 4, 80, 2000
-BLOCK, BUCKETS, FAN = 1 << 20, 1 << 22, 64
-#: Slots and buckets in a row of sums; tokens that a task looks at in one go.
-SLOTS, BYTES, STRETCH = 2048, 16_384, 1 << 20
+BLOCK, BUCKETS, FAN = 1 << 22, 1 << 22, 256
+#: Slots and buckets in a row of sums; words that a task looks at in one go, and in all, where there are more than the cores have.
+SLOTS, BYTES, STRETCH, SHARE = 2048, 16_384, 1 << 19, 1 << 22
 BREAK = b"\xff"  # no byte of UTF-8
 _TABLE = bytes(BREAK[0] if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -159,23 +159,33 @@ def segments(flat: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-_IDS = pa.schema([("ids", pa.list_(pa.int32()))])
-
-
 def _id_rows(flat: np.ndarray, limit: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """A row of words, cut behind breaks."""
+    """Words as rows of 32-bit numbers, cut behind breaks."""
     ends = np.flatnonzero(flat < 0) + 1
     if len(ends):
         ends = ends[np.concatenate([np.flatnonzero(np.diff(ends // limit)), [len(ends) - 1]])]
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat, pa.int32()))], schema=_IDS)
+        rows = [x.astype("<i4").tobytes() for x in np.split(flat[: ends[-1]], ends[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
 
-def _flat(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[np.ndarray]:
-    """Words in stretches, each with the k - 1 words behind it."""
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Words in stretches of whole rows; rows end with a break, so a phrase lies within one."""
+    held, size = [], 0
     for b in batches:
-        flat = b.column("ids").flatten().to_numpy(zero_copy_only=False)
-        for s in range(0, len(flat), STRETCH):
-            yield flat[s : s + STRETCH + k - 1]
+        for row in b.column("ids"):
+            held.append(np.frombuffer(row.as_buffer(), dtype="<i4"))
+            size += len(held[-1])
+            if size >= STRETCH:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def dealt(ids: DataFrame) -> DataFrame:
+    """ids in fewer tasks where it is small: each task has arrays of its own, and phrases that many tasks meet are named by each."""
+    words = (ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 4
+    return ids.coalesce(max(ids.sparkSession.sparkContext.defaultParallelism, -(-words // SHARE)))
 
 
 # words
@@ -245,39 +255,53 @@ def numbered(docs: DataFrame, blocks: list, most: int = 500_000) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known: dict[str, dict[bytes, int]] = {}
             slots = one.value[0]
-            for b in batches:
-                parts, size = [], 0
-                before = b.column("ids").to_pylist()
-                for lang, text, had in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), before, strict=True):
-                    t = tokens(text)
-                    if sum(map(len, known.values())) > most:
-                        known = {}
+
+            def numbers(group: list[tuple]) -> list[np.ndarray]:
+                """Words that the task has not met are looked up together."""
+                nonlocal known
+                if sum(map(len, known.values())) > most:
+                    known = {}
+                new = set()
+                for lang, _, t, _ in group:
                     memo = known.setdefault(lang, {BREAK: -1})
-                    if new := [w for w in set(t) if w not in memo]:
-                        s = slots.find([_key(lang, w) for w in new])
-                        memo.update(zip(new, np.where(s >= 0, s + first, -1).tolist(), strict=True))
-                    ids = np.fromiter(map(memo.__getitem__, t), dtype=np.int32, count=len(t))
-                    parts.append(ids if had is None else np.maximum(ids, np.array(had, dtype=np.int32)))
-                    size += len(ids)
-                    if last and size > STRETCH:
-                        yield from cut(parts)
-                        parts, size = [], 0
-                if not last:
-                    yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("text"), pa.array([p.tolist() for p in parts], pa.list_(pa.int32()))], names=["lang", "text", "ids"])
-                elif parts:
-                    yield from cut(parts)
-
-        def cut(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            flat = np.concatenate([x for p in parts for x in (p, [-1])]).astype(np.int32)
-            yield from _id_rows(segments(flat, np.flatnonzero(flat >= 0), 1))
+                    new.update((lang, w) for w in set(t) if w not in memo)
+                if new := list(new):
+                    s = slots.find([_key(*x) for x in new])
+                    for (lang, w), i in zip(new, np.where(s >= 0, s + first, -1).tolist(), strict=True):
+                        known[lang][w] = i
+                out = []
+                for lang, _, t, had in group:
+                    ids = np.fromiter(map(known[lang].__getitem__, t), dtype=np.int32, count=len(t))
+                    out.append(ids if had is None else np.maximum(ids, np.frombuffer(had, dtype="<i4")))
+                return out
+
+            def give(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+                parts = numbers(group)
+                if last:
+                    flat = np.concatenate([x for p in parts for x in (p, [-1])]).astype(np.int32)
+                    yield from _id_rows(segments(flat, np.flatnonzero(flat >= 0), 1))
+                else:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in group], pa.string()), pa.array([x[1] for x in group], pa.string()), pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary())], names=["lang", "text", "ids"])
+
+            for b in batches:
+                group, size = [], 0
+                for lang, text, had in zip(*(b.column(c) for c in ("lang", "text", "ids")), strict=True):
+                    text = text.as_py()
+                    group.append((lang.as_py(), text if not last else None, tokens(text), had.as_py()))
+                    size += len(group[-1][2])
+                    if size > STRETCH:
+                        yield from give(group)
+                        group, size = [], 0
+                if group:
+                    yield from give(group)
 
         return run
 
-    d = docs.withColumn("ids", F.lit(None).cast("array<int>"))
+    d = docs.withColumn("ids", F.lit(None).cast("binary"))
     for one, first in blocks[:-1]:
-        d, _ = written(d.mapInArrow(number(one, first, False), "lang string, text string, ids array<int>"), "numbered")
+        d, _ = written(d.mapInArrow(number(one, first, False), "lang string, text string, ids binary"), "numbered")
     one, first = blocks[-1]
-    return written(d.mapInArrow(number(one, first, True), "ids array<int>"), "segments")[0]
+    return written(d.mapInArrow(number(one, first, True), "ids binary"), "segments")[0]
 
 
 # levels of phrases
@@ -296,12 +320,16 @@ def tree_sum(parts: DataFrame, most: int | None = None) -> DataFrame:
         for (part, chunk), x in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([_packed(x, most)], pa.binary())], schema=schema)
 
-    d, n = written(parts, "sums")[0], int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d, n, path = parts, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), None
     while True:
+        # what a task has counted goes straight into the first round
         d = d.withColumn("part", F.expr(f"cast(part div {FAN} as int)"))
-        d = written(d.repartition(n, "part", "chunk").mapInArrow(add, "part int, chunk int, data binary"), "sums")[0]
+        d, now = written(d.repartition(n, "part", "chunk").mapInArrow(add, "part int, chunk int, data binary"), "sums")
+        if path:
+            drop(parts.sparkSession, path)
         if not d.agg(F.max("part")).first()[0]:
             return d.select("chunk", "data")
+        path = now
 
 
 def _packed(x: np.ndarray, most: int | None = None) -> bytes:
@@ -330,7 +358,7 @@ def full_buckets(ids: DataFrame, k: int, least: int, buckets: int) -> np.ndarray
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int32)
-        for flat in _flat(batches, k):
+        for flat in _flat(batches):
             np.add.at(total, (phrase_hash(windows(flat, k)[1]) % np.uint64(buckets)).astype(np.int64), 1)
         yield from _chunks(total, BYTES, least)
 
@@ -354,7 +382,7 @@ def candidates(ids: DataFrame, k: int, full, pending: int = 1 << 20) -> DataFram
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held = full.value, np.zeros((0, k), np.int32)
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[:, j]) for j in range(k)], names=names)
-        for flat in _flat(batches, k):
+        for flat in _flat(batches):
             x = windows(flat, k)[1]
             b = phrase_hash(x) % np.uint64(len(bits) * 8)
             x = x[bits[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8) & 1 > 0]
@@ -369,7 +397,15 @@ def candidates(ids: DataFrame, k: int, full, pending: int = 1 << 20) -> DataFram
 
 
 def _phrases_of(rows: pa.Table) -> Slots:
-    return Slots(np.stack([rows.column(c).to_numpy() for c in rows.column_names if c != "block"], axis=1).astype(np.int32))
+    return Slots(np.stack([rows.column(c).to_numpy() for c in rows.column_names if c[0] == "w"], axis=1).astype(np.int32))
+
+
+def _frequent_of(rows: pa.Table) -> tuple[Slots, np.ndarray]:
+    """The frequent phrases of a level, with their counts by slot."""
+    keys = np.stack([rows.column(c).to_numpy() for c in rows.column_names if c[0] == "w"], axis=1).astype(np.int32)
+    s, n = Slots(keys), np.zeros(len(keys), np.int64)
+    n[s.find(keys)] = rows.column("a").to_numpy()
+    return s, n
 
 
 def slot_counts(ids: DataFrame, k: int, one) -> DataFrame:
@@ -378,7 +414,7 @@ def slot_counts(ids: DataFrame, k: int, one) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = one.value
         total = np.zeros(slots.size, dtype=np.int64)
-        for flat in _flat(batches, k):
+        for flat in _flat(batches):
             s = slots.find(windows(flat, k)[1])
             total += np.bincount(s[s >= 0], minlength=slots.size)
         yield from _chunks(total, SLOTS)
@@ -406,33 +442,29 @@ def _frequent(counts: DataFrame, k: int, one, least: int) -> DataFrame:
     return counts.mapInArrow(pick, PHRASE)
 
 
-def narrowed(ids: DataFrame, k: int, blocks: list, least: int) -> DataFrame:
-    """(ids): segments in which every phrase of k words is frequent. blocks: broadcasts of (Slots, counts)."""
+def narrowed(ids: DataFrame, k: int, blocks: list) -> DataFrame:
+    """(ids): segments in which every phrase of k words is frequent. blocks: broadcasts of the frequent ones as (Slots, counts)."""
 
     def mark(one, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            slots, n = one.value
+            slots = one.value[0]
             for b in batches:
-                for row in range(b.num_rows):
-                    flat = np.asarray(b.column("ids")[row].values)
-                    had = b.column("ok")[row].values
-                    ok = np.zeros(len(flat), dtype=np.int8) if had is None else np.array(had, dtype=np.int8)
+                for row, had in zip(b.column("ids"), b.column("ok"), strict=True):
+                    flat = np.frombuffer(row.as_buffer(), dtype="<i4")
+                    ok = np.zeros(len(flat), dtype=bool) if not had.is_valid else np.frombuffer(had.as_buffer(), dtype=bool).copy()
                     at, x = windows(flat, k)
-                    s = slots.find(x)
-                    good = s >= 0
-                    good[good] = n[s[good]] >= least
-                    ok[at[good]] = 1
+                    ok[at[slots.find(x) >= 0]] = True
                     if last:
                         yield from _id_rows(segments(flat, np.flatnonzero(ok), k))
                     else:
-                        yield pa.RecordBatch.from_arrays([pa.array([flat], pa.list_(pa.int32())), pa.array([ok], pa.list_(pa.int8()))], names=["ids", "ok"])
+                        yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.binary()), pa.array([ok.tobytes()], pa.binary())], names=["ids", "ok"])
 
         return run
 
-    d = ids.withColumn("ok", F.lit(None).cast("array<tinyint>"))
+    d = ids.withColumn("ok", F.lit(None).cast("binary"))
     for one in blocks[:-1]:
-        d, _ = written(d.mapInArrow(mark(one, False), "ids array<int>, ok array<tinyint>"), "marked")
-    return written(d.mapInArrow(mark(blocks[-1], True), "ids array<int>"), "segments")[0]
+        d, _ = written(d.mapInArrow(mark(one, False), "ids binary, ok binary"), "marked")
+    return written(d.mapInArrow(mark(blocks[-1], True), "ids binary"), "segments")[0]
 
 
 def with_cuts(phrases: DataFrame, words: list, levels: dict[int, list]) -> DataFrame:
@@ -484,25 +516,25 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         words.append((one, first))
         first += one.value[0].size
     found, levels = spark.createDataFrame([], PHRASE), {}
-    ids = numbered(d, words) if words else None
+    ids = dealt(numbered(d, words)) if words else None
     for k in range(2, longest + 1 if words else 2):
         full = spark.sparkContext.broadcast(full_buckets(ids, k, least, buckets))
         safe, _ = written(candidates(ids, k, full), "candidates")
         full.unpersist()
-        levels[k] = []
+        own = None
         for one in _blocks(safe, _phrases_of, block):
-            sums = slot_counts(ids, k, one)
-            n = np.zeros(one.value.size, dtype=np.int64)
-            for r in sums.collect():  # a number a candidate of the block
-                x = _unpacked(r["data"])
-                n[r["chunk"] * SLOTS : r["chunk"] * SLOTS + len(x)] = x
-            found = found.unionByName(_frequent(sums, k, one, least))
-            levels[k].append(spark.sparkContext.broadcast((one.value, n)))
+            part = _frequent(slot_counts(ids, k, one), k, one, least)
+            own = part if own is None else own.unionByName(part)
+        if own is None:
+            break
+        # from here on only what is frequent counts
+        own, _ = written(own, "phrases")
+        found = found.unionByName(own)
+        levels[k] = list(_blocks(own.select(*_WORDS[:k], "a"), _frequent_of, block))
         if not levels[k]:
             break
         if k < longest:
-            ids = narrowed(ids, k, levels[k], least)
-    found, _ = written(found, "phrases")
+            ids = dealt(narrowed(ids, k, levels[k]))
     return with_cuts(found, words, levels), totals
 
 
