@@ -58,10 +58,11 @@ sn AS (SELECT item_id, segment, count(*) AS occ FROM sh GROUP BY ALL)"""
 EDGES = f"""{RUNS}, l AS (SELECT run, first_tpos, coalesce(lead(first_tpos) OVER (ORDER BY first_tpos) - first_tpos, 1) AS lim FROM r),
 ed AS (SELECT e.run, p.run AS next, x - p.first_tpos AS cost, l.lim AS lim FROM (SELECT run + 1 AS run, last_tpos AS x FROM r WHERE run + 1 IN (SELECT run FROM r)) e
   ASOF JOIN (SELECT run, first_tpos FROM r) p ON e.x >= p.first_tpos JOIN l ON l.run = e.run)"""
-#: The paths of the cover with their edges, by place: each run belongs to the least root that reaches it.
-PATHS = f"""{EDGES}, w AS (SELECT run AS root, run, 0 AS place FROM ed WHERE run NOT IN (SELECT next FROM ed) UNION SELECT root, next, place + 1 FROM w JOIN ed USING (run) WHERE next > 0),
-ow AS (SELECT run, min(root) AS root, arg_min(place, root) AS place FROM w GROUP BY run), lo AS (SELECT root FROM ow GROUP BY root HAVING count(*) >= 16),
-pa AS (SELECT root AS path, place::BIGINT AS place, run, cost, lim - 1 AS lim, count(*) OVER (PARTITION BY root) AS n, sum(cost) OVER (PARTITION BY root ORDER BY place) - cost AS before FROM ow JOIN lo USING (root) JOIN ed USING (run)),
+#: The paths of the cover with their edges, by place: each run belongs to the least root that reaches it, and a root's runs follow each other.
+PATHS = f"""{EDGES}, w AS (SELECT run AS root, run FROM ed WHERE run NOT IN (SELECT next FROM ed) UNION SELECT root, next FROM w JOIN ed USING (run) WHERE next > 0),
+ow AS (SELECT run, min(root) AS root FROM w GROUP BY run), lo AS (SELECT root, count(*) AS n FROM ow GROUP BY root HAVING count(*) >= 16),
+pl AS (SELECT root, root AS run, 0 AS place, n FROM lo UNION ALL SELECT root, next, place + 1, n FROM pl JOIN ed USING (run) WHERE place + 1 < n),
+pa AS (SELECT root AS path, place::BIGINT AS place, run, cost, lim - 1 AS lim, n, sum(cost) OVER (PARTITION BY root ORDER BY place) - cost AS before FROM pl JOIN ed USING (run)),
 ph AS (SELECT *, ceil(log2(n))::INT AS h FROM pa)"""
 
 ORACLES = {
