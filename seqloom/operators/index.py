@@ -43,12 +43,19 @@ def suffix_array(seqs: DataFrame, start: int = START) -> DataFrame:
     first = written(letters(seqs, start).withColumnRenamed("c", "k"), "first-letters")
     n = first.count()
     end = first.sparkSession.createDataFrame([(n, "")], "pos long, k string")
-    r, h = written(_rank(first.unionByName(end), "k"), "ranks"), start
-    while r.select("rk").distinct().count() <= n:
+    return doubled_ranks(first.unionByName(end), start).select("rk", "pos")
+
+
+def doubled_ranks(first: DataFrame, span: int) -> DataFrame:
+    """(pos, rk): the ranks of the suffixes of a sequence whose places (pos, k) are ordered by k as far as `span` places reach. Each
+    round joins ranks h places apart and ranks the pairs."""
+    n = first.count()
+    r, h = written(_rank(first, "k"), "ranks"), span
+    while r.select("rk").distinct().count() < n:
         ahead = r.select((F.col("pos") - h).alias("pos"), F.col("rk").alias("next"))
         pair = r.join(ahead, "pos", "left").select("pos", F.struct("rk", F.coalesce("next", F.lit(-1)).alias("next")).alias("k"))
         r, h = written(_rank(pair, "k"), "ranks"), 2 * h
-    return r.select("rk", "pos")
+    return r.select("pos", "rk")
 
 
 def _rank(d: DataFrame, key: str) -> DataFrame:

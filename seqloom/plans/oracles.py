@@ -183,5 +183,9 @@ ORACLES = {
     "seed_patterns": f"WITH {SEEDS} SELECT -1 AS ord, '# number=' || count(*) || ' length=20 file=seeds forbidden=' AS value FROM s UNION ALL SELECT item_id * 100000 + off, pattern FROM s",
     "count_lines": f"WITH {HITS} SELECT read_id || ' ' || chr(9) || CASE WHEN nh > 0 THEN 20 ELSE 0 END || '/20' || chr(9) || coalesce(nh, 0) AS value FROM s LEFT JOIN n USING (read_id)",
 }
+ORACLES["prefix_free_runs"] = ORACLES["bwt_runs"]
+# the documents stand end to end there; a text of the benchmark that lies over their seams counts, too
+ORACLES["document_passages"] = f"""WITH {ITEMS}, t AS (SELECT string_agg({UP.format('text')}, '' ORDER BY doc_id) AS t FROM documents)
+  SELECT item_id, CASE WHEN i.t = '' THEN 0 ELSE (length(t.t) - length(replace(t.t, i.t, ''))) // length(i.t) END::BIGINT AS occ FROM i, t"""
 ORACLES["fasta_split_read"] = ORACLES["fasta_round_trip"]
 ORACLES["mosaic_pipeline"] = ORACLES["mosaic_tiles"]

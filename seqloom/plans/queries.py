@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.functions import text as T
-from seqloom.operators import index, kmers, match, mosaic, neighbors, resolve, run_graph, sam, samples
+from seqloom.operators import index, kmers, match, mosaic, neighbors, prefix_free, resolve, run_graph, sam, samples
 from seqloom.plans import pipelines
 from seqloom.sources import readers, writers
 from seqloom.streaming.search import search_stream
@@ -129,6 +129,25 @@ def _runs(s, d):
     return _once(s, d, "runs", lambda: index.bwt_runs(_bwt(s, d), _sa(s, d).count()))
 
 
+def prefix_free_runs(s, d):
+    return prefix_free.bwt_runs(_items(s, d))
+
+
+def _doc_runs(s, d):
+    """The index of all documents, in upper case, from their prefix-free parse."""
+    return _once(s, d, "doc-runs", lambda: prefix_free.bwt_runs(_docs(s, d).withColumn("seq", T.ascii_upper(F.col("seq")))))
+
+
+def document_passages(s, d):
+    """Each benchmark text's range in the index of the documents, and how often it occurs there."""
+    found = samples.backward_search(_doc_runs(s, d), _items(s, d).select(F.col("seq_id").alias("read_id"), F.col("seq").alias("pattern")))
+    return _items(s, d).select(F.col("seq_id").alias("item_id")).join(found, F.col("item_id") == F.col("read_id"), "left").select("item_id", F.coalesce(F.col("hi") - F.col("lo") + 1, F.lit(0)).alias("occ"))
+
+
+def document_index_stats(s, d):
+    return index.build_stats(_doc_runs(s, d))
+
+
 def _edges(s, d):
     return _once(s, d, "edges", lambda: run_graph.edges(_runs(s, d), _sa(s, d).count()))
 
@@ -589,6 +608,9 @@ QUERIES = {
     "phi_by_samples": phi_by_samples,
     "access_sa": access_sa,
     "sa_range_print": lambda s, d: writers.sa_lines(_sa(s, d), 10, 60),
+    "prefix_free_runs": prefix_free_runs,
+    "document_passages": document_passages,
+    "document_index_stats": document_index_stats,
     "build_stats": lambda s, d: index.build_stats(_runs(s, d)),
     "space_report": lambda s, d: writers.space_report(bwt_runs=_runs(s, d), sa=_sa(s, d), letters=_letters(s, d)),
     "predecessor_circular": predecessor_circular,

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from seqloom.operators import index, match, run_graph, samples
+from seqloom.operators import index, match, prefix_free, run_graph, samples
 
 
 def plain_sa(t):
@@ -38,6 +38,33 @@ def test_views(spark, text, start):
     assert phi == {sa[k]: sa[k - 1] for k in range(1, n)}
 
 
+@pytest.mark.parametrize(("texts", "w", "p"), [
+    (["BANANA"], 2, 2), (["", "A" * 30, "", "A" * 11], 3, 2), (["ab", "", "a", "b", "ab", "a"] * 5, 4, 3), ([""], 8, 32), (["é", "x"], 8, 32),
+    (["".join(random.Random(k).choices("ABé", k=k * 7)) for k in range(9)] + ["".join(random.Random(8).choices("ABé", k=56))] * 3, 3, 4),
+])
+def test_prefix_free(spark, texts, w, p):
+    s = seqs(spark, *texts)
+    text = "".join(texts)
+    sa, n = plain_sa(text), len(text) + 1
+    assert [r.pos for r in prefix_free.suffix_array(s, w, p).orderBy("rk").collect()] == sa
+    got = prefix_free.bwt_runs(s, w, p).orderBy("run").collect()
+    bwt = [text[i - 1] if i else None for i in sa]
+    assert [x for r in got for x in [r["head"]] * r.len] == bwt and [r.run for r in got] == list(range(len(got)))
+    assert all(r.first_tpos == (sa[r.lo] - 1) % n and r.last_tpos == (sa[r.hi] - 1) % n and r.hi - r.lo + 1 == r.len for r in got)
+    assert all(a["head"] != b["head"] for a, b in zip(got, got[1:], strict=False))
+
+
+def test_copies_share_phrases(spark):
+    """A hundred copies have a few phrases more than one: those over their seams."""
+    one = "".join(random.Random(4).choices("ACGT", k=3000))
+    sizes = []
+    for k in (1, 100):
+        parse, words, n = prefix_free.parsed(seqs(spark, *[one] * k))
+        assert n == 3000 * k
+        sizes.append((words.count(), parse.count(), words.selectExpr("sum(length(phrase))").first()[0]))
+    assert sizes[1][0] <= sizes[0][0] + 3 and sizes[1][2] < 1.5 * sizes[0][2] and sizes[1][1] > 90 * sizes[0][1]
+
+
 def test_golden_samples(spark):
     s = seqs(spark, "BANANA")
     r = index.bwt_runs(index.bwt(index.suffix_array(s), index.letters(s)), 7).orderBy("run").collect()
