@@ -7,8 +7,8 @@ rare they are over all documents, and only the rarest is looked up. A document p
 shingle fixes where the window would stand: it must lie within the document (position and length
 bounds), and then the words there are compared with the window's.
 
-Defined cases: a null or wordless text or item has no words, is not hit and has no windows; each
-input row of the documents gets one result row, repeated rows too; repeated items or windows count
+Defined cases: a null or wordless text or item has no words, is not hit and has no windows; texts of any length are
+searched whole, their words in one row; each input row of the documents gets one result row, repeated rows too; repeated items or windows count
 per item_id; null item_ids are left out; an empty table on either side gives no hits; other
 columns are not read.
 """
@@ -93,10 +93,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
     """
     by_item, _ = written(item_windows(items, window), "item-windows")
     found, _ = written(occurrences(docs, by_item.select("win_id", "len", "w").dropDuplicates(["win_id"]), block), "occurrences")
+    # spans come of the occurrences alone; items of each window that a document has, however often it stands there
     of = by_item.select(F.col("win_id").alias("_id"), F.col("item_id").cast("string").alias("item"))
-    rows = found.join(of, F.col("win_id") == F.col("_id"), "left")
+    held = found.where("win_id is not null").select(F.col("rid").alias("_rid"), "win_id").distinct()
+    held = held.join(of, F.col("win_id") == F.col("_id")).groupBy("_rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     spans = F.sort_array(F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", (F.col("start") + F.col("len")).alias("end")))))
-    d = rows.groupBy("rid", "doc_id", F.col("n").cast("bigint").alias("n_words")).agg(spans.alias("s"), F.sort_array(F.collect_set("item")).alias("items"))
+    d = found.groupBy("rid", "doc_id", F.col("n").cast("bigint").alias("n_words")).agg(spans.alias("s"))
+    d = d.join(held, F.col("rid") == F.col("_rid"), "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     # running sum over the sorted spans: what each adds beyond the furthest end so far
     first = F.struct(F.lit(0).cast("bigint").alias("hit"), F.lit(0).alias("end"))
     step = lambda a, x: F.struct((a["hit"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).cast("bigint").alias("hit"), F.greatest(a["end"], x["end"]).alias("end"))
