@@ -6,7 +6,7 @@ so only there candidates are looked for; the segments shrink from level to level
 
 Candidates of a level. Each task counts its phrases by hashed bucket, as bytes that stop at `least` (a sum of such bytes
 reaches `least` exactly if the sum of the counts does). Phrases in buckets that stay below are left out, the others are the
-candidates. More buckets mean fewer candidates; they change no result.
+candidates. Buckets are as many as the words ask for, up to a bound: more of them mean fewer candidates; they change no result.
 Counts. A minimal perfect hash gives each candidate a slot, and the candidate itself is stored under it: a phrase that is
 none is told by comparison, not by its hash. Each task counts its slots in a numpy array, arrays are added up in a
 tree of at most FAN at a time, and the frequencies of a phrase's parts are read by their slots.
@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 from seqloom.llm._common import drop, written
 
 LEAST, LONGEST, COVER, TOP = 30, 4, 80, 2000
-BLOCK, BUCKETS, FAN = 1 << 22, 1 << 22, 256
-#: Slots and buckets in a row of sums; words that a task looks at in one go, and in all, where there are more than the cores have.
-SLOTS, BYTES, STRETCH, SHARE = 2048, 16_384, 1 << 19, 1 << 22
+BLOCK, BUCKETS, FAN = 1 << 22, 1 << 24, 256
+#: Slots and buckets in a row of sums; words that a task looks at in one go, and in all (32 MB), where there are more than the cores have.
+SLOTS, BYTES, STRETCH, SHARE = 2048, 16_384, 1 << 19, 1 << 23
+#: Words that a bucket has in the mean, as long as there are no more than BUCKETS of them.
+LOAD = 16
 BREAK = b"\xff"  # no byte of UTF-8
 _TABLE = bytes(BREAK[0] if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -182,10 +184,11 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
-def dealt(ids: DataFrame) -> DataFrame:
-    """ids in fewer tasks where it is small: each task has arrays of its own, and phrases that many tasks meet are named by each."""
+def dealt(ids: DataFrame) -> tuple[DataFrame, int]:
+    """ids in fewer tasks where it is small, and how many words it has: each task has arrays of its own, and phrases that many tasks meet are named
+    by each."""
     words = (ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 4
-    return ids.coalesce(max(ids.sparkSession.sparkContext.defaultParallelism, -(-words // SHARE)))
+    return ids.coalesce(max(ids.sparkSession.sparkContext.defaultParallelism, -(-words // SHARE))), words
 
 
 # words
@@ -516,9 +519,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         words.append((one, first))
         first += one.value[0].size
     found, levels = spark.createDataFrame([], PHRASE), {}
-    ids = dealt(numbered(d, words)) if words else None
+    ids, size = dealt(numbered(d, words)) if words else (None, 0)
     for k in range(2, longest + 1 if words else 2):
-        full = spark.sparkContext.broadcast(full_buckets(ids, k, least, buckets))
+        full = spark.sparkContext.broadcast(full_buckets(ids, k, least, min(buckets, 1 << max(16, (size // LOAD).bit_length()))))
         safe, _ = written(candidates(ids, k, full), "candidates")
         full.unpersist()
         own = None
@@ -534,7 +537,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         if not levels[k]:
             break
         if k < longest:
-            ids = dealt(narrowed(ids, k, levels[k]))
+            ids, size = dealt(narrowed(ids, k, levels[k]))
     return with_cuts(found, words, levels), totals
 
 
