@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.tables import drop, new_path
 from seqloom.tables import stored as written
 
-__all__ = ["SPACE", "UPPER", "ascii_lower", "drop", "new_path", "release", "split_words", "written"]
+__all__ = ["SPACE", "UPPER", "ascii_lower", "drop", "ended", "new_path", "release", "split_words", "written"]
 
 #: ASCII white space, as a Java and RE2 character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -25,6 +25,12 @@ def split_words(text: Column, gap: str) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"{gap}+"), lambda x: x != "")
 
 
+def ended(spark: SparkSession, path: str) -> bool:
+    """Whether a table under path has been written to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffle files of plans that have been written out and dropped."""
     import gc

@@ -25,10 +25,13 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
-def domains(host: Column) -> Column:
-    """The host and each of its parent domains: a.b.c, b.c, c."""
+def domains(host: Column, depths: list[int] | None = None) -> Column:
+    """The host and each of its parent domains: a.b.c, b.c, c; with depths only those of so many labels."""
     labels = F.split(host, r"\.")
-    return F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    if depths is None:
+        return F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    wanted = F.array(*[F.lit(n) for n in depths]).cast("array<int>")
+    return F.transform(F.filter(wanted, lambda n: n <= F.size(labels)), lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -43,14 +46,16 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetch
     """captures' key, host, fetch time, n_active (open intervals of host and parents),
     listed_as (longest such domain), listed_since (its interval's start), blocked.
 
-    Only key, url and time travel. Equality on the domain makes this a hash or sort-merge join:
+    Only key, url and time travel, and domains of as many labels as some entry has: a bare top label, which is a key as large as
+    the table, travels only if it is listed itself. Equality on the domain makes this a hash or sort-merge join:
     Spark broadcasts the intervals when their size is under its limit, and else splits a hot
     host's partition of captures (adaptive skew join). A capture meets one interval of each
     (list, domain) at most, so the join never multiplies more than by lists times labels.
     """
     c = captures.select(F.monotonically_increasing_id().alias("_row"), F.col(key), host_of(F.col(url)).alias("host"), F.col(fetched))
-    keys = c.select("*", F.explode_outer(domains(F.col("host"))).alias("_domain"))
     v = intervals(entries)
+    depths = sorted(r[0] for r in v.select(F.size(F.split("domain", r"\.")).alias("n")).distinct().collect())  # a number for each count of labels
+    keys = c.select("*", F.explode_outer(domains(F.col("host"), depths)).alias("_domain"))
     hit = keys.join(v, (keys["_domain"] == v["domain"]) & (keys[fetched] >= v["valid_from"]) & (v["valid_to"].isNull() | (keys[fetched] < v["valid_to"])), "left")
     return (
         hit.groupBy("_row", key, "host", fetched)

@@ -2,8 +2,10 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from cases import DOCS_SCHEMA, docs
 from conftest import SF
+from pyspark.sql import functions as F
 from test_decontam import brute as contaminated
 from test_pii import scored
 from test_quality import brute as measures
@@ -86,3 +88,24 @@ def test_awkward_rows_pass_through(spark):
     assert all(r.kept == "x" and r["a.b"] == 6 for r in rows)
     packed = corpus_pipeline.STAGES[-1][1](spark, df, SF)
     assert packed.count() >= 2
+
+
+def test_goes_on_behind_the_last_stage(spark, tmp_path, monkeypatch):
+    """A run that fails in its third stage reads the second one's rows when it is started again."""
+    calls = []
+
+    def stage(name, fails=False):
+        def run(spark, docs, sf_dir):
+            calls.append(name)
+            if fails and calls.count(name) == 1:
+                raise RuntimeError(name)
+            return docs.withColumn(name, F.lit(len(calls)))
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage("one")), ("two", stage("two")), ("three", stage("three", True))])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, SF, f"file://{tmp_path}/run")
+    got = corpus_pipeline.run(spark, SF, f"file://{tmp_path}/run")
+    assert calls == ["one", "two", "three", "three"]
+    assert {(r.one, r.two, r.three) for r in got.select("one", "two", "three").distinct().collect()} == {(1, 2, 4)} and got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()

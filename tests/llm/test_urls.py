@@ -28,3 +28,14 @@ def test_as_of(spark):
     want = sorted((i, *active(u.split("@")[1].split(":")[0].lower() if u and "@" in u else ("a.com" if u and "//" in u else None), t)) for i, u, t, _ in captures)
     assert sorted((r.page_id, r.n_active, r.listed_as) for r in got) == sorted(want)
     assert all(r.blocked == (r.n_active > 0) for r in got)
+
+
+def test_only_listed_depths_travel(spark):
+    c = spark.createDataFrame([(1, "http://a.b.example.com/x", 5), (2, "http://com", 5), (3, "http://x.org", 5), (4, None, 5), (5, "http://" + "a." * 300 + "org/" + "y" * 50_000, 5)], "page_id long, url string, fetched long")
+    e = spark.createDataFrame([("l", "com", "add", 1), ("l", "b.example.com", "add", 2)], "list string, domain string, action string, since long")
+    got = {r.page_id: (r.n_active, r.listed_as, r.blocked) for r in urls.filter_urls(c, e).collect()}
+    assert got == {1: (2, "b.example.com", True), 2: (1, "com", True), 3: (0, None, False), 4: (0, None, False), 5: (0, None, False)}
+    assert {r.blocked for r in urls.filter_urls(c, e.limit(0)).collect()} == {False}
+    from pyspark.sql import functions as F
+
+    assert spark.range(1).select(urls.domains(F.lit("a.b.c"), [2, 5])).first()[0] == ["b.c"]
