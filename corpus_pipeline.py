@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import decontam, packing, pii, quality, simhash
-from seqloom.llm._common import drop, written
+from seqloom.llm._common import drop, ended, written
 from seqloom.tables import if_small, spread
 
 
@@ -81,11 +81,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents. A stage's rows are written, and those of the stage before deleted then."""
+def run(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """All stages over documents. A stage's rows are written, and those of the stage before deleted then. With a folder `at`, which the caller
+    names for these documents alone, a stage's rows are kept there under its name, and a run that failed goes on behind the last stage that has ended."""
     docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), []
-    for name, stage in STAGES:
-        docs, path = written(stage(spark, docs, sf_dir), name)
-        drop(spark, *before)
-        before = [path]
+    for k, (name, stage) in enumerate(STAGES):
+        if at is None:
+            docs, path = written(stage(spark, docs, sf_dir), name)
+            drop(spark, *before)
+            before = [path]
+            continue
+        path = f"{at}/{k}-{name}"
+        if not ended(spark, path):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
