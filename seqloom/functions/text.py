@@ -85,6 +85,7 @@ def region(seq: Column, first: Column, last: Column) -> Column:
 
 
 def random_dna(length: Column, seed: Column) -> Column:
-    """A letter for each place from a digest of seed and place: the same in every run."""
+    """A letter for each place from a digest of seed and place: the same in every run, and in other engines."""
     letters = F.array(*[F.lit(x) for x in "ACGT"])
-    return F.array_join(F.transform(F.sequence(F.lit(1), length), lambda i: F.get(letters, F.pmod(F.xxhash64(seed, i), F.lit(4)).cast("int"))), "")
+    digit = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), i.cast("string"))), 1, 1), 16, 10).cast("int")
+    return F.array_join(F.transform(F.when(length > 0, F.sequence(F.lit(1), length)).otherwise(F.array().cast("array<int>")), lambda i: F.get(letters, F.pmod(digit(i), F.lit(4)))), "")

@@ -156,6 +156,8 @@ ORACLES = {
       FROM (SELECT *, EXISTS (SELECT 1 FROM i WHERE contains(i.t, substring(p, a + 1, k - a + 2))) AS found FROM st WHERE k + 1 < length(p))) SELECT item_id, k::INT AS i, n::INT AS d FROM st WHERE k >= 0""",
     "fasta_round_trip": f"WITH {ITEMS} SELECT 'item' || item_id AS name, replace(t, chr(10), '') AS seq FROM i",
     "fastq_round_trip": f"WITH {SEEDS} SELECT 'seq_' || read_id AS name, replace(pattern, chr(10), ' ') AS seq, repeat('~', 20) AS qual FROM s",
+    "fastq_split_read": f"WITH {SEEDS} SELECT row_number() OVER (ORDER BY item_id, off) - 1 AS ord, 'seq_' || read_id AS name, replace(pattern, chr(10), ' ') AS seq, repeat('~', 20) AS qual FROM s",
+    "random_dna": "SELECT item_id, array_to_string(list_transform(range(1, length(text) + 1), lambda i: substring('ACGTACGTACGTACGT', ('0x' || left(md5(item_id || ':' || i), 1))::INT + 1, 1)), '') AS seq FROM benchmark",
     "first_reads": f"WITH {SEEDS} SELECT 'seq_' || read_id AS name FROM s ORDER BY item_id, off LIMIT 5",
     "plain_text_round_trip": "SELECT length(t)::BIGINT AS n_chars, sha256(t) AS digest FROM (SELECT string_agg(text || chr(10), '' ORDER BY item_id) AS t FROM benchmark) WHERE t IS NOT NULL",
     "index_round_trip": f"WITH {RUNS} SELECT * FROM r",
@@ -172,11 +174,11 @@ ORACLES = {
     "durations": "SELECT doc_id, printf('%d seconds. (%dh %dm %ds)', n_chars, n_chars // 3600, n_chars % 3600 // 60, n_chars % 60) AS took FROM documents",
     "align_fastq": f"WITH {SAM_OF_LINES} SELECT * FROM sam",
     "align_to_chromosome": f"WITH {HITS} SELECT 'read_' || s.read_id AS qname, CASE WHEN pos IS NULL THEN 4 WHEN row_number() OVER (PARTITION BY s.read_id ORDER BY doc_id, pos) > 1 THEN 256 ELSE 0 END::INT AS flag, coalesce('doc' || doc_id, '*') AS rname, coalesce((pos + 1)::VARCHAR, '*') AS pos FROM s LEFT JOIN (SELECT h.* FROM h JOIN n USING (read_id) WHERE nh <= 4) USING (read_id)",
-    "d_neighbours": "WITH l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), w3 AS (SELECT a.c || b.c || d.c AS w FROM l a, l b, l d), w5 AS (SELECT w || a.c || b.c AS w FROM w3, l a, l b) SELECT 'ACGTA' AS word, w AS neighbour FROM w5 WHERE hamming(w, 'ACGTA') <= 2 UNION ALL SELECT 'TTT', w FROM w3 WHERE hamming(w, 'TTT') <= 2",
+    "d_neighbours": f"WITH {ITEMS}, a AS (SELECT regexp_replace(t, '[^ACGT]', '', 'g') AS t FROM i), k AS (SELECT DISTINCT substring(t, (o + 1)::INT, 5) AS word FROM (SELECT t, unnest(range(0, length(t) - 4)) AS o FROM a)), l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS c), w AS (SELECT a.c || b.c || d.c || e.c || f.c AS w FROM l a, l b, l d, l e, l f) SELECT word, w AS neighbour FROM k, w WHERE hamming(w, word) <= 2",
     "chimera": """WITH p AS (SELECT 'item' || a.item_id || '+item' || b.item_id AS name, a.text AS x, b.text AS y FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1)
       SELECT name, string_agg(substring(CASE WHEN k % 2 = 0 THEN x ELSE y END, (k * 30 + 1)::INT, 30), '' ORDER BY k) AS seq FROM (SELECT *, unnest(range(0, (least(length(x), length(y)) + 29) // 30)) AS k FROM p) GROUP BY name""",
     "simulated_alignment": "SELECT count(*) AS reads, count(*) AS found FROM documents WHERE length(text) >= 60",
-    "clip_columns": "SELECT a::INT AS a, CASE WHEN a > 0 THEN a || 'S' ELSE '' END || m || 'M' || CASE WHEN 49 - least(a + 9, 49) > 0 THEN (49 - least(a + 9, 49)) || 'S' ELSE '' END AS cigar, m::BIGINT AS aligned, a AS clip, length(CASE WHEN a = 0 THEN '0' ELSE bin(a) END)::INT AS bits FROM (SELECT a, least(a + 9, 49) - a + 1 AS m FROM range(0, 50) r(a))",
+    "clip_columns": "SELECT doc_id, CASE WHEN a > 0 THEN a || 'S' ELSE '' END || (m - z - a) || 'M' || CASE WHEN z > 0 THEN z || 'S' ELSE '' END AS cigar, (m - z - a)::BIGINT AS aligned, a AS clip, length(bin(m))::INT AS bits FROM (SELECT doc_id, length(text) AS m, length(text) % 11 AS a, length(text) % 7 AS z FROM documents WHERE length(text) >= 20)",
     "regions": f"SELECT doc_id, substring(text, 11, 30) AS part, regexp_replace({UP.format('text')}, '[^ACGT]', '', 'g') AS acgt FROM documents",
     "fasta_lines": rf"WITH {ITEMS} SELECT '>item' || item_id || chr(10) || rtrim(regexp_replace(replace(t, chr(10), ''), '(.{{60}})', '\1' || chr(10), 'g'), chr(10)) AS value FROM i",
     "seed_fastq": f"WITH {SEEDS} SELECT '@seq_' || read_id || chr(10) || pattern || chr(10) || '+' || chr(10) || repeat('~', 20) AS value FROM s",
@@ -189,3 +191,5 @@ ORACLES["document_passages"] = f"""WITH {ITEMS}, t AS (SELECT string_agg({UP.for
   SELECT item_id, CASE WHEN i.t = '' THEN 0 ELSE (length(t.t) - length(replace(t.t, i.t, ''))) // length(i.t) END::BIGINT AS occ FROM i, t"""
 ORACLES["fasta_split_read"] = ORACLES["fasta_round_trip"]
 ORACLES["mosaic_pipeline"] = ORACLES["mosaic_tiles"]
+ORACLES["mosaic_tiles_extended"] = ORACLES["mosaic_tiles"].replace("last_pos + 19, ", "")
+ORACLES["mosaic_parts"] = f"SELECT a, b, ref, sha256(substring(text, a, b - a + 1)) AS digest FROM ({ORACLES['mosaic_tiles']}) JOIN documents ON ref = 'doc' || doc_id"

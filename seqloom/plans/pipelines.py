@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions.text import cigar, region, wrapped
 from seqloom.operators import match, mosaic, resolve, sam
 from seqloom.sources import readers
-from seqloom.tables import written
+from seqloom.tables import if_small, written
 
 
 def aligned(seqs: DataFrame, reads: DataFrame, max_range: int | None = None) -> DataFrame:
@@ -50,10 +50,15 @@ def mosaic_tiles(seqs: DataFrame, reads: DataFrame, default: str, read_len: int,
     return mosaic.tiles(mosaic.clusters(sam.unique_position_refs(records, haplotype)), default, read_len, total)
 
 
+def mosaic_parts(tiles: DataFrame, seqs: DataFrame) -> DataFrame:
+    """(a, b, ref, part): each tile's region of its sequence, as far as that goes. Tiles are counted, and broadcast if they are few."""
+    t = written(tiles.select("a", "b", "ref"), "tiles")
+    return seqs.select("name", "seq").join(if_small(t), F.col("name") == F.col("ref")).select("a", "b", "ref", region(F.col("seq"), F.col("a").cast("int"), F.col("b").cast("int")).alias("part"))
+
+
 def mosaic_fasta(tiles: DataFrame, seqs: DataFrame, name: str, width: int = 60) -> DataFrame:
     """The tiles' regions in order, as one FASTA record. One sequence, so one row."""
-    parts = tiles.join(seqs.select(F.col("name").alias("ref"), "seq"), "ref").select("a", region(F.col("seq"), F.col("a").cast("int"), F.col("b").cast("int")).alias("part"))
-    whole = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", "part"))), lambda x: x["part"]), "").alias("seq"))
+    whole = mosaic_parts(tiles, seqs).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("a", "part"))), lambda x: x["part"]), "").alias("seq"))
     return whole.select(F.concat(F.lit(f">{name}\n"), wrapped(F.col("seq"), width)).alias("value"))
 
 

@@ -335,6 +335,17 @@ def mosaic_tiles(s, d):
     return mosaic.tiles(_clusters(s, d), "doc0", K, total).select("a", "b", "ref", "name")
 
 
+def mosaic_tiles_extended(s, d):
+    """Tiles that reach to the next cluster instead of their last read's end."""
+    total = _lengths(s, d).agg(F.max("len")).first()[0] or 0
+    return mosaic.tiles(_clusters(s, d), "doc0", K, total, extend=True).select("a", "b", "ref", "name")
+
+
+def mosaic_parts(s, d):
+    """The text of each tile."""
+    return pipelines.mosaic_parts(mosaic_tiles(s, d), _docs(s, d)).select("a", "b", "ref", F.sha2("part", 256).alias("digest"))
+
+
 def offset_to_chromosome(s, d):
     """Records against the concatenation of all documents, taken back to documents."""
     i = _once(s, d, "doc-index", lambda: seq_index(s, d))
@@ -379,7 +390,9 @@ def prefix_differences(s, d):
 
 
 def d_neighbours(s, d):
-    return neighbors.neighbourhood(s.createDataFrame([("ACGTA",), ("TTT",)], "word string"), 2)
+    """The neighbourhood of every word of five letters of the items, as far as they are DNA letters."""
+    t = _items(s, d).select("seq_id", T.acgt_only(F.col("seq")).alias("seq"))
+    return neighbors.neighbourhood(kmers.kmers(t, 5).select(F.col("kmer").alias("word")).distinct(), 2)
 
 
 def chimera(s, d):
@@ -398,10 +411,10 @@ def simulated_alignment(s, d):
 
 
 def clip_columns(s, d):
-    """Segment CIGARs of 50-letter reads, and what the filters read off them."""
-    r = s.range(0, 50).select(F.col("id").cast("int").alias("a")).withColumn("z", F.least(F.col("a") + 9, F.lit(49)))
-    r = r.withColumn("cigar", T.cigar(F.col("a"), F.col("z"), F.lit(50)))
-    return r.select("a", "cigar", T.aligned_length(F.col("cigar")).alias("aligned"), T.leading_clip(F.col("cigar")).alias("clip"), T.bit_size(F.col("a").cast("bigint")).alias("bits"))
+    """CIGARs of a segment of each document of 20 characters or more, and what the filters read off them."""
+    m = F.length("seq")
+    r = _docs(s, d).where(m >= 20).select("seq_id", m.alias("m"), F.pmod(m, F.lit(11)).alias("a")).withColumn("cigar", T.cigar(F.col("a"), F.col("m") - 1 - F.pmod("m", F.lit(7)), F.col("m")))
+    return r.select(F.col("seq_id").alias("doc_id"), "cigar", T.aligned_length(F.col("cigar")).alias("aligned"), T.leading_clip(F.col("cigar")).alias("clip"), T.bit_size(F.col("m").cast("bigint")).alias("bits"))
 
 
 def regions(s, d):
@@ -478,6 +491,11 @@ def fastq_round_trip(s, d):
     return readers.sequences(s, _seed_file(s, d)).select("name", "seq", "qual")
 
 
+def fastq_split_read(s, d):
+    """One file, read by as many tasks as its bytes make."""
+    return readers.fastq(s, _seed_file(s, d, 1)).select("ord", "name", "seq", "qual")
+
+
 def first_reads(s, d):
     """The first five records of a file."""
     return readers.first_records(readers.sequences(s, _seed_file(s, d, 5)), 5).select("name")
@@ -560,6 +578,7 @@ QUERIES = {
     "fasta_round_trip": fasta_round_trip,
     "fasta_split_read": fasta_split_read,
     "fastq_round_trip": fastq_round_trip,
+    "fastq_split_read": fastq_split_read,
     "first_reads": first_reads,
     "plain_text_round_trip": plain_text_round_trip,
     "index_round_trip": index_round_trip,
@@ -636,6 +655,8 @@ QUERIES = {
     "mosaic_clusters": mosaic_clusters,
     "mosaic_popularity": mosaic_popularity,
     "mosaic_tiles": mosaic_tiles,
+    "mosaic_tiles_extended": mosaic_tiles_extended,
+    "mosaic_parts": mosaic_parts,
     "offset_to_chromosome": offset_to_chromosome,
     "hamming_window_scan": window_scan,
     "inexact_locate": inexact_locate,

@@ -6,10 +6,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import ascii_upper, header_field
+from seqloom.tables import written
 
 SEQUENCES = "file string, ord long, name string, seq string, qual string"
 
@@ -39,6 +41,54 @@ def fasta(spark: SparkSession, path: str, upper: bool = False) -> DataFrame:
     return d.withColumn("seq", ascii_upper(F.col("seq"))) if upper else d
 
 
+def fastq(spark: SparkSession, path: str) -> DataFrame:
+    """(file, ord, name, seq, qual) of FASTQ files of any size whose records have four lines each: many tasks read one file.
+
+    A line's letters tell nothing of where a record begins, as a quality line may begin with @; its number does. Lines are counted for each
+    byte range that Spark has cut, and these counts added up, a row a range. Each task then knows the number of its first line, puts its
+    records together, and gives on the lines of those that are cut; they alone are shuffled. Gzip has no places to cut at: such a
+    file is one range. Files whose records are no four lines each raise an error."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    counts = written(lines.groupBy("file", "block").agg(F.count("*").alias("n")), "line-counts")
+    before = counts.withColumn("first", F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = written(before.select(F.col("file").alias("_f"), F.col("block").alias("_b"), "first"), "first-lines")
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, part, names = None, [], ["file", "ord", "line", "lines"]
+        for b in batches:
+            out = []
+            for file, block, first, value in zip(*(b.column(c).to_pylist() for c in ("file", "block", "first", "value")), strict=True):
+                if at is None or at[:2] != (file, block):
+                    out += [(at[0], n // 4, n % 4, [x]) for n, x in part]
+                    at, number, part = (file, block), first, []
+                if number % 4 == 0 and part:
+                    out += [(file, n // 4, n % 4, [x]) for n, x in part]
+                    part = []
+                part.append((number, value.removesuffix("\r")))
+                if len(part) == 4:
+                    out.append((file, number // 4, 0, [x for _, x in part]))
+                    part = []
+                number += 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        if part:
+            out = [(at[0], n // 4, n % 4, [x]) for n, x in part]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()))
+    # a join that moved lines would lose their order; there is one count for each task of the read, and the driver holds a list of these anyway
+    numbered = lines.join(F.broadcast(before), (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b"))).select("file", "block", "first", "value")
+    d = written(numbered.mapInArrow(put, "file string, ord long, line int, lines array<string>"), "fastq")
+    cut = d.where(F.size("lines") < 4).groupBy("file", "ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("line", "lines"))), lambda x: x["lines"][0]).alias("lines"))
+    # empty lines at a file's end are none
+    cut = cut.where(F.exists("lines", lambda x: x != ""))
+    d = d.where(F.size("lines") == 4).select("file", "ord", "lines").unionByName(cut)
+    line = lambda i: F.get("lines", F.lit(i))
+    right = (F.size("lines") == 4) & line(0).startswith("@") & line(2).startswith("+") & (F.length(line(1)) == F.length(line(3)))
+    name = F.substring_index(F.trim(F.translate(F.substring(line(0), F.lit(2), F.length(line(0))), "\t", " ")), " ", 1)
+    return d.select("file", "ord", F.when(right, name).otherwise(F.raise_error(F.lit("not a FASTQ file of four lines a record")).cast("string")).alias("name"), line(1).alias("seq"), line(3).alias("qual"))
+
+
 def records(text: str) -> Iterator[tuple[str, str, str | None]]:
     """(name, seq, qual) of each record; quality lines are counted, as they may begin with @ or >. Blanks in lines stay."""
     lines = (x.removesuffix("\r") for x in text.split("\n"))

@@ -103,6 +103,31 @@ def test_repeat_groups_in_file_order(spark):
     assert sorted(r.i for r in sam.without_repeats(d).collect()) == []
 
 
+def test_fastq_of_any_cut(spark, tmp_path):
+    """One file, cut every few bytes: quality lines that begin with @ and +, line ends of two letters, a second file, gzip."""
+    recs = [(f"r{i} x", "ACGT"[: i % 5] + "é" * (i % 2), "@+~é"[: i % 5] + "@" * (i % 2)) for i in range(40)]
+    text = "".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in recs)
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "b.fq").write_text(text.replace("\n", "\r\n") + "\n\n")
+    with gzip.open(tmp_path / "c.fq.gz", "wt") as f:
+        f.write(text.removesuffix("\n"))
+    want = sorted((f, i, n.split()[0], s, q) for f in ("a.fq", "b.fq", "c.fq.gz") for i, (n, s, q) in enumerate(recs))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("37", "301", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = readers.fastq(spark, str(tmp_path / "*"))
+            assert sorted((os.path.basename(r.file), r.ord, r.name, r.seq, r.qual) for r in got.collect()) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.fq").write_text("@a\nAC\nGT\n+\n~~~~\n")
+    with pytest.raises(Exception, match="four lines"):
+        readers.fastq(spark, str(tmp_path / "bad")).collect()
+
+
 def test_offsets(spark):
     i = spark.createDataFrame([(0, "a", 0, 4), (1, "e", 4, 0), (2, "b", 4, 5), (3, "c", 9, 3)], "seq_id long, name string, start long, len long")
     for bucket in (1, 4, 1 << 20):
