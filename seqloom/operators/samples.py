@@ -18,6 +18,7 @@ from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  makes pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -25,8 +26,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from seqloom.operators.run_graph import doubled, walk
 from seqloom.tables import as_of, if_small, ranked, running_total, written
 
-#: Runs (of 40 bytes or so) that go to the tasks whole.
-LIMIT = 1_000_000
+#: Runs (of 32 bytes) that go to the tasks whole.
+LIMIT = 4_000_000
 #: Numbers that a graph of composed steps may have in a task.
 LEVELS = 4_000_000
 
@@ -90,13 +91,14 @@ class _Letters:
     """The directory in a task: arrays for each letter."""
 
     def __init__(self, rows: pa.Table) -> None:
+        t = rows.filter(pa.compute.is_valid(rows.column("c"))).sort_by([("c", "ascending"), ("lo", "ascending")]).combine_chunks()
         self.of: dict[str, tuple[array, ...]] = {}
-        columns = [rows.column(c).to_pylist() for c in ("c", "lo", "len", "lf", "sample")]
-        for c, *row in sorted(zip(*columns, strict=True), key=lambda x: (x[0] or "", x[1])):
-            if c is not None:
-                own = self.of.setdefault(c, tuple(array("q") for _ in row))
-                for a, x in zip(own, row, strict=True):
-                    a.append(x)
+        if t.num_rows:
+            code = t.column("c").combine_chunks().dictionary_encode()
+            ends = [*(np.flatnonzero(np.diff(code.indices.to_numpy())) + 1).tolist(), t.num_rows]
+            columns = [t.column(c).to_numpy() for c in ("lo", "len", "lf", "sample")]
+            for first, end in zip([0, *ends], ends, strict=False):
+                self.of[t.column("c")[first].as_py()] = tuple(array("q", x[first:end].astype(np.int64).tobytes()) for x in columns)
 
     def search(self, pattern: str, n: int, toehold: int) -> tuple[int, int, int] | None:
         lo, hi = 0, n - 1

@@ -144,10 +144,6 @@ def document_passages(s, d):
     return _items(s, d).select(F.col("seq_id").alias("item_id")).join(found, F.col("item_id") == F.col("read_id"), "left").select("item_id", F.coalesce(F.col("hi") - F.col("lo") + 1, F.lit(0)).alias("occ"))
 
 
-def document_index_stats(s, d):
-    return index.build_stats(_doc_runs(s, d))
-
-
 def _edges(s, d):
     return _once(s, d, "edges", lambda: run_graph.edges(_runs(s, d), _sa(s, d).count()))
 
@@ -629,7 +625,6 @@ QUERIES = {
     "sa_range_print": lambda s, d: writers.sa_lines(_sa(s, d), 10, 60),
     "prefix_free_runs": prefix_free_runs,
     "document_passages": document_passages,
-    "document_index_stats": document_index_stats,
     "build_stats": lambda s, d: index.build_stats(_runs(s, d)),
     "space_report": lambda s, d: writers.space_report(bwt_runs=_runs(s, d), sa=_sa(s, d), letters=_letters(s, d)),
     "predecessor_circular": predecessor_circular,
