@@ -573,12 +573,12 @@ WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(tr
 w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM d),
 n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
 o AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS p FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 5) r(k) WHERE len(w) >= k)),
-f AS (SELECT lang, k, p, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
+f AS MATERIALIZED (SELECT lang, k, p, count(*) AS f FROM o GROUP BY ALL HAVING count(*) >= 30),
 c AS (SELECT lang, p, f, k, string_split(p, ' ') AS q FROM f WHERE k > 1),
-u AS (SELECT c.lang, c.p, c.f AS a, m, x.f AS l, y.f AS r, (2000000::HUGEINT * c.f) // (x.f + y.f) AS score FROM c, range(1, 4) s(m)
-  JOIN f x ON x.lang = c.lang AND x.p = array_to_string(q[:m], ' ') JOIN f y ON y.lang = c.lang AND y.p = array_to_string(q[m + 1:], ' ') WHERE m < c.k),
+v AS MATERIALIZED (SELECT lang, p, f AS a, m, array_to_string(q[:m], ' ') AS px, array_to_string(q[m + 1:], ' ') AS py FROM c, range(1, 4) s(m) WHERE m < k),
+u AS (SELECT v.lang, v.p, a, m, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM v JOIN f x ON x.lang = v.lang AND x.p = px JOIN f y ON y.lang = v.lang AND y.p = py),
 b AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, m) AS z FROM u),
-g AS (SELECT lang, array_to_string(q[i:i + j - 1], ' ') AS p, max(f) AS f FROM c, range(2, 4) t(j), range(1, 4) v(i) WHERE j < k AND i + j - 1 <= k GROUP BY ALL),
+g AS (SELECT lang, array_to_string(q[i:i + j - 1], ' ') AS p, max(f) AS f FROM c, range(2, 4) t(j), range(1, 4) z(i) WHERE j < k AND i + j - 1 <= k GROUP BY ALL),
 e AS (SELECT b.lang, b.p AS phrase, a, l, r, score FROM b LEFT JOIN g ON g.lang = b.lang AND g.p = b.p WHERE z = 1 AND (g.f IS NULL OR 100 * g.f < 80 * a)),
 h AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM e)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM h JOIN n USING (lang) WHERE rank <= 2000
