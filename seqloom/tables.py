@@ -109,7 +109,7 @@ def blocks(df: DataFrame, key: str, limit: int, size: Column | None = None, limi
     if n <= limit and total <= limit_bytes:
         return [df]
     # what a row takes of a part, of a million
-    share = F.greatest(F.lit(-(-1_000_000 // limit)), F.lit(0) if size is None else F.ceil(size * 1_000_000 / limit_bytes)).cast("bigint")
+    share = F.greatest(F.lit(-(-1_000_000 // limit)), F.lit(0) if size is None else F.ceil(size.cast("bigint") * 1_000_000 / limit_bytes)).cast("bigint")
     d = running_total(df.withColumns({"_share": share, "_m": F.monotonically_increasing_id()}), "_share", key, "_m", name="_taken")
     d = written(d.withColumn("_block", F.floor(F.col("_taken") / 1_000_000).cast("int")).drop("_share", "_m", "_taken"), "blocks")
     return [d.where(F.col("_block") == i).drop("_block") for i in range(d.agg(F.max("_block")).first()[0] + 1)]
