@@ -1,5 +1,5 @@
-"""Readers of sequence, pattern and alignment files. All go through Spark's sources, so any file system
-that Spark knows will do; gzip is read as it is."""
+"""Readers of sequence, pattern and alignment files. All but binary files (see ranges) go through Spark's sources,
+so any file system that Spark knows will do; gzip is read as it is."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.text import ascii_upper, header_field
+from seqloom.sources.ranges import byte_ranges
 from seqloom.tables import written
 
 SEQUENCES = "file string, ord long, name string, seq string, qual string"
@@ -123,11 +124,12 @@ def plain_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("seq"))
 
 
-def bwt_file(spark: SparkSession, path: str) -> DataFrame:
-    """(rk, c) of a raw transform: a byte a row; bytes 0 and 1 are the terminator (null). Bytes are read as Latin-1."""
-    d = spark.read.format("binaryFile").load(path).select(F.decode("content", "ISO-8859-1").alias("t"))
-    d = d.select(F.posexplode(F.split("t", "")).alias("rk", "c")).where("c <> ''")
-    return d.select(F.col("rk").cast("bigint"), F.when(F.ascii("c") > 1, F.col("c")).alias("c"))
+def bwt_file(spark: SparkSession, path: str, **cut: int) -> DataFrame:
+    """(rk, c) of a raw transform: a byte a row; bytes 0 and 1 are the terminator (null). Bytes are read as Latin-1. Many tasks
+    read one file, in ranges (`task`, `row`: bytes of each)."""
+    d = byte_ranges(spark, path, **cut).select("start", F.decode("content", "ISO-8859-1").alias("t"))
+    d = d.select("start", F.posexplode(F.split("t", "")).alias("at", "c")).where("c <> ''")
+    return d.select((F.col("start") + F.col("at")).alias("rk"), F.when(F.ascii("c") > 1, F.col("c")).alias("c"))
 
 
 def _five(at) -> "F.Column":
@@ -136,13 +138,13 @@ def _five(at) -> "F.Column":
     return byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216 + byte(4) * 4294967296
 
 
-def sample_file(spark: SparkSession, path: str, n: int) -> DataFrame:
+def sample_file(spark: SparkSession, path: str, n: int, **cut: int) -> DataFrame:
     """(run, rk, tpos) of a file of pairs of five-byte numbers, a run's place and its suffix y; the letter's place
-    is y - 1, or n - 1 for 0."""
-    d = spark.read.format("binaryFile").load(path).select("content").where(F.length("content") > 0)
-    d = d.select("content", F.explode(F.sequence(F.lit(0), F.floor(F.length("content") / 10).cast("int") - 1)).alias("run"))
-    y = _five(F.col("run") * 10 + 6)
-    return d.select(F.col("run").cast("bigint"), _five(F.col("run") * 10 + 1).alias("rk"), F.when(y == 0, F.lit(n) - 1).otherwise(y - 1).alias("tpos"))
+    is y - 1, or n - 1 for 0. Many tasks read one file, in ranges that begin with a pair; an incomplete pair at the end is none."""
+    d = byte_ranges(spark, path, record=10, **cut).where(F.length("content") >= 10)
+    d = d.select("start", "content", F.explode(F.sequence(F.lit(0), F.floor(F.length("content") / 10).cast("int") - 1)).alias("i"))
+    y = _five(F.col("i") * 10 + 6)
+    return d.select(F.floor(F.col("start") / 10 + F.col("i")).alias("run"), _five(F.col("i") * 10 + 1).alias("rk"), F.when(y == 0, F.lit(n) - 1).otherwise(y - 1).alias("tpos"))
 
 
 def sequence_index(spark: SparkSession, path: str) -> DataFrame:

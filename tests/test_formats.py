@@ -157,3 +157,44 @@ def test_fasta_is_cut_at_records(spark, tmp_path):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert parts > 1 and len(rows) == 503
     assert {r.name: r.seq for r in rows} == {"one": "AC GTAC", "two": "", "three": "ß>X"} | {f"n{i}": "ACGT" * 40 for i in range(500)}
+
+
+def test_binary_files_are_read_by_many_tasks(spark, tmp_path):
+    """Every cut gives the same rows; ranges of a sample file begin with a pair."""
+    letters = bytes([65, 1, 10, 13, 255, 66, 0]) * 31 + b"C"
+    (tmp_path / "x.bwt").write_bytes(letters)
+    want = [(i, None if b < 2 else chr(b)) for i, b in enumerate(letters)]
+    for task, row in ((1 << 20, 1 << 20), (50, 7), (64, 64), (1, 1)):
+        d = readers.bwt_file(spark, str(tmp_path / "x.bwt"), task=task, row=row)
+        assert [tuple(r) for r in d.orderBy("rk").collect()] == want
+        if task == 50:
+            assert d.rdd.getNumPartitions() == -(-len(letters) // 50)
+    pairs = [(i * 3, (i * 7_000_000_019) % (1 << 40)) for i in range(101)]
+    (tmp_path / "x.ssa").write_bytes(b"".join(x.to_bytes(5, "little") for p in pairs for x in p) + b"abc")
+    want = [(i, x, y - 1 if y else 999) for i, (x, y) in enumerate(pairs)]
+    for task, row in ((1 << 20, 1 << 20), (105, 33), (10, 10), (3, 3)):
+        d = readers.sample_file(spark, "file://" + str(tmp_path / "x.ssa"), 1000, task=task, row=row)
+        assert [tuple(r) for r in d.orderBy("run").collect()] == want
+
+
+def test_a_binary_file_may_be_longer_than_a_row_can_hold(spark, tmp_path):
+    """A file of over 2 GB, nearly all of it a hole: its ranges, and a row far behind."""
+    from pyspark.sql import functions as F
+
+    from seqloom.sources.ranges import byte_ranges
+
+    size = (1 << 31) + 12345
+    with open(tmp_path / "long", "wb") as f:
+        f.truncate(size - 3)
+        f.seek(size - 3)
+        f.write(b"end")
+    d = byte_ranges(spark, str(tmp_path / "long"), row=1 << 24, task=1 << 28)
+    got = d.agg(F.sum(F.length("content").cast("bigint")), F.max(F.struct("start", F.substring("content", -3, 3).alias("last")))).first()
+    assert got[0] == size and bytes(got[1]["last"]) == b"end"
+
+
+def test_an_empty_binary_file_and_a_missing_one(spark, tmp_path):
+    (tmp_path / "none").write_bytes(b"")
+    assert readers.bwt_file(spark, str(tmp_path / "none")).collect() == readers.sample_file(spark, str(tmp_path / "none"), 1).collect() == []
+    with pytest.raises(Exception, match="missing"):
+        readers.bwt_file(spark, str(tmp_path / "missing")).collect()
