@@ -145,6 +145,7 @@ ORACLES = {
     "inexact_locate": f"""WITH {SEEDS}, {windows(20)}, p AS (SELECT read_id, substring(pattern, 1, 7) AS a, substring(pattern, 9, 12) AS b, substring(pattern, 1, 7) || '#' || substring(pattern, 9) AS p FROM s),
       c AS (SELECT read_id, doc_id, pos, p, w FROM p JOIN k ON substring(w, 1, 7) = a AND substring(w, 9, 12) = b UNION SELECT read_id, doc_id, pos, p, w FROM p JOIN k ON substring(w, 11, 10) = substring(p, 11, 10) UNION SELECT read_id, doc_id, pos, p, w FROM p JOIN k ON substring(w, 1, 10) = substring(p, 1, 10)),
       z AS (SELECT read_id, doc_id, pos, len(list_filter(range(1, 21), lambda j: substring(w, j, 1) <> substring(p, j, 1)))::INT AS mismatches FROM c) SELECT * FROM z WHERE mismatches <= 1""",
+    "sql_hits": f"WITH {HITS}, {INDEX} SELECT read_id, name, pos, start + pos AS x, nh AS occ FROM h JOIN n USING (read_id) JOIN x ON x.seq_id = h.doc_id",
     "piecewise_segments": f"WITH RECURSIVE {SEGMENTS} SELECT item_id, segment, seg_start, seg_end, coalesce(occ, 0) AS occ, seg_end + (segment > 0)::INT AS legacy_end FROM sg LEFT JOIN sn USING (item_id, segment)",
     "piecewise_records": f"""WITH RECURSIVE {SEGMENTS}, z AS (SELECT item_id, segment, p, seg_start, seg_end, length(p) AS m, coalesce(occ, 0) AS nh, ref, pos, row_number() OVER (PARTITION BY item_id, segment ORDER BY ref, pos) AS nth
         FROM sg LEFT JOIN sn USING (item_id, segment) LEFT JOIN (SELECT sh.* FROM sh JOIN sn USING (item_id, segment) WHERE occ <= 5) USING (item_id, segment))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom import sql
 from seqloom.functions import text as T
 from seqloom.operators import index, kmers, match, mosaic, neighbors, prefix_free, resolve, run_graph, sam, samples
 from seqloom.plans import pipelines
@@ -376,6 +377,20 @@ def piecewise_segments(s, d):
     return match.piecewise(_items(s, d), _broken_reads(s, d)).select(F.col("read_id").alias("item_id"), "segment", "seg_start", "seg_end", "occ", "legacy_end")
 
 
+def document_segments(s, d):
+    """The longest matches in all documents that each benchmark text, with its mark, falls into."""
+    b = s.read.parquet(f"{d}/benchmark.parquet")
+    r = b.select(F.col("item_id").alias("read_id"), F.concat(F.substring("text", 1, 25), F.lit("§"), F.expr("substring(text, 26)")).alias("pattern"))
+    return match.piecewise(_docs(s, d), r).select(F.col("read_id").alias("item_id"), "segment", "seg_start", "seg_end", "occ")
+
+
+def sql_hits(s, d):
+    """Every hit of every seed with its place in the concatenation and the seed's count: one SQL text over registered views."""
+    sql.register(s, _docs(s, d), _seeds(s, d).select("read_id", "pattern"))
+    return s.sql("""SELECT h.read_id, i.name, h.pos, i.start + h.pos AS x, c.occ
+        FROM pattern_hits h JOIN pattern_counts c USING (read_id) JOIN sequence_index i USING (seq_id)""")
+
+
 def piecewise_records(s, d):
     r = _broken_reads(s, d).select("read_id", F.concat(F.lit("read_"), "read_id").alias("qname"), F.col("pattern").alias("seq"), F.repeat(F.lit("~"), F.length("pattern")).alias("qual"))
     return pipelines.aligned_pieces(_items(s, d), r, 5)
@@ -656,6 +671,8 @@ QUERIES = {
     "hamming_window_scan": window_scan,
     "inexact_locate": inexact_locate,
     "piecewise_segments": piecewise_segments,
+    "document_segments": document_segments,
+    "sql_hits": sql_hits,
     "piecewise_records": piecewise_records,
     "prefix_differences": prefix_differences,
     "d_neighbours": d_neighbours,
