@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.operators.index import doubled_ranks
-from seqloom.operators.resolve import sequence_index
+from seqloom.operators.resolve import ends, following
 from seqloom.tables import as_of, ranked, running_total, written
 
 W, P = 8, 32
@@ -41,21 +41,10 @@ def cuts(codes: np.ndarray, own: int, w: int, p: int) -> np.ndarray:
     return np.flatnonzero(h % np.uint64(p) == 0)
 
 
-def _tails(seqs: DataFrame, w: int) -> DataFrame:
-    """(seq_id, start, i, tail): the w - 1 letters that follow each sequence, which the next ones begin with; put together by doubling."""
-    at = written(ranked(sequence_index(seqs).select("seq_id", "start"), "seq_id", name="i"), "sequences")
-    heads = written(seqs.select("seq_id", F.substring("seq", 1, w - 1).alias("head")).join(at, "seq_id").select("i", "head"), "heads")
-    step, n = 1, at.count()
-    while step < n and not heads.where((F.length("head") < w - 1) & (F.col("i") + step < n)).isEmpty():
-        more = heads.select((F.col("i") - step).alias("i"), F.col("head").alias("_more"))
-        heads, step = written(heads.join(more, "i", "left").select("i", F.substring(F.concat("head", F.coalesce("_more", F.lit(""))), 1, w - 1).alias("head")), "heads"), 2 * step
-    return at.join(heads.select((F.col("i") - 1).alias("i"), F.col("head").alias("tail")), "i", "left").select("seq_id", "start", F.coalesce("tail", F.lit("")).alias("tail"))
-
-
 def parsed(seqs: DataFrame, w: int = W, p: int = P) -> tuple[DataFrame, DataFrame, int]:
     """(j, start, d), the parse; (d, phrase, n), the distinct phrases in their order; and the text's length. seqs: (seq_id, name, seq)."""
     seqs = seqs.select("seq_id", "name", F.coalesce("seq", F.lit("")).alias("seq"))
-    d = seqs.select("seq_id", "seq").join(_tails(seqs, w), "seq_id").select("start", "seq", "tail")
+    d = seqs.select("seq_id", "seq").join(following(ends(seqs, w - 1), w - 1), "seq_id").select("start", "seq", "tail")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list[tuple]) -> pa.RecordBatch:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.tables import ranked, running_total
+from seqloom.tables import drop, ranked, running_total, stored, written
 
 
 def sequence_index(seqs: DataFrame) -> DataFrame:
@@ -21,6 +21,25 @@ def names_and_lengths(index: DataFrame, text_size: int) -> DataFrame:
     return r.join(ahead, "_i", "left").select("name", (F.coalesce("_next", F.lit(text_size)) - F.col("start")).alias("len"))
 
 
+def ends(seqs: DataFrame, n: int) -> DataFrame:
+    """(seq_id, len, head, end): n letters of either end, in one pass over the texts; written."""
+    return written(seqs.select("seq_id", F.length("seq").cast("bigint").alias("len"), F.substring("seq", 1, n).alias("head"), F.substring("seq", -n, n).alias("end")), "ends")
+
+
+def following(of: DataFrame, n: int) -> DataFrame:
+    """(seq_id, start, i, tail): the n letters that follow each sequence, which the next ones begin with; put together by doubling. of: ends(seqs, n)."""
+    at = written(ranked(running_total(of.select("seq_id", "len"), "len", "seq_id", name="start").select("seq_id", "start"), "seq_id", name="i"), "sequences")
+    heads, path = stored(of.select("seq_id", "head").join(at, "seq_id").select("i", "head"), "heads")
+    step, total = 1, at.count()
+    while step < total and not heads.where((F.length("head") < n) & (F.col("i") + step < total)).isEmpty():
+        more = heads.select((F.col("i") - step).alias("i"), F.col("head").alias("_more"))
+        longer = heads.join(more, "i", "left").select("i", F.substring(F.concat("head", F.coalesce("_more", F.lit(""))), 1, n).alias("head"))
+        (heads, new), step = stored(longer, "heads"), 2 * step
+        drop(of.sparkSession, path)
+        path = new
+    return at.join(heads.select((F.col("i") - 1).alias("i"), F.col("head").alias("tail")), "i", "left").select("seq_id", "start", F.coalesce("tail", F.lit("")).alias("tail"))
+
+
 def resolve(positions: DataFrame, index: DataFrame, bucket: int | None = None) -> DataFrame:
     """positions (x, ...) with seq_id, name, off: the sequence with the greatest start <= x among
     those that are not empty, and x - start. Positions beyond the end have none.
