@@ -76,15 +76,15 @@ def in_order(df: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def _before(df: DataFrame, value: Column) -> DataFrame:
-    """(_p, _before): totals of the partitions before each; one row a partition."""
-    sums = df.groupBy(F.col("_part").alias("_p")).agg(F.sum(value).alias("_v"))
-    return sums.select("_p", F.coalesce(F.sum("_v").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    """(_of_part, _before_part), names that no table has: totals of the partitions before each; one row a partition."""
+    sums = df.groupBy(F.col("_part").alias("_of_part")).agg(F.sum(value).alias("_v"))
+    return sums.select("_of_part", F.coalesce(F.sum("_v").over(Window.orderBy("_of_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before_part"))
 
 
 def ranked(df: DataFrame, *order: Column | str, name: str = "rk") -> DataFrame:
     """df with its global 0-based row number under a total order: sorted ranges, and one count per range."""
     d = in_order(df, *order)
-    return d.join(F.broadcast(_before(d, F.lit(1))), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_p", "_before")
+    return d.join(F.broadcast(_before(d, F.lit(1))), F.col("_part") == F.col("_of_part")).withColumn(name, F.col("_before_part") + F.col("_at")).drop("_part", "_at", "_of_part", "_before_part")
 
 
 def running_total(df: DataFrame, value: str, *order: Column | str, name: str = "before") -> DataFrame:
@@ -92,7 +92,7 @@ def running_total(df: DataFrame, value: str, *order: Column | str, name: str = "
     d = in_order(df, *order)
     local = F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("_local", F.coalesce(local, F.lit(0)))
-    return d.join(F.broadcast(_before(d, F.col(value))), F.col("_part") == F.col("_p")).withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_at", "_p", "_before", "_local")
+    return d.join(F.broadcast(_before(d, F.col(value))), F.col("_part") == F.col("_of_part")).withColumn(name, F.col("_before_part") + F.col("_local")).drop("_part", "_at", "_of_part", "_before_part", "_local")
 
 
 def if_small(df: DataFrame, limit: int = 500_000, size: Column | None = None, limit_bytes: int = 1 << 26) -> DataFrame:

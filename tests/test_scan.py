@@ -18,3 +18,10 @@ def test_passages_over_seams(spark):
     want = {i: sum(whole.startswith(x, j) for j in range(len(whole))) if x else 0 for i, x in enumerate(pats)}
     assert {r.read_id: r.occ for r in match.count_over_seams(s, p).collect()} == want
     assert sum(1 for i in (0, 1, 3, 6) if want[i] == 1) >= 3
+
+
+def test_running_total_of_any_names(spark):
+    """Columns of a table may be called what the totals were called inside."""
+    d = spark.createDataFrame([(i, i, "x") for i in range(9)], "_p long, _before long, c string")
+    assert sorted(r.t for r in tables.running_total(d, "_p", "_p", name="t").collect()) == [0, 0, 1, 3, 6, 10, 15, 21, 28]
+    assert sorted(r.n for r in tables.ranked(d, "_p", name="n").collect()) == list(range(9))
