@@ -217,8 +217,8 @@ class IndexFamily:
         """A batch of texts (d, t, text); returns (key), what it has matched: keys that it holds twice, or with a level."""
         k = self.batches
         texts.select("d", "t", "text").mapInPandas(_anchor_rows(self.of), ANCHORS).write.mode("overwrite").parquet(f"{self.path}/anchors-{k}")
-        array = self.anchors(k).groupBy("key").agg(F.count("*").alias("n")).repartition(self.buckets, "key")
-        self._store(array, f"level-{k}")
+        # the counts are dealt out by key already, in as many partitions as there are buckets
+        self._store(self.anchors(k).groupBy("key").agg(F.count("*").alias("n")), f"level-{k}")
         array = self._level(f"level-{k}")
         matched = array.where("n > 1").select("key")
         for _, name in self.levels:
@@ -256,6 +256,11 @@ class IndexFamily:
         names = [f"{self.path}/{name}" for _, name in self.levels]
         return self.spark.read.schema("key long, n long").parquet(*names).groupBy("key").agg(F.sum("n").alias("n"))
 
+    def drop_arrays(self) -> None:
+        """The anchors and matches alone stay; nothing can be added any more."""
+        self._forget(*list(self._tables))
+        drop(self.spark, *(f"{self.path}/{name}" for _, name in self.levels))
+
     def close(self, drop_files: bool = True) -> None:
         self._forget(*list(self._tables))
         if drop_files:
@@ -311,11 +316,11 @@ def _across(unit, d_low, d_high):
 def spans_of(family: IndexFamily, texts: DataFrame, close: bool = False) -> DataFrame:
     """(d, t, bytes, words): the ranges [lo, hi] of starts of repeated strings, of either unit, one number after the other, for
     all the texts (d, t, text) that the family was made of. What repeats depends on the text alone, so rows of
-    equal d and t share their spans. With `close` the family is deleted as soon as its matched anchors are at hand."""
+    equal d and t share their spans. With `close` the family's arrays are deleted at once, and the rest as soon as its matched anchors are at hand."""
     spark = family.spark
-    keys, p_keys = written(family.matches().distinct(), "matched")
-    held, p_held = written(family.anchors().join(keys, "key", "left_semi"), "matched-anchors")
-    drop(spark, p_keys)
+    if close:
+        family.drop_arrays()
+    held, p_held = written(family.anchors().join(family.matches(), "key", "left_semi"), "matched-anchors")
     if close:
         family.close()
     release(spark)
