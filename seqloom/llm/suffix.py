@@ -22,7 +22,8 @@ Spans. Anchors whose key is among the matches, of whichever batch, are judged:
 - a run seen twice (a run of words: in two documents): all its strings repeat;
 - a key with one run, seen once: none does;
 - else (the edges of repeated stretches) the strings in the range are compared one by one, by digests made
-  in a second pass over those texts, against one holder of each other run of the key.
+  in a second pass over those texts, against one holder of each other run of the key; a slice of the keys after the
+  other, so that the digests of one slice alone are in shuffle files at once.
 Digests of runs have 128 bits with the key, those of single strings 95.
 
 A key is one row of an array, however often it stands in the texts; everything is counted before the shuffle, no group meets
@@ -39,7 +40,7 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,8 @@ PASSAGE, PASSAGE_GRAM = 51, 16
 #: Units of a text that are in hand at once; longer words have a digest of their own kind.
 STRETCH, LONG_WORD = 1 << 20, 4096
 _POS = 24
+#: Slices of the keys at the edges of runs; equal strings have equal keys.
+SLICES = 4
 #: Units, and at the edges the words of a run that stands in several documents itself.
 BYTES, WORDS, ACROSS = 0, 1, 2
 
@@ -313,6 +316,23 @@ def _across(unit, d_low, d_high):
     return (unit == BYTES) | (d_low != d_high)
 
 
+def _runs_of_strings(edge: DataFrame) -> tuple[DataFrame, str]:
+    """(_rid, r): for ranges of edges that hold all strings of their keys, the places [a, z] in a range whose strings repeat; and where that is written."""
+    each = lambda of_unit, *more: edge.where(of_unit).select("key", F.explode("h").alias("h"), *more).groupBy("key", "h")
+    twice = each(F.col("u") == BYTES).agg(F.count("*").alias("n")).where("n > 1").select("key", "h")
+    words = each(F.col("u") != BYTES, "d", "u").agg(F.count("*").alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.max("u").alias("u"))
+    twice = twice.unionByName(words.where(f"n > 1 and (d0 <> d1 or u = {ACROSS})").select("key", "h"))
+    twice, p_twice = written(twice.select(F.col("key").alias("_key"), F.col("h").alias("_h")), "repeated-strings")
+    release(edge.sparkSession)
+    # only a row number and a place travel with each digest; the places of a range join to runs before they meet its text
+    one = edge.select("rid", "key", F.posexplode("h").alias("i", "h")).join(twice, (F.col("key") == F.col("_key")) & (F.col("h") == F.col("_h"))).groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("i"))
+    found = written(one.select(F.col("rid").alias("_rid"), F.explode(F.arrays_zip(_edges_of_runs("i", -1).alias("a"), _edges_of_runs("i", 1).alias("z"))).alias("r")), "string-runs")
+    del one
+    drop(edge.sparkSession, p_twice)
+    release(edge.sparkSession)
+    return found
+
+
 def spans_of(family: IndexFamily, texts: DataFrame, close: bool = False) -> DataFrame:
     """(d, t, bytes, words): the ranges [lo, hi] of starts of repeated strings, of either unit, one number after the other, for
     all the texts (d, t, text) that the family was made of. What repeats depends on the text alone, so rows of
@@ -341,25 +361,17 @@ def spans_of(family: IndexFamily, texts: DataFrame, close: bool = False) -> Data
     ranges = hits.where("open").withColumn("u", unit).groupBy(F.col("d").alias("_d"), F.col("t").alias("_t")).agg(_flat("u", "lo", "hi", "key").alias("ranges"))
     ranges, p_ranges = written(ranges, "ranges")
     edge = texts.join(if_small(ranges, size=8 * F.size("ranges")), (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t"))).select("d", "t", "text", "ranges")
-    edge = edge.mapInPandas(_string_digests(family.of), "d long, t long, u byte, key int, lo int, h array<long>").withColumn("rid", F.monotonically_increasing_id())
-    edge, p_edge = written(edge, "edges")
+    edge = edge.mapInPandas(_string_digests(family.of), "d long, t long, u byte, key int, lo int, h array<long>")
+    edge, p_edge = written(edge.withColumns({"rid": F.monotonically_increasing_id(), "slice": F.pmod("key", F.lit(SLICES))}), "edges", "slice")
     drop(spark, p_ranges)
     release(spark)
-    each = lambda of_unit, *more: edge.where(of_unit).select("key", F.explode("h").alias("h"), *more).groupBy("key", "h")
-    twice = each(F.col("u") == BYTES).agg(F.count("*").alias("n")).where("n > 1").select("key", "h")
-    words = each(F.col("u") != BYTES, "d", "u").agg(F.count("*").alias("n"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.max("u").alias("u"))
-    twice = twice.unionByName(words.where(f"n > 1 and (d0 <> d1 or u = {ACROSS})").select("key", "h"))
-    twice, p_twice = written(twice.select(F.col("key").alias("_key"), F.col("h").alias("_h")), "repeated-strings")
-    release(spark)
-    # only a row number and a place travel with each digest; the places of a range join to runs before they meet its text
-    one = edge.select("rid", "key", F.posexplode("h").alias("i", "h")).join(twice, (F.col("key") == F.col("_key")) & (F.col("h") == F.col("_h"))).groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("i"))
-    one, p_one = written(one.select(F.col("rid").alias("_rid"), F.explode(F.arrays_zip(_edges_of_runs("i", -1).alias("a"), _edges_of_runs("i", 1).alias("z"))).alias("r")), "string-runs")
-    release(spark)
+    found = [_runs_of_strings(edge.where(F.col("slice") == i)) for i in range(SLICES)]
+    one = reduce(DataFrame.unionByName, (x for x, _ in found))
     one = edge.select("rid", "d", "t", "u", "lo").join(one, F.col("rid") == F.col("_rid")).select("d", "t", "u", (F.col("lo") + F.col("r.a")).alias("lo"), (F.col("lo") + F.col("r.z")).alias("hi"))
     spans = hits.where("whole").select("d", "t", "u", "lo", "hi").unionByName(one).withColumns({"b0": F.when(F.col("u") == BYTES, F.struct("lo", "hi")), "w0": F.when(F.col("u") != BYTES, F.struct("lo", "hi"))})
     flat = lambda c: F.flatten(F.transform(F.collect_set(c), lambda x: F.array(x["lo"], x["hi"])))
     spans, _ = written(spans.groupBy("d", "t").agg(flat("b0").alias("bytes"), flat("w0").alias("words")), "spans")
-    drop(spark, p_hits, p_edge, p_twice, p_one)
+    drop(spark, p_hits, p_edge, *(p for _, p in found))
     release(spark)
     return spans
 

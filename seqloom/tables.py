@@ -38,11 +38,11 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/seqloom-{what}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, what: str) -> tuple[DataFrame, str]:
-    """df as a Parquet table in the shared folder, read again, and its path: lineage ends there, so a
-    lost executor costs a read, not a recomputation, and row ids are fixed."""
+def stored(df: DataFrame, what: str, *by: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, in folders by the columns `by`, read again, and its path: lineage ends
+    there, so a lost executor costs a read, not a recomputation, and row ids are fixed."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 from cases import DOCS_SCHEMA, docs
+from pyspark.sql import functions as F
 
 from seqloom.llm import suffix
 
@@ -144,3 +145,29 @@ def test_scans_and_merges_of_levels_do_not_shuffle(spark, tmp_path):
     for how in ("left_semi", "full"):
         plan = family._level(a).hint("merge").join(family._level(b), "key", how)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "SortMergeJoin" in plan
+
+
+def test_strings_at_edges_are_compared_a_slice_after_the_other(spark, monkeypatch):
+    """No exchange of single strings takes those of all keys, and the slices together take them all, with the same result."""
+    texts, of, taken = corpus(), suffix.units(40, 20, 9, 3), []
+    written = suffix.written
+
+    def spied(df, what, *by):
+        out = written(df, what, *by)
+        if what == "edges":
+            taken.append({r.key: r.n for r in out[0].groupBy("key").agg(F.sum(F.size("h")).alias("n")).collect()})
+        if what in ("repeated-strings", "string-runs"):
+            taken.append((what, df._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(suffix, "written", spied)
+    got = suffix.deduplicated(spark.createDataFrame(docs(texts), DOCS_SCHEMA), of)
+    assert rows(got) == want(texts, range(len(texts)), 40, 9)
+    strings, *plans = taken
+    assert [what for what, _ in plans] == ["repeated-strings", "string-runs"] * suffix.SLICES
+    for j, (_, plan) in enumerate(plans):
+        # every read of the edges keeps to the folder of its slice
+        scans = re.findall(r"PartitionFilters: \[[^\]]*\(slice#\d+L? = (\d+)\)\]", plan)
+        assert scans and set(scans) == {str(j // 2)}
+    sizes = [sum(n for k, n in strings.items() if k % suffix.SLICES == i) for i in range(suffix.SLICES)]
+    assert sum(sizes) == sum(strings.values()) and 0 < max(sizes) < 0.6 * sum(sizes)
