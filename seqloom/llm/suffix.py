@@ -57,7 +57,7 @@ PASSAGE, PASSAGE_GRAM = 51, 16
 STRETCH, LONG_WORD = 1 << 20, 4096
 _POS = 24
 #: Slices of the keys at the edges of runs; equal strings have equal keys.
-SLICES = 4
+SLICES = 3
 #: Units, and at the edges the words of a run that stands in several documents itself.
 BYTES, WORDS, ACROSS = 0, 1, 2
 
@@ -325,9 +325,8 @@ def _runs_of_strings(edge: DataFrame) -> tuple[DataFrame, str]:
     twice, p_twice = written(twice.select(F.col("key").alias("_key"), F.col("h").alias("_h")), "repeated-strings")
     release(edge.sparkSession)
     # only a row number and a place travel with each digest; the places of a range join to runs before they meet its text
-    one = edge.select("rid", "key", F.posexplode("h").alias("i", "h")).join(twice, (F.col("key") == F.col("_key")) & (F.col("h") == F.col("_h"))).groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("i"))
+    one = edge.select("rid", "key", F.posexplode("h").alias("i", "h")).join(twice, (F.col("h") == F.col("_h")) & (F.col("key") == F.col("_key"))).groupBy("rid").agg(F.sort_array(F.collect_list("i")).alias("i"))
     found = written(one.select(F.col("rid").alias("_rid"), F.explode(F.arrays_zip(_edges_of_runs("i", -1).alias("a"), _edges_of_runs("i", 1).alias("z"))).alias("r")), "string-runs")
-    del one
     drop(edge.sparkSession, p_twice)
     release(edge.sparkSession)
     return found
@@ -351,7 +350,8 @@ def spans_of(family: IndexFamily, texts: DataFrame, close: bool = False) -> Data
     whole = (F.col("n") > 1) & _across(F.col("u"), F.col("d0"), F.col("d1"))
     known = runs.join(many, F.col("key") == F.col("_key"), "left").select(F.col("u").alias("_u"), F.col("key").alias("_k"), F.col("run").alias("_r"), "holder", whole.alias("whole"), F.col("_key").isNotNull().alias("more"))
     known, p_known = written(known.where("whole or more"), "known-runs")
-    hits = held.join(known, (F.col("u") == F.col("_u")) & (F.col("key") == F.col("_k")) & (F.col("run") == F.col("_r")))
+    # the column that tells most rows apart comes first, so that sorts seldom look at the others
+    hits = held.join(known, (F.col("run") == F.col("_r")) & (F.col("key") == F.col("_k")) & (F.col("u") == F.col("_u")))
     hits = hits.select("d", "t", "u", "key", "lo", "hi", "whole", (F.col("more") & (~F.col("whole") | (F.col("holder") == who))).alias("open"))
     hits, p_hits = written(hits.where("whole or open"), "hits")
     drop(spark, p_held, p_runs, p_known)
