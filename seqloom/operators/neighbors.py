@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -30,11 +30,16 @@ def chimera(pairs: DataFrame, segment: int) -> DataFrame:
     return pairs.select(F.concat("name1", F.lit("+"), "name2").alias("name"), F.array_join(parts, "").alias("seq"))
 
 
+def drawn_places(per_seq: int, length: int, seed: int = 0) -> Column:
+    """Where reads are drawn from a sequence (seq_id, seq), by digest: an array, null for those shorter than a read."""
+    n = (F.length("seq") - length + 1).cast("bigint")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(per_seq - 1)), lambda i: F.pmod(F.xxhash64(F.lit(seed), "seq_id", i), n)))
+
+
 def simulated_reads(seqs: DataFrame, per_seq: int, length: int, errors: int, seed: int = 0) -> DataFrame:
     """(qname, seq_id, pos, seq): reads at places drawn by digest, with up to `errors` substitutions; the
     truth stays in seq_id and pos. The same in every run."""
-    d = seqs.where(F.length("seq") >= length).select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(per_seq - 1))).alias("i"))
-    d = d.withColumn("pos", F.pmod(F.xxhash64(F.lit(seed), "seq_id", "i"), (F.length("seq") - length + 1).cast("bigint")))
+    d = seqs.select("seq_id", "seq", F.posexplode(drawn_places(per_seq, length, seed)).alias("i", "pos"))
     d = d.withColumn("read", F.substring("seq", (F.col("pos") + 1).cast("int"), F.lit(length))).drop("seq")
     for k in range(errors):
         at = F.pmod(F.xxhash64(F.lit(seed), "seq_id", "i", F.lit(k), F.lit("at")), F.lit(length)).cast("int")

@@ -151,8 +151,9 @@ class Patterns:
             yield rows[0], rows[1] + (begin - before), rows[2]
 
 
-def scan(held, names: list[str], before: int = 0, after: int = 0):
-    """For mapInArrow over (seq_id, seq): a row for each hit of a broadcast `Patterns`, under the names."""
+def scan(held, names: list[str], before: int = 0, after: int = 0, at: str | None = None):
+    """For mapInArrow over (seq_id, seq): a row for each hit of a broadcast `Patterns`, under the names. With a column `at` of
+    arrays, of those alone that stand at these places."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = held.value
@@ -176,8 +177,12 @@ def scan(held, names: list[str], before: int = 0, after: int = 0):
             hits, size = [], 0
             for i, text in enumerate(b.column("seq")):
                 text = text.as_py() or ""
+                own = None if at is None else np.array(b.column(at)[i].as_py() or [], dtype=np.int64)
                 for begin in range(0, len(text), step):
                     for which, pos, d in p.found(text, begin, min(len(text), begin + step)):
+                        if own is not None:
+                            mine = np.isin(pos, own)
+                            which, pos, d = which[mine], pos[mine], d if d is None else d[mine]
                         if len(which):
                             hits.append((which, np.full(len(which), i), pos, pos if d is None else d))
                             size += len(which)

@@ -63,3 +63,29 @@ def test_first_hits_of_copies(spark):
             want += [(i, *x, n + 1) for n, x in enumerate(h[:k])]
         got = match.first_hits(s, hits, k, 8).select("read_id", "seq_id", "pos", "nth").collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_located_at_places(spark):
+    """Hits at given places alone are the hits at all places, less the others; patterns over IN_PLACE characters, too."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choices("abé", k=n)) for n in (30, 0, 2, 90)] + [None, "é" * 700, "é" * 650]
+    places = [[0, 3, 29, 29], [0], [], list(range(0, 90, 2)), [0], [0, 100, 101, 699], None]
+    pats = ["a", "é", "ab", texts[3][20:33], "é" * 600, "é" * 513]
+    s = spark.createDataFrame(list(zip(range(len(texts)), texts, places, strict=True)), "seq_id long, seq string, places array<long>")
+    p = spark.createDataFrame(list(enumerate(pats)), "read_id long, pattern string")
+    want = sorted((k, i, j) for k, x in enumerate(pats) for i, t in enumerate(texts) for j in set(places[i] or []) if (t or "").startswith(x, j))
+    assert {w[0] for w in want} == set(range(len(pats)))
+    assert sorted((r.read_id, r.seq_id, r.pos) for r in match.locate(s, p, at="places").collect()) == want
+
+
+def test_reads_of_copies_leave_the_search_once(spark, tmp_path, monkeypatch):
+    """Reads of copies stand in every copy: what the search hands on grows with the reads, not with their square."""
+    from seqloom.plans.queries import QUERIES
+
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choices("ab é", k=90))] * 60 + ["x" * 60] * 20 + ["x" * 59, "", None, "".join(rnd.choices("ab é", k=70))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, locate = [], match.locate
+    monkeypatch.setattr(match, "locate", lambda *a, **k: made.append(locate(*a, **k)) or made[-1])
+    assert [tuple(r) for r in QUERIES["simulated_alignment"](spark, str(tmp_path)).collect()] == [(81, 81)]
+    assert 0 < made[0].count() <= 81
