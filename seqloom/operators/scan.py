@@ -1,7 +1,8 @@
 """One pass over texts for a block of patterns: the task's side of the search in `match`.
 
-A text is taken in stretches of characters. Each place of its bytes is looked up by the first bytes of what is searched, as many as all of a class
-have, in a table of bits; what is left is compared whole. UTF-8 finds a text's bytes at the starts of characters only. Within z differences one of
+A long text is taken in stretches of characters, short ones stand in line up to as many. Each place of its bytes is looked up by the first bytes of what is
+searched, as many as all of a class have, in a table of bits; what is left is looked up by more bytes where the class has them, so that beginnings which many
+patterns share make no pairs, and compared whole. UTF-8 finds a text's bytes at the starts of characters only. Within z differences one of
 z + 1 parts of a pattern stands there unchanged, so parts are looked up, and the windows around them are counted letter by letter.
 """
 
@@ -12,8 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Classes of what is looked up by its bytes.
-KEYS = (16, 8, 4, 2, 1)
+#: Classes of what is looked up by its bytes, and as many bytes as every place is looked up by.
+KEYS, FIRST = (48, 32, 16, 8, 4, 2, 1), 16
 #: Characters of a text that are in hand at once; pairs of places and patterns that are.
 STRETCH, PAIRS = 1 << 18, 1 << 20
 
@@ -33,6 +34,14 @@ def _keys(words: np.ndarray, at: np.ndarray | slice, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _longer(h: np.ndarray, words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Digests of the k bytes at places, from those of the FIRST ones."""
+    for j in range(FIRST, k, 8):
+        h = (h ^ words[at + j]) * np.uint64(0xBF58476D1CE4E5B9)
+        h = h ^ (h >> np.uint64(32))
+    return h
+
+
 class Patterns:
     """Patterns (ids, an Arrow array, and their texts), all of one character or more, and what is looked up of them."""
 
@@ -47,9 +56,9 @@ class Patterns:
         self.start = np.concatenate(([0], np.cumsum(self.size)))[:-1].astype(np.int64)
         self.data = b"".join(p[3] for p in parts) + bytes(8)
         self.longest = max((len(t) for t in texts), default=0)
+        self.length = np.array([len(t) for t in texts], dtype=np.int64)
         if z is not None:
             self.codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4")
-            self.length = np.array([len(t) for t in texts], dtype=np.int64)
             self.first = np.concatenate(([0], np.cumsum(self.length)))[:-1].astype(np.int64)
         self.classes = []
         todo = self.size > 0
@@ -57,24 +66,29 @@ class Patterns:
             own = np.flatnonzero(todo & (self.size >= k))
             todo[own] = False
             if len(own):
-                h = _keys(_words(self.data), self.start[own], k)
+                front = _keys(_words(self.data), self.start[own], min(k, FIRST))
+                h = _longer(front, _words(self.data), self.start[own], k)
                 order = np.argsort(h, kind="stable")
                 keys, at, n = np.unique(h[order], return_index=True, return_counts=True)
                 bits = np.uint64(64 - min(24, max(16, len(keys).bit_length() + 5)))
                 table = np.zeros(1 << (64 - int(bits)), dtype=bool)
-                table[(keys >> bits).astype(np.int64)] = True
+                table[(front >> bits).astype(np.int64)] = True
                 self.classes.append((k, keys, at, n, own[order], bits, table))
 
     def _pairs(self, words: np.ndarray, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(part, place) of every part that stands in the bytes, PAIRS or a place's own at a time."""
+        by = h = None
         for k, keys, first, n, parts, bits, table in self.classes:
             if size < k:
                 continue
-            h = _keys(words, slice(0, size - k + 1), k)
-            at = np.flatnonzero(table[(h >> bits).view(np.int64)])
-            j = np.searchsorted(keys, h[at])
+            if by != min(k, FIRST):
+                by = min(k, FIRST)
+                h = _keys(words, slice(0, size - by + 1), by)
+            at = np.flatnonzero(table[(h[: size - k + 1] >> bits).view(np.int64)])
+            key = _longer(h[at], words, at, k)
+            j = np.searchsorted(keys, key)
             j[j == len(keys)] = 0
-            same = keys[j] == h[at]
+            same = keys[j] == key
             at, j = at[same], j[same]
             if not len(at):
                 continue
@@ -151,6 +165,19 @@ class Patterns:
             yield rows[0], rows[1] + (begin - before), rows[2]
 
 
+def _in_line(texts: Iterator[str], limit: int) -> Iterator[tuple[int, list[str]]]:
+    """Texts that follow each other, up to `limit` characters or one text: the number of the first, and they."""
+    first, line, size = 0, [], 0
+    for t in texts:
+        if line and size + len(t) > limit:
+            yield first, line
+            first, line, size = first + len(line), [], 0
+        line.append(t)
+        size += len(t)
+    if line:
+        yield first, line
+
+
 def scan(held, names: list[str], before: int = 0, after: int = 0, at: str | None = None):
     """For mapInArrow over (seq_id, seq): a row for each hit of a broadcast `Patterns`, under the names. With a column `at` of
     arrays, of those alone that stand at these places."""
@@ -175,16 +202,22 @@ def scan(held, names: list[str], before: int = 0, after: int = 0, at: str | None
 
         for b in batches:
             hits, size = [], 0
-            for i, text in enumerate(b.column("seq")):
-                text = text.as_py() or ""
-                own = None if at is None else np.array(b.column(at)[i].as_py() or [], dtype=np.int64)
+            for first, line in _in_line((t.as_py() or "" for t in b.column("seq")), STRETCH):
+                text, ends = "".join(line), np.cumsum([len(t) for t in line])
+                starts = np.concatenate(([0], ends[:-1]))
+                if at is not None:
+                    places = zip(starts.tolist(), line, b.column(at).slice(first, len(line)).to_pylist(), strict=True)
+                    places = np.array([s + x for s, t, own in places for x in own or () if 0 <= x < len(t)], dtype=np.int64)
                 for begin in range(0, len(text), step):
                     for which, pos, d in p.found(text, begin, min(len(text), begin + step)):
-                        if own is not None:
-                            mine = np.isin(pos, own)
-                            which, pos, d = which[mine], pos[mine], d if d is None else d[mine]
+                        row = np.searchsorted(ends, pos, side="right")
+                        mine = pos + p.length[which] <= ends[row]
+                        if at is not None:
+                            mine &= np.isin(pos, places)
+                        which, row, pos, d = which[mine], row[mine], pos[mine], d if d is None else d[mine]
                         if len(which):
-                            hits.append((which, np.full(len(which), i), pos, pos if d is None else d))
+                            pos = pos - starts[row]
+                            hits.append((which, row + first, pos, pos if d is None else d))
                             size += len(which)
                         if size > 100_000:
                             yield made(hits, b)

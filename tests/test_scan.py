@@ -89,3 +89,27 @@ def test_reads_of_copies_leave_the_search_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(match, "locate", lambda *a, **k: made.append(locate(*a, **k)) or made[-1])
     assert [tuple(r) for r in QUERIES["simulated_alignment"](spark, str(tmp_path)).collect()] == [(81, 81)]
     assert 0 < made[0].count() <= 81
+
+
+def test_short_texts_in_line(monkeypatch):
+    """Texts that are scanned together: no hit over their ends, places and context are their own, long beginnings may be shared."""
+    rnd = random.Random(4)
+    base = "".join(rnd.choices("abé", k=400))
+    texts = [base[:70], "", base[70:75], base[75:200], None, base, "", base[:90] + "x" + base[91:], base[390:]] * 2
+    pats = [base[60:90], base[68:72], base[:80], base[:90] + "y", base[:90] + "x", base[20:41], base[20:40] + "y", base[20:70] + "y", base[20:80], "é"]
+    places = [rnd.sample(range(-5, 410), 60) for _ in texts]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(places)], names=["seq_id", "seq", "places"])
+    differ = lambda x, y: sum(u != v for u, v in zip(x, y, strict=True))
+    for stretch in (1, 100, 1000, 1 << 18):
+        monkeypatch.setattr(scan, "STRETCH", stretch)
+        for z, before, after, at in ((None, 4, 7, None), (None, 0, 0, "places"), (0, 0, 0, None), (1, 0, 0, None)):
+            some = [k for k, p in enumerate(pats) if len(p) > (z or 0)]
+
+            class Held:
+                value = scan.Patterns(pa.array(some), [pats[k] for k in some], z)
+
+            want = [(k, i, j, t[max(0, j - before) : j], t[j : j + after], differ(t[j : j + len(pats[k])], pats[k])) for k in some for i, t in enumerate(x or "" for x in texts) for j in range(len(t) - len(pats[k]) + 1) if not at or j in places[i]]
+            want = sorted((w[:3] + tuple(x for x, n in ((w[3], before), (w[4], after)) if n) + ((w[5],) if z is not None else ())) for w in want if w[5] <= (z or 0))
+            names = ["read_id", "seq_id", "pos", *(["left"] if before else []), *(["right"] if after else []), *(["mismatches"] if z is not None else [])]
+            got = [tuple(r.values()) for o in scan.scan(Held, names, before, after, at)(iter([b])) for r in o.to_pylist()]
+            assert want and sorted(got) == want
